@@ -13,7 +13,7 @@ METRIC_COLUMNS = [
 ]
 
 
-def evaluation_set(benign: DataFrame, attack: DataFrame, label: str = "label") -> DataFrame:
+def evaluation_set(benign: DataFrame, attack: DataFrame, label: str = "is_attack") -> DataFrame:
     """Held-out benign rows (0) and all attacks (1) in one frame."""
     return benign.withColumn(label, F.lit(0)).unionByName(
         attack.withColumn(label, F.lit(1)), allowMissingColumns=True
@@ -25,7 +25,7 @@ def _ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def confusion_counts(
-    df: DataFrame, label: str = "label", prediction: str = "prediction"
+    df: DataFrame, label: str = "is_attack", prediction: str = "prediction"
 ) -> DataFrame:
     true, flagged = F.col(label) == 1, F.col(prediction) == 1
     return df.agg(
@@ -56,7 +56,7 @@ def metrics_of(counts: DataFrame, prevalence: float = ASSUMED_PREVALENCE) -> Dat
 
 def evaluate(
     df: DataFrame,
-    label: str = "label",
+    label: str = "is_attack",
     prediction: str = "prediction",
     prevalence: float = ASSUMED_PREVALENCE,
 ) -> DataFrame:

@@ -132,51 +132,48 @@ def grow_trees(subsamples: DataFrame, limit: int, seed: int) -> DataFrame:
     return subsamples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
-class PackedForest:
-    """Node table as complete-binary-tree arrays for vectorized walking.
+def pack_forest(nodes: pd.DataFrame, limit: int) -> dict[str, np.ndarray]:
+    """Node table as complete-binary-tree arrays, one row per tree.
 
     A leaf above the bottom level hands its path length down to all bottom
     positions under it, so every walk takes the same number of steps.
     """
-
-    def __init__(self, nodes: pd.DataFrame, limit: int):
-        trees = sorted(nodes["tree"].unique())
-        inner, bottom = 2**limit - 1, 2**limit
-        self.limit = limit
-        self.feature = np.zeros((len(trees), inner), dtype=np.int32)
-        self.threshold = np.full((len(trees), inner), np.inf)
-        self.path = np.full((len(trees), inner + bottom), np.nan)
-        place = {t: i for i, t in enumerate(trees)}
-        for tree, node, feature, threshold, rows in nodes[NODE_SCHEMA.names].itertuples(
-            index=False
-        ):
-            t = place[tree]
-            if feature >= 0:
-                self.feature[t, node] = feature
-                self.threshold[t, node] = threshold
-            else:
-                depth = (int(node) + 1).bit_length() - 1
-                self.path[t, node] = depth + mean_path(int(rows))
-        for node in range(1, inner + bottom):
-            parent = self.path[:, (node - 1) // 2]
-            self.path[:, node] = np.where(np.isnan(self.path[:, node]), parent, self.path[:, node])
-        self.path = np.ascontiguousarray(self.path[:, inner:])
-
-    def mean_depth(self, columns: np.ndarray) -> np.ndarray:
-        """Mean path length of each row; ``columns`` is features x rows."""
-        rows = columns.shape[1]
-        values = np.ascontiguousarray(columns).reshape(-1)
-        offset = np.arange(rows)
-        total = np.zeros(rows)
-        first_bottom = self.path.shape[1] - 1
-        for feature, threshold, path in zip(self.feature, self.threshold, self.path):
-            start = feature.astype(np.int64) * rows
-            node = (columns[feature[0]] > threshold[0]).astype(np.int64) + 1
-            for _ in range(self.limit - 1):
-                value = values.take(start.take(node) + offset)
-                node = 2 * node + 1 + (value > threshold.take(node))
-            total += path.take(node - first_bottom)
-        return total / len(self.path)
+    trees = np.sort(nodes["tree"].unique())
+    inner, bottom = 2**limit - 1, 2**limit
+    feature = np.zeros((len(trees), inner), dtype=np.int64)
+    threshold = np.full((len(trees), inner), np.inf)
+    path = np.full((len(trees), inner + bottom), np.nan)
+    tree = np.searchsorted(trees, nodes["tree"].to_numpy())
+    node = nodes["node"].to_numpy(dtype=np.int64)
+    split = nodes["feature"].to_numpy() >= 0
+    feature[tree[split], node[split]] = nodes["feature"].to_numpy()[split]
+    threshold[tree[split], node[split]] = nodes["threshold"].to_numpy()[split]
+    depth = np.floor(np.log2(node[~split] + 1))
+    path[tree[~split], node[~split]] = depth + [
+        mean_path(int(rows)) for rows in nodes["rows"].to_numpy()[~split]
+    ]
+    for place in range(1, inner + bottom):
+        above = path[:, (place - 1) // 2]
+        path[:, place] = np.where(np.isnan(path[:, place]), above, path[:, place])
+    return {"feature": feature, "threshold": threshold, "path": path[:, inner:].copy()}
+
+
+def mean_depths(forest: dict[str, np.ndarray], columns: np.ndarray) -> np.ndarray:
+    """Mean path length of each row; ``columns`` is features x rows."""
+    rows = columns.shape[1]
+    values = columns.reshape(-1)
+    offset = np.arange(rows)
+    total = np.zeros(rows)
+    bottom = forest["path"].shape[1]
+    steps = bottom.bit_length() - 1
+    for feature, threshold, path in zip(forest["feature"], forest["threshold"], forest["path"]):
+        start = feature * rows
+        node = (columns[feature[0]] > threshold[0]).astype(np.int64) + 1
+        for _ in range(steps - 1):
+            value = values.take(start.take(node) + offset)
+            node = 2 * node + 1 + (value > threshold.take(node))
+        total += path.take(node - (bottom - 1))
+    return total / len(forest["path"])
 
 
 class IsolationForest(Estimator):
@@ -306,7 +303,7 @@ class IsolationForestModel(Model):
 
         sc = SparkSession.active().sparkContext
         if self._packed_broadcast is None or self._packed_broadcast[0] is not sc:
-            packed = PackedForest(self.nodes, depth_limit(self.subsample))
+            packed = pack_forest(self.nodes, depth_limit(self.subsample))
             self._packed_broadcast = (sc, sc.broadcast(packed))
         return self._packed_broadcast[1]
 
@@ -325,7 +322,7 @@ class IsolationForestModel(Model):
         def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             forest = packed.value
             for columns in batches:
-                depth = forest.mean_depth(np.stack([c.to_numpy(dtype=float) for c in columns]))
+                depth = mean_depths(forest, np.stack([c.to_numpy(dtype=float) for c in columns]))
                 yield pd.Series(-np.exp2(-depth / expected))
 
         # Marked so that filters on the score do not score every row twice.

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,36 +53,27 @@ def _bin_of(value: Column, span: _Range, squeeze: bool) -> Column | None:
     ).cast("int")
 
 
-def _explode_ranges(df: DataFrame, ranges: Sequence[_Range], keys: Sequence[Column]) -> DataFrame:
-    """One row (range number, key, value) per value inside an open range."""
-    pieces = [
-        F.when(
-            F.col(f"`{r.column}`").between(F.lit(r.low), F.lit(r.high)),
-            F.struct(
-                F.lit(i).alias("range"),
-                key.alias("key"),
-                F.col(f"`{r.column}`").alias("value"),
-            ),
-        )
-        for i, (r, key) in enumerate(zip(ranges, keys))
-    ]
-    return (
-        df.select(F.explode(F.array(*pieces)).alias("hit"))
-        .where(F.col("hit").isNotNull())
-        .select("hit.*")
+def _values_in(df: DataFrame, span: _Range, number: int) -> DataFrame:
+    """The values inside a range; reads that one column only."""
+    column = F.col(f"`{span.column}`")
+    return df.where(column.between(F.lit(span.low), F.lit(span.high))).select(
+        F.lit(number).alias("range"), column.alias("value")
     )
 
 
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, frames)
+
+
 def _divide(df: DataFrame, ranges: Sequence[_Range], squeeze: bool) -> dict[_Range, list]:
     """Histogram of each range: [(rows, smallest, largest)] in value order."""
-    keys = [_bin_of(F.col(f"`{r.column}`"), r, squeeze) for r in ranges]
-    hits = _explode_ranges(df, ranges, keys)
-    bins = (
-        hits.groupBy("range", "key")
+    counted = [
+        _values_in(df, r, i)
+        .groupBy("range", _bin_of(F.col("value"), r, squeeze).alias("key"))
         .agg(F.count("*").alias("rows"), F.min("value"), F.max("value"))
-        .orderBy("range", "key")
-        .collect()  # at most BINS rows per range
-    )
+        for i, r in enumerate(ranges)
+    ]
+    bins = _union(counted).orderBy("range", "key").collect()  # at most BINS rows per range
     found: dict[_Range, list] = {r: [] for r in ranges}
     for number, _, rows, smallest, largest in bins:
         found[ranges[number]].append((rows, smallest, largest))
@@ -94,10 +86,11 @@ def _rank_inside(
     """Rank the few rows of nearly finished ranges and read the wanted ones."""
     ranges = sorted(set(targets.values()), key=lambda r: (r.column, r.low))
     number = {r: i for i, r in enumerate(ranges)}
-    values = (
-        _explode_ranges(df, ranges, [F.lit(0)] * len(ranges))
-        .groupBy("range", "value")
-        .agg(F.count("*").alias("rows"))
+    values = _union(
+        [
+            _values_in(df, r, i).groupBy("range", "value").agg(F.count("*").alias("rows"))
+            for i, r in enumerate(ranges)
+        ]
     )
     order = Window.partitionBy("range").orderBy("value")
     upto = values.withColumn("upto", F.sum("rows").over(order))
@@ -139,7 +132,8 @@ def order_statistics(
 ) -> dict[tuple[str, int], float]:
     """Value at each 0-based ascending rank of each column.
 
-    Columns must be doubles without NaN or infinities; nulls are ignored.
+    Columns must be doubles without NaN or infinities; nulls are ignored. The
+    frame is read once per pass and column: pass columnar or written data.
     """
     extent = extent or column_extent(df, ranks)
     answer: dict[tuple[str, int], float] = {}

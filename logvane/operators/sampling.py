@@ -102,8 +102,8 @@ def stratified_sample(
     With ``exact=False`` each row is kept with its stratum's fraction, which
     needs only the label counts.
     """
-    strata = [*by, "label"]
-    labelled = df.withColumn("label", F.coalesce(clean_label(F.col(LABEL_COLUMN)), F.lit("")))
+    strata = [*by, "_label"]
+    labelled = df.withColumn("_label", F.coalesce(clean_label(F.col(LABEL_COLUMN)), F.lit("")))
     hashed = labelled.withColumn("_digest", row_digest(seed, ids))
     narrow = hashed.select(*strata, "_digest")
     first, second = 1, 1 + _BUCKET_DIGITS
@@ -115,7 +115,7 @@ def stratified_sample(
     )
     total = F.sum("rows").over(Window.partitionBy(*strata))
     sized = level1.withColumn("_total", total).withColumn(
-        "fraction", sampling_fraction(F.col("label"), F.col("_total"))
+        "fraction", sampling_fraction(F.col("_label"), F.col("_total"))
     )
     if not exact:
         fractions = broadcast_if_small(

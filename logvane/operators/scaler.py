@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from logvane.functions.coerce import column_number, finite
 from logvane.operators.quantiles import exact_quantiles
 from logvane.schema import FEATURE_COLUMNS
+from logvane.session import materialize
 
 MIN_ROWS = 100
 
@@ -58,7 +59,8 @@ class BaselineScaler(Estimator):
         self.columns = list(columns)
 
     def _fit(self, dataset: DataFrame) -> BaselineScalerModel:
-        clean = clean_rows(dataset, self.columns)
+        # The median passes read one column at a time from this written copy.
+        clean = materialize(clean_rows(dataset, self.columns))
         aggregates = [F.count("*")]
         for c in self.columns:
             col = F.col(f"`{c}`")

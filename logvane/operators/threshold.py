@@ -26,7 +26,7 @@ def allowed_false_positives(benign_rows: int, budget: float) -> int:
 
 def tune_threshold(
     scores: DataFrame,
-    label: str = "label",
+    label: str = "is_attack",
     score: str = "anomaly_score",
     budget: float = FPR_BUDGET,
     ranked_rows: int = RANKED_ROWS,
@@ -59,7 +59,7 @@ def tune_threshold(
 
 
 def roc_curve(
-    scores: DataFrame, label: str = "label", score: str = "anomaly_score"
+    scores: DataFrame, label: str = "is_attack", score: str = "anomaly_score"
 ) -> DataFrame:
     """(threshold, tp, fp, tpr, fpr) at every distinct score, highest first."""
     counts = scores.groupBy(F.col(score).alias("threshold")).agg(

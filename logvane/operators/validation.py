@@ -7,82 +7,63 @@ from pyspark.sql import functions as F
 
 from logvane.functions.coerce import finite
 from logvane.schema import MAX_LENGTHS, MESSAGE_FIELDS
+from logvane.session import materialize
 
 # Message times must be full dates or date-times; Spark alone would take "2024".
 _ISO_PREFIX = r"^\s*\d{4}-\d{2}-\d{2}"
-_NULL_TYPES = ("VOID",)
 
+_TEXT_FIELDS = (*MAX_LENGTHS, "raw_payload")
 
-def _kind(field: str) -> Column:
-    """JSON type of a top-level field; null when absent or JSON null."""
-    kind = F.schema_of_variant(F.try_variant_get("_message", f"$.{field}", "variant"))
-    return F.when(~kind.isin(*_NULL_TYPES), kind)
 
+def _typed(field: str) -> Column:
+    """A field as its own type; null when absent or of another type.
 
-def _text(field: str) -> Column:
+    Numbers may come as numeric strings or booleans, as lenient JSON readers
+    accept them; text fields must be JSON strings.
+    """
+    given, kind = F.col(f"_given_{field}"), F.col(f"_kind_{field}")
+    if field in _TEXT_FIELDS:
+        return F.when(kind == "STRING", given.cast("string"))
+    number = F.try_variant_get(given, "$", "double")
+    if field == "duration_seconds":
+        return number
+    if field == "bytes_transferred":
+        return F.when(
+            F.floor(number) == number, F.try_variant_get(given, "$", "bigint")
+        )
+    if field == "features":
+        return F.try_variant_get(given, "$", "map<string,double>")
+    text = F.when(kind == "STRING", given.cast("string"))
     return F.when(
-        _kind(field) == "STRING", F.try_variant_get("_message", f"$.{field}", "string")
+        text.rlike(_ISO_PREFIX), F.btrim(text).try_cast("timestamp")
+    ).when(
+        kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"),
+        F.timestamp_micros((number * 1_000_000).try_cast("bigint")),
     )
 
 
-def _number(field: str) -> Column:
-    """Numbers, numeric strings and booleans, as a lenient JSON reader takes them."""
-    return F.try_variant_get("_message", f"$.{field}", "double")
+def _reasons() -> Column:
+    """Every reason to reject a message, in a fixed order."""
 
-
-def parse_messages(messages: DataFrame, value: str = "value") -> DataFrame:
-    """Parse JSON text once and list every reason to reject it.
-
-    Adds the typed fields and ``reasons`` (empty for a valid message). Client
-    messages may not carry unknown keys: ``is_alert`` and ``anomaly_score``
-    come from the detector alone.
-    """
-    keys = F.json_object_keys(value)
-    parsed = messages.withColumn("_message", F.try_parse_json(value)).withColumn("_keys", keys)
-    is_object = F.col("_message").isNotNull() & F.col("_keys").isNotNull()
-
-    event_time = F.when(
-        (_kind("event_time") == "STRING") & _text("event_time").rlike(_ISO_PREFIX),
-        F.btrim(_text("event_time")).try_cast("timestamp"),
-    ).when(
-        _kind("event_time").isin("BIGINT", "DOUBLE") | _kind("event_time").startswith("DECIMAL"),
-        F.timestamp_micros((_number("event_time") * 1_000_000).try_cast("bigint")),
-    )
-    whole = _number("bytes_transferred")
-    typed = parsed.select(
-        *messages.columns,
-        "_message",
-        "_keys",
-        is_object.alias("_is_object"),
-        event_time.alias("event_time"),
-        *[_text(f).alias(f) for f in (*MAX_LENGTHS, "raw_payload")],
-        F.when(F.floor(whole) == whole, F.try_variant_get("_message", "$.bytes_transferred", "bigint"))
-        .alias("bytes_transferred"),
-        _number("duration_seconds").alias("duration_seconds"),
-        F.try_variant_get("_message", "$.features", "map<string,double>").alias("features"),
-        *[_kind(f).alias(f"_kind_{f}") for f in MESSAGE_FIELDS],
-    )
+    def given(field: str) -> Column:
+        return F.col(f"_kind_{field}").isNotNull()
 
     def wrong_type(field: str) -> Column:
-        given = F.col(f"_kind_{field}").isNotNull()
-        return F.when(given & F.col(field).isNull(), F.lit(f"type:{field}"))
-
-    bad_features = (
-        F.col("_kind_features").isNotNull()
-        & (
-            ~F.col("_kind_features").startswith("OBJECT")
-            | F.col("features").isNull()
-            | F.exists(F.map_values("features"), lambda v: v.isNull())
-        )
+        return F.when(given(field) & F.col(field).isNull(), F.lit(f"type:{field}"))
+
+    bad_features = given("features") & (
+        ~F.col("_kind_features").startswith("OBJECT")
+        | F.col("features").isNull()
+        | F.exists(F.map_values("features"), lambda v: v.isNull())
     )
     unknown = F.transform(
         F.array_sort(F.array_except("_keys", F.array(*[F.lit(f) for f in MESSAGE_FIELDS]))),
         lambda key: F.concat(F.lit("unknown:"), key),
     )
     checks = F.array(
-        F.when(F.col("_kind_event_time").isNull(), F.lit("required:event_time")),
+        F.when(~given("event_time"), F.lit("required:event_time")),
         wrong_type("event_time"),
-        *[wrong_type(f) for f in (*MAX_LENGTHS, "raw_payload")],
+        *[wrong_type(f) for f in _TEXT_FIELDS],
         *[
             F.when(F.length(f) > limit, F.lit(f"too_long:{f}"))
             for f, limit in MAX_LENGTHS.items()
@@ -91,18 +72,57 @@ def parse_messages(messages: DataFrame, value: str = "value") -> DataFrame:
         wrong_type("duration_seconds"),
         F.when(bad_features, F.lit("type:features")),
     )
-    reasons = F.when(~F.col("_is_object"), F.array(F.lit("not_an_object"))).otherwise(
+    is_object = F.col("_message").isNotNull() & F.col("_keys").isNotNull()
+    return F.when(~is_object, F.array(F.lit("not_an_object"))).otherwise(
         F.concat(F.array_compact(checks), unknown)
     )
-    return typed.withColumn("reasons", reasons).select(
-        *messages.columns,
+
+
+def parse_messages(messages: DataFrame, value: str = "value") -> DataFrame:
+    """Parse JSON text once and list every reason to reject it.
+
+    Adds the typed fields and ``reasons`` (empty for a valid message). Client
+    messages may not carry unknown keys: ``is_alert`` and ``anomaly_score``
+    come from the detector alone.
+
+    Filter on ``reasons`` only after storing or caching the result: Spark
+    would push the filter below the parsing and repeat it there.
+    """
+    kept = messages.columns
+    document = messages.withColumns(
+        {"_message": F.try_parse_json(value), "_keys": F.json_object_keys(value)}
+    )
+    fields = document.select(
+        *kept,
+        "_message",
+        "_keys",
+        *[
+            F.try_variant_get("_message", f"$.{f}", "variant").alias(f"_given_{f}")
+            for f in MESSAGE_FIELDS
+        ],
+    )
+    kinds = fields.withColumns(
+        {
+            f"_kind_{f}": F.nullif(F.schema_of_variant(f"_given_{f}"), F.lit("VOID"))
+            for f in MESSAGE_FIELDS
+        }
+    )
+    typed = kinds.withColumns({f: _typed(f) for f in MESSAGE_FIELDS})
+    return typed.select(
+        *kept,
         *[f for f in MESSAGE_FIELDS if f not in ("duration_seconds", "features")],
         finite(F.col("duration_seconds")).alias("duration_seconds"),
         F.map_filter("features", lambda _, v: finite(v).isNotNull()).alias("features"),
-        "reasons",
+        _reasons().alias("reasons"),
     )
 
 
+def split_messages(messages: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(valid, quarantined): one written parse, then two filters over it."""
+    parsed = materialize(parse_messages(messages, value))
+    return valid_messages(parsed), quarantined_messages(parsed, messages.columns)
+
+
 def valid_messages(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.size("reasons") == 0).drop("reasons")
 
@@ -117,13 +137,18 @@ def replay_summary(parsed: DataFrame, value: str = "value", shown: int = 5) -> D
 
     Only the ``shown`` smallest rejected messages are kept, never a list of all.
     """
-    counts = parsed.agg(
-        F.count_if(F.size("reasons") == 0).alias("success"),
-        F.count_if(F.size("reasons") > 0).alias("failed"),
+    judged = materialize(parsed.select(value, "reasons"))
+    failed = F.size("reasons") > 0
+    counts = judged.agg(
+        F.count_if(~failed).alias("success"), F.count_if(failed).alias("failed")
     )
     first = (
-        parsed.where(F.size("reasons") > 0)
-        .select(F.concat(F.array_join("reasons", ","), F.lit(": "), F.left(value, F.lit(200))).alias("error"))
+        judged.where(failed)
+        .select(
+            F.concat(
+                F.array_join("reasons", ","), F.lit(": "), F.left(value, F.lit(200))
+            ).alias("error")
+        )
         .orderBy("error")
         .limit(shown)
         .agg(F.array_sort(F.collect_list("error")).alias("first_errors"))

@@ -30,13 +30,12 @@ from logvane.operators.scaler import (
 from logvane.operators.scoring import score_logs, top_deviations
 from logvane.operators.validation import (
     parse_messages,
-    quarantined_messages,
     replay_summary,
-    valid_messages,
+    split_messages,
 )
 from logvane.plans.training import recall_table, train
 from logvane.schema import FEATURE_COLUMNS, LABEL_COLUMN, TOP_FEATURE_TYPE
-from logvane.session import checkpoint_dir, spread
+from logvane.session import scratch_path, spread
 from logvane.sources import driver_tables as tables
 from logvane.sources.flow_files import read_flow_csv
 from logvane.sources.log_table import LogTable, assign_ids
@@ -72,11 +71,6 @@ def micros(name: str, alias: str | None = None) -> Column:
     return F.unix_micros(F.col(name)).alias(alias or f"{name}_us")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the session's checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/scratch/{uuid.uuid4().hex}"
-
-
 def _shown(logs: DataFrame) -> DataFrame:
     """Response rows with times as epoch microseconds."""
     return triage.responses(logs).withColumns(
@@ -196,7 +190,7 @@ def log_table_round_trip(spark, sf_dir):
     """Create the table, load it twice under one number, read the newest days."""
     logs = tables.log_entries(spark, sf_dir)
     name = f"logs_{uuid.uuid4().hex}"
-    table = LogTable(spark, name, scratch(spark)).create_if_absent()
+    table = LogTable(spark, name, scratch_path(spark)).create_if_absent()
     table.append(logs, load=1)
     table.append(logs, load=1)
     newest = triage.recent_logs(table.newest_days(100))
@@ -381,13 +375,13 @@ def raw_payload_json(spark, sf_dir):
 
 @query
 def quarantine(spark, sf_dir):
-    rejected = quarantined_messages(parse_messages(tables.messages(spark, sf_dir)), ["id", "value"])
+    _, rejected = split_messages(tables.messages(spark, sf_dir))
     return rejected.select("id", "value", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query
 def accepted_messages(spark, sf_dir):
-    accepted = valid_messages(parse_messages(tables.messages(spark, sf_dir)))
+    accepted, _ = split_messages(tables.messages(spark, sf_dir))
     return accepted.select(
         "id",
         micros("event_time"),
@@ -459,7 +453,7 @@ def replay_order(spark, sf_dir):
 @query
 def flow_csv_source(spark, sf_dir):
     """Flows written as CSV with padded headers, read back and counted per label."""
-    folder = scratch(spark)
+    folder = scratch_path(spark)
     flows = tables.flows(spark, sf_dir).drop("file")
     flows.toDF(*[f" {c}" for c in flows.columns]).write.option("header", True).option(
         "ignoreLeadingWhiteSpace", False
@@ -529,9 +523,9 @@ def deviations_long(spark, sf_dir):
     """Mean absolute deviation from the benign baseline per label and feature."""
     flows = tables.flows(spark, sf_dir)
     model = BaselineScaler().fit(spread(_benign(flows)))
-    label = F.coalesce(clean_label(F.col("Label")), F.lit("")).alias("label")
-    long = long_deviations(flows.select("*", label), model, ["label"])
-    return long.groupBy("label", "feature").agg(
+    long = long_deviations(flows, model, ["Label"])
+    label = F.coalesce(clean_label(F.col("Label")), F.lit(""))
+    return long.groupBy(label.alias("label"), "feature").agg(
         F.round(F.avg(F.abs("deviation")), 5).alias("deviation")
     )
 
@@ -614,7 +608,7 @@ def confusion_metrics(spark, sf_dir):
 
 @query
 def recall_by_label(spark, sf_dir):
-    scores = _labelled_scores(tables.flows(spark, sf_dir)).where("label = 1")
+    scores = _labelled_scores(tables.flows(spark, sf_dir)).where("is_attack = 1")
     flagged = scores.select(
         clean_label(F.col(LABEL_COLUMN)).alias("event_type"),
         classify(F.col("anomaly_score"), 0.5).cast("int").alias("prediction"),
@@ -711,14 +705,14 @@ def _event_stream(spark: SparkSession, sf_dir: str, view) -> DataFrame:
 
 
 def _drained(spark: SparkSession, query: DataFrame, mode: str = "complete") -> DataFrame:
-    folder = scratch(spark)
+    folder = scratch_path(spark)
     return live.run_to_table(query, f"{folder}/out", f"{folder}/checkpoint", mode)
 
 
 @query
 def stream_scored_logs(spark, sf_dir):
     """Messages through the ingest stream into the log table, unscored."""
-    folder = scratch(spark)
+    folder = scratch_path(spark)
     table = LogTable(spark, f"live_{uuid.uuid4().hex}", f"{folder}/table")
     running = live.start_ingest(
         _event_stream(spark, sf_dir, tables.messages_of),
@@ -778,7 +772,7 @@ def stream_categories(spark, sf_dir):
 @query
 def stream_live_lists(spark, sf_dir):
     """Newest logs of a stream, kept across micro-batches."""
-    folder = scratch(spark)
+    folder = scratch_path(spark)
     lists = live.LiveLists(spark, f"{folder}/lists")
     logs = _event_stream(spark, sf_dir, tables.log_entries_of)
     lists.start(logs, f"{folder}/checkpoint", available_now=True).awaitTermination()
@@ -787,7 +781,7 @@ def stream_live_lists(spark, sf_dir):
 
 @query
 def stream_threat_index(spark, sf_dir):
-    folder = scratch(spark)
+    folder = scratch_path(spark)
     lists = live.LiveLists(spark, f"{folder}/lists")
     logs = _event_stream(spark, sf_dir, tables.log_entries_of)
     lists.start(logs, f"{folder}/checkpoint", available_now=True).awaitTermination()

@@ -65,7 +65,7 @@ def train(
 
     scored = materialize(
         forest.transform(scaler.transform(evaluation_set(benign_test, attack))).select(
-            *ids, clean_label(F.col(LABEL_COLUMN)).alias("event_type"), "label", "anomaly_score"
+            *ids, clean_label(F.col(LABEL_COLUMN)).alias("event_type"), "is_attack", "anomaly_score"
         )
     )
     forest = forest.with_threshold(tune_threshold(scored, budget=budget))
@@ -84,7 +84,7 @@ def train(
 
 
 def recall_table(result: TrainingResult) -> DataFrame:
-    return recall_by_type(result.evaluated.where(F.col("label") == 1))
+    return recall_by_type(result.evaluated.where(F.col("is_attack") == 1))
 
 
 def release(

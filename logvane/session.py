@@ -1,8 +1,9 @@
-"""Session defaults and the one place that cuts lineage."""
+"""Session defaults and the one place that writes intermediate results."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,6 @@ def build_session(
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update(conf or {})
     builder = SparkSession.builder.appName(app_name)
@@ -53,10 +53,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder below the session's checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/logvane/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage so that later passes re-read it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to shared storage and read it back.
+
+    Later passes read only the columns they use from the written copy, which
+    does not depend on any executor staying alive.
+    """
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
