@@ -22,16 +22,19 @@ def finite(value: Column) -> Column:
     return F.when(F.abs(value) < F.lit(_INFINITY), value)
 
 
-def finite_double(value: Column, *, text: bool = False) -> Column:
-    """Read a number, or null when it is no finite number.
+def number(value: Column, *, text: bool = False) -> Column:
+    """A double, which may be infinite or NaN; null when it is no number.
 
     With ``text`` the source is a string, where the JVM would also take type
     suffixes and hexadecimal floats ("1d", "0x1p3"); these are no numbers here.
     """
-    number = finite(value.try_cast("double"))
-    if text:
-        number = F.when(~value.rlike("[dDfFxXpP]"), number)
-    return number
+    read = value.try_cast("double")
+    return F.when(~value.rlike("[dDfFxXpP]"), read) if text else read
+
+
+def finite_double(value: Column, *, text: bool = False) -> Column:
+    """Read a number, or null when it is no finite number."""
+    return finite(number(value, text=text))
 
 
 def finite_long(value: Column, *, text: bool = False) -> Column:
@@ -57,6 +60,11 @@ def _is_text(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.StringType)
 
 
+def read_number(df: DataFrame, name: str) -> Column:
+    """A column as doubles, infinities and NaN included."""
+    return number(F.col(f"`{name}`"), text=_is_text(df, name))
+
+
 def column_number(df: DataFrame, name: str, *, whole: bool = False) -> Column:
     """``finite_double``/``finite_long`` of a column, null if it is absent."""
     if name not in df.columns:

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from logvane.functions.hashing import unit_interval
 from logvane.operators.quantiles import exact_quantiles
-from logvane.session import materialize, spread
+from logvane.session import materialize
 
 MIN_ROWS = 100
 # The operating point.
@@ -177,7 +177,10 @@ def mean_depths(forest: dict[str, np.ndarray], columns: np.ndarray) -> np.ndarra
 
 
 class IsolationForest(Estimator):
-    """Fits on scaled, benign rows carrying ``scaled`` and the id columns."""
+    """Fits on scaled, benign rows carrying ``scaled`` and unique id columns.
+
+    The rows are read in three passes: pass a stored frame.
+    """
 
     def __init__(
         self,
@@ -197,11 +200,7 @@ class IsolationForest(Estimator):
         self.feature_names = feature_names
 
     def _fit(self, dataset: DataFrame) -> IsolationForestModel:
-        # One write of ids and features; the passes below re-read it instead
-        # of repeating the caller's plan.
-        train = materialize(
-            spread(dataset.select(*[F.col(f"`{c}`") for c in self.ids], "scaled"))
-        )
+        train = dataset.select(*[F.col(f"`{c}`") for c in self.ids], "scaled")
         not_finite = F.exists(
             "scaled", lambda v: v.isNull() | ~(F.abs(v) < F.lit(float("inf")))
         )
@@ -241,7 +240,10 @@ class IsolationForest(Estimator):
         offset = exact_quantiles(
             scores, ["normality"], self.contamination, {"normality": (rows, low, high)}
         )["normality"]
-        return bare.calibrated(offset, deviation if deviation > 0 else 1.0)
+        model = bare.calibrated(offset, deviation if deviation > 0 else 1.0)
+        flagged = scores.agg(F.count_if(model.decision(F.col("normality")) < 0)).first()[0]
+        model.self_flag_rate = flagged / rows
+        return model
 
 
 class IsolationForestModel(Model):
@@ -269,6 +271,8 @@ class IsolationForestModel(Model):
         self.offset = offset
         self.deviation = deviation
         self.threshold = threshold
+        # Share of the training rows beyond the boundary; known after a fit only.
+        self.self_flag_rate: float | None = None
         self._packed_broadcast = None
 
     def _settings(self) -> dict:

@@ -12,7 +12,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,51 +31,68 @@ class _Range:
     rows: int
 
 
-def _spread_out(value: Column) -> Column:
-    """Monotone squeeze that gives heavy tails few bins."""
-    return F.signum(value) * F.log1p(F.abs(value))
+def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(slot, value) for every value, the slot being the column's place."""
+    values = F.array(*[F.col(f"`{c}`") for c in columns])
+    return df.select(F.posexplode(values).alias("slot", "value"))
 
 
-def _bin_of(value: Column, span: _Range, squeeze: bool) -> Column | None:
-    """Monotone bin number, or None when the span is too narrow to divide."""
+def _per_slot(values: Sequence[float]) -> Column:
+    """A constant chosen by slot: one small expression for all columns."""
+    return F.element_at(F.lit(list(values)), F.col("slot") + 1)
+
+
+def _inside(df: DataFrame, ranges: Sequence[_Range]) -> DataFrame:
+    """The values that lie in the range of their slot."""
+    return long_values(df, [r.column for r in ranges]).where(
+        F.col("value").between(
+            _per_slot([r.low for r in ranges]), _per_slot([r.high for r in ranges])
+        )
+    )
+
+
+def _squeezed(value: float) -> float:
+    return math.copysign(math.log1p(abs(value)), value)
+
+
+def _scaling(span: _Range, squeeze: bool) -> tuple[float, float] | None:
+    """(start, factor) of a range's bins, or None if it is too narrow to divide."""
     low, high = span.low, span.high
     if squeeze:
-        value = _spread_out(value)
-        low = math.copysign(math.log1p(abs(low)), low)
-        high = math.copysign(math.log1p(abs(high)), high)
+        low, high = _squeezed(low), _squeezed(high)
     half = high / 2 - low / 2
     if half <= 0 or math.isinf(BINS / half):
         return None
-    place = (value / 2 - F.lit(low / 2)) * F.lit(BINS / half)
-    return F.greatest(
-        F.lit(0), F.least(F.lit(BINS - 1), F.floor(place).cast("int"))
-    ).cast("int")
+    return low / 2, BINS / half
 
 
-def _values_in(df: DataFrame, span: _Range, number: int) -> DataFrame:
-    """The values inside a range; reads that one column only."""
-    column = F.col(f"`{span.column}`")
-    return df.where(column.between(F.lit(span.low), F.lit(span.high))).select(
-        F.lit(number).alias("range"), column.alias("value")
-    )
-
+def _bin(ranges: Sequence[_Range], squeeze: bool) -> Column:
+    """Bin number of a value: monotone, so bins are in value order.
 
-def _union(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionAll, frames)
+    The squeezed scale gives heavy tails few bins.
+    """
+    scalings = [_scaling(r, squeeze) for r in ranges]
+    value = F.col("value")
+    if squeeze:
+        value = F.signum(value) * F.log1p(F.abs(value))
+    place = (value / 2 - _per_slot([s for s, _ in scalings])) * _per_slot(
+        [f for _, f in scalings]
+    )
+    return F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(place).cast("int")))
 
 
 def _divide(df: DataFrame, ranges: Sequence[_Range], squeeze: bool) -> dict[_Range, list]:
     """Histogram of each range: [(rows, smallest, largest)] in value order."""
-    counted = [
-        _values_in(df, r, i)
-        .groupBy("range", _bin_of(F.col("value"), r, squeeze).alias("key"))
+    bins = (
+        _inside(df, ranges)
+        .groupBy("slot", _bin(ranges, squeeze).alias("bin"))
         .agg(F.count("*").alias("rows"), F.min("value"), F.max("value"))
-        for i, r in enumerate(ranges)
-    ]
-    bins = _union(counted).orderBy("range", "key").collect()  # at most BINS rows per range
+        .collect()  # at most BINS rows per range
+    )
+    bins.sort(key=lambda row: (row["slot"], row["bin"]))
     found: dict[_Range, list] = {r: [] for r in ranges}
-    for number, _, rows, smallest, largest in bins:
-        found[ranges[number]].append((rows, smallest, largest))
+    for slot, _, rows, smallest, largest in bins:
+        found[ranges[slot]].append((rows, smallest, largest))
     return found
 
 
@@ -86,19 +102,18 @@ def _rank_inside(
     """Rank the few rows of nearly finished ranges and read the wanted ones."""
     ranges = sorted(set(targets.values()), key=lambda r: (r.column, r.low))
     number = {r: i for i, r in enumerate(ranges)}
-    values = _union(
-        [
-            _values_in(df, r, i).groupBy("range", "value").agg(F.count("*").alias("rows"))
-            for i, r in enumerate(ranges)
-        ]
+    order = Window.partitionBy("slot").orderBy("value")
+    upto = (
+        _inside(df, ranges)
+        .groupBy("slot", "value")
+        .agg(F.count("*").alias("rows"))
+        .withColumn("upto", F.sum("rows").over(order))
     )
-    order = Window.partitionBy("range").orderBy("value")
-    upto = values.withColumn("upto", F.sum("rows").over(order))
     wanted = None
     for (_, rank), r in targets.items():
         place = rank - r.below
         this = (
-            (F.col("range") == number[r])
+            (F.col("slot") == number[r])
             & (F.col("upto") > place)
             & (F.col("upto") - F.col("rows") <= place)
         )
@@ -108,7 +123,7 @@ def _rank_inside(
     for (column, rank), r in targets.items():
         place = rank - r.below
         for row in rows:
-            if row["range"] == number[r] and row["upto"] - row["rows"] <= place < row["upto"]:
+            if row["slot"] == number[r] and row["upto"] - row["rows"] <= place < row["upto"]:
                 answer[column, rank] = row["value"]
     return answer
 
@@ -116,12 +131,14 @@ def _rank_inside(
 def column_extent(df: DataFrame, columns: Iterable[str]) -> dict[str, tuple[int, float, float]]:
     """Row count, minimum and maximum of each column in one pass."""
     columns = list(columns)
-    aggregates = []
-    for c in columns:
-        column = F.col(f"`{c}`")
-        aggregates += [F.count(column), F.min(column), F.max(column)]
-    row = df.agg(*aggregates).first()
-    return {c: (row[3 * i], row[3 * i + 1], row[3 * i + 2]) for i, c in enumerate(columns)}
+    rows = (
+        long_values(df, columns)
+        .groupBy("slot")
+        .agg(F.count("value"), F.min("value"), F.max("value"))
+        .collect()  # one row per column
+    )
+    found = {columns[slot]: (count, low, high) for slot, count, low, high in rows}
+    return {c: found.get(c, (0, None, None)) for c in columns}
 
 
 def order_statistics(
@@ -133,7 +150,7 @@ def order_statistics(
     """Value at each 0-based ascending rank of each column.
 
     Columns must be doubles without NaN or infinities; nulls are ignored. The
-    frame is read once per pass and column: pass columnar or written data.
+    frame is read once per pass, only these columns: pass written data.
     """
     extent = extent or column_extent(df, ranks)
     answer: dict[tuple[str, int], float] = {}
@@ -152,7 +169,7 @@ def order_statistics(
         for target, r in open_targets.items():
             if r.low == r.high:
                 answer[target] = r.low
-            elif r.rows <= ranked_rows or _bin_of(F.lit(0.0), r, squeeze) is None:
+            elif r.rows <= ranked_rows or _scaling(r, squeeze) is None:
                 small[target] = r
             else:
                 pending[target] = r

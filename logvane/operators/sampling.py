@@ -18,20 +18,30 @@ MIN_ATTACK_ROWS = 300
 SEED = 42
 TRAIN_SHARE = 0.8
 
-_BUCKET_DIGITS = 3
+# Hash digits added per counting pass, and rows that may be ranked outright.
+PREFIX_DIGITS = 3
+RANKED_ROWS = 1_000_000
+
+
+def is_benign(label: str = LABEL_COLUMN) -> Column:
+    """By trimmed label; a missing label is no benign row."""
+    return F.coalesce(clean_label(F.col(label)) == BENIGN_LABEL, F.lit(False))
 
 
 def split_benign(df: DataFrame, label: str = LABEL_COLUMN) -> tuple[DataFrame, DataFrame]:
-    """(benign, attack) by trimmed label; a missing label is no benign row."""
-    benign = F.coalesce(clean_label(F.col(label)) == BENIGN_LABEL, F.lit(False))
-    return df.where(benign), df.where(~benign)
+    """(benign, attack)."""
+    return df.where(is_benign(label)), df.where(~is_benign(label))
+
+
+def is_train(ids: Sequence[str], train_share: float = TRAIN_SHARE, seed: int = SEED) -> Column:
+    return digest_below(row_digest(seed, ids), train_share)
 
 
 def train_test_split(
     df: DataFrame, ids: Sequence[str], train_share: float = TRAIN_SHARE, seed: int = SEED
 ) -> tuple[DataFrame, DataFrame]:
     """Two filters over one hash: no shuffle, and stable under repartitioning."""
-    train = digest_below(row_digest(seed, ids), train_share)
+    train = is_train(ids, train_share, seed)
     return df.where(train), df.where(~train)
 
 
@@ -66,22 +76,23 @@ def sampling_fractions(df: DataFrame, by: Sequence[str] = ("file",)) -> DataFram
     )
 
 
-def _bucket_cutoff(
-    buckets: DataFrame, strata: Sequence[str], bucket: str, wanted: str
-) -> DataFrame:
+def _edge_buckets(buckets: DataFrame, strata: Sequence[str], wanted: str) -> DataFrame:
     """The bucket in which each stratum's running count reaches ``wanted``.
 
-    ``buckets`` has at most 16**3 rows per stratum, whatever its size.
+    A stratum has at most ``16 ** PREFIX_DIGITS`` buckets, whatever its size.
     """
-    upto = Window.partitionBy(*strata).orderBy(bucket)
+    upto = Window.partitionBy(*strata).orderBy("_prefix")
+    place = F.col(wanted) - F.col("_upto") + F.col("_rows")
     return (
-        buckets.withColumn("_upto", F.sum("rows").over(upto))
-        .where((F.col("_upto") >= F.col(wanted)) & (F.col("_upto") - F.col("rows") < F.col(wanted)))
-        .select(
-            *strata,
-            bucket,
-            (F.col(wanted) - F.col("_upto") + F.col("rows")).alias("still_wanted"),
-        )
+        buckets.withColumn("_upto", F.sum("_rows").over(upto))
+        .where((F.col("_upto") >= F.col(wanted)) & (place > 0))
+        .select(*strata, "_prefix", "_rows", place.alias("_place"))
+    )
+
+
+def _count_prefixes(hashed: DataFrame, strata: Sequence[str], digits: int) -> DataFrame:
+    return hashed.groupBy(*strata, F.substring("_digest", 1, digits).alias("_prefix")).agg(
+        F.count("*").alias("_rows")
     )
 
 
@@ -91,70 +102,59 @@ def stratified_sample(
     by: Sequence[str] = ("file",),
     seed: int = SEED,
     exact: bool = True,
+    ranked_rows: int = RANKED_ROWS,
 ) -> DataFrame:
     """Class-aware sample: the rows with the smallest hashes of each stratum.
 
-    A hot label may hold most rows, so no stratum is ever sorted as a group:
-    two narrow counting passes over hash prefixes locate the bucket that
-    contains the quota-th hash, only that bucket (about one row in 16.7
-    million) is ranked, and the sample is then a filter ``hash <= cutoff``.
+    A hot label may hold most rows, so no stratum is ever sorted as a group.
+    Narrow counting passes over hash prefixes (4096 buckets each) close in on
+    the bucket that holds the quota-th hash until it has few rows; only that
+    bucket is ranked, and the sample is then a filter ``hash <= cutoff``.
 
     With ``exact=False`` each row is kept with its stratum's fraction, which
     needs only the label counts.
     """
     strata = [*by, "_label"]
-    labelled = df.withColumn("_label", F.coalesce(clean_label(F.col(LABEL_COLUMN)), F.lit("")))
-    hashed = labelled.withColumn("_digest", row_digest(seed, ids))
+    label = F.coalesce(clean_label(F.col(LABEL_COLUMN)), F.lit(""))
+    hashed = df.withColumn("_label", label).withColumn("_digest", row_digest(seed, ids))
     narrow = hashed.select(*strata, "_digest")
-    first, second = 1, 1 + _BUCKET_DIGITS
 
-    level1 = (
-        narrow.withColumn("_b1", F.substring("_digest", first, _BUCKET_DIGITS))
-        .groupBy(*strata, "_b1")
-        .agg(F.count("*").alias("rows"))
-    )
-    total = F.sum("rows").over(Window.partitionBy(*strata))
-    sized = level1.withColumn("_total", total).withColumn(
-        "fraction", sampling_fraction(F.col("_label"), F.col("_total"))
-    )
     if not exact:
-        fractions = broadcast_if_small(
-            sized.select(
-                *strata,
-                F.lpad(
-                    F.lower(F.hex((F.col("fraction") * F.lit(2.0**32)).cast("bigint"))), 9, "0"
-                ).alias("_limit"),
-            ).distinct()
+        fraction = sampling_fraction(F.col("_label"), F.col("_rows"))
+        limit = F.lower(F.hex((fraction * F.lit(2.0**32)).cast("bigint")))
+        limits = broadcast_if_small(
+            narrow.groupBy(*strata)
+            .agg(F.count("*").alias("_rows"))
+            .select(*strata, F.lpad(limit, 9, "0").alias("_limit"))
         )
         kept = F.concat(F.lit("0"), F.substring("_digest", 1, 8)) < F.col("_limit")
-        return hashed.join(fractions, strata).where(kept).select(*df.columns)
-
-    quotas = sized.withColumn(
-        "quota", F.bround(F.col("fraction") * F.col("_total")).cast("bigint")
-    )
-    edge1 = broadcast_if_small(
-        _bucket_cutoff(quotas, strata, "_b1", "quota").withColumnRenamed("still_wanted", "_want1")
-    )
-    in_edge1 = narrow.join(edge1, strata).where(
-        F.substring("_digest", first, _BUCKET_DIGITS) == F.col("_b1")
-    )
-    level2 = (
-        in_edge1.withColumn("_b2", F.substring("_digest", second, _BUCKET_DIGITS))
-        .groupBy(*strata, "_b1", "_want1", "_b2")
-        .agg(F.count("*").alias("rows"))
-    )
-    edge2 = broadcast_if_small(
-        _bucket_cutoff(level2, [*strata, "_b1"], "_b2", "_want1")
-    )
-    ranked = (
-        narrow.join(edge2, strata)
-        .where(F.col("_digest").startswith(F.concat("_b1", "_b2")))
-        .withColumn("_rank", F.row_number().over(Window.partitionBy(*strata).orderBy("_digest")))
+        return hashed.join(limits, strata).where(kept).select(*df.columns)
+
+    digits = PREFIX_DIGITS
+    total = F.sum("_rows").over(Window.partitionBy(*strata))
+    quota = F.bround(sampling_fraction(F.col("_label"), F.col("_total")) * F.col("_total"))
+    counted = (
+        _count_prefixes(narrow, strata, digits)
+        .withColumn("_total", total)
+        .withColumn("_quota", quota.cast("bigint"))
     )
-    cutoffs = broadcast_if_small(
-        ranked.where(F.col("_rank") == F.col("still_wanted")).select(
-            *strata, F.col("_digest").alias("_cutoff")
+    edges = broadcast_if_small(_edge_buckets(counted, strata, "_quota"))
+    in_prefix = F.substring("_digest", 1, F.length("_prefix")) == F.col("_prefix")
+    while (edges.agg(F.max("_rows")).first()[0] or 0) > ranked_rows:
+        digits += PREFIX_DIGITS
+        wanted = edges.select(*strata, "_prefix", F.col("_place").alias("_wanted"))
+        inside = narrow.join(wanted, strata).where(in_prefix)
+        counted = _count_prefixes(inside.drop("_prefix"), [*strata, "_wanted"], digits)
+        edges = broadcast_if_small(
+            _edge_buckets(counted, [*strata, "_wanted"], "_wanted").drop("_wanted")
         )
+    rank = F.row_number().over(Window.partitionBy(*strata).orderBy("_digest"))
+    cutoffs = broadcast_if_small(
+        narrow.join(edges, strata)
+        .where(in_prefix)
+        .withColumn("_rank", rank)
+        .where(F.col("_rank") == F.col("_place"))
+        .select(*strata, F.col("_digest").alias("_cutoff"))
     )
     return (
         hashed.join(cutoffs, strata)

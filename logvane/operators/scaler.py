@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.base import Estimator, Model
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logvane.functions.coerce import column_number, finite
-from logvane.operators.quantiles import exact_quantiles
+from logvane.functions.coerce import column_number, finite, read_number
+from logvane.operators.quantiles import exact_quantiles, long_values
 from logvane.schema import FEATURE_COLUMNS
 from logvane.session import materialize
 
@@ -42,9 +43,17 @@ def require_columns(df: DataFrame, columns) -> None:
 
 
 def clean_rows(df: DataFrame, columns) -> DataFrame:
-    """The feature columns of the rows in which every one of them is finite."""
+    """The feature columns of the rows in which every one of them is finite.
+
+    A finite number times zero is zero; infinity and NaN give NaN, null stays
+    null. One sum therefore tests all columns at once.
+    """
     require_columns(df, columns)
-    return df.select(*[column_number(df, c).alias(c) for c in columns]).dropna()
+    numbers = [read_number(df, c) for c in columns]
+    all_zero = reduce(Column.__add__, [n * F.lit(0.0) for n in numbers])
+    return df.where(all_zero == F.lit(0.0)).select(
+        *[n.alias(c) for n, c in zip(numbers, columns)]
+    )
 
 
 class BaselineScaler(Estimator):
@@ -59,25 +68,38 @@ class BaselineScaler(Estimator):
         self.columns = list(columns)
 
     def _fit(self, dataset: DataFrame) -> BaselineScalerModel:
-        # The median passes read one column at a time from this written copy.
+        # Written once as plain columns: the passes below stay small enough to
+        # be compiled, whatever plan the rows come from.
         clean = materialize(clean_rows(dataset, self.columns))
-        aggregates = [F.count("*")]
-        for c in self.columns:
-            col = F.col(f"`{c}`")
-            aggregates += [F.avg(col), F.stddev_pop(col), F.min(col), F.max(col)]
-        row = clean.agg(*aggregates).first()
-        rows = row[0]
+        summary = (
+            long_values(clean, self.columns)
+            .groupBy("slot")
+            .agg(
+                F.count("value").alias("rows"),
+                F.avg("value").alias("mean"),
+                F.stddev_pop("value").alias("deviation"),
+                F.min("value").alias("low"),
+                F.max("value").alias("high"),
+            )
+            .collect()  # one row per feature
+        )
+        stats = {self.columns[row["slot"]]: row for row in summary}
+        rows = summary[0]["rows"] if summary else 0
         if rows < MIN_ROWS:
             raise ValueError(
                 f"only {rows} clean rows; at least {MIN_ROWS} are needed to fit a scaler"
             )
-        stats = {c: row[1 + 4 * i : 5 + 4 * i] for i, c in enumerate(self.columns)}
-        extent = {c: (rows, low, high) for c, (_, _, low, high) in stats.items()}
+        extent = {c: (rows, row["low"], row["high"]) for c, row in stats.items()}
         medians = exact_quantiles(clean, self.columns, 0.5, extent)
         return BaselineScalerModel(
             [
-                FeatureParams(c, medians[c], mean, deviation if deviation > 0 else 1.0)
-                for c, (mean, deviation, _, _) in stats.items()
+                FeatureParams(
+                    c,
+                    medians[c],
+                    stats[c]["mean"],
+                    stats[c]["deviation"] if stats[c]["deviation"] > 0 else 1.0,
+                )
+                for c in self.columns
             ],
             fitted_rows=rows,
         )
@@ -106,7 +128,7 @@ class BaselineScalerModel(Model):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         require_columns(dataset, self.columns)
-        raw = {c: column_number(dataset, c) for c in self.columns}
+        raw = {c: read_number(dataset, c) for c in self.columns}
         return dataset.withColumn("scaled", F.array(*self.scaled(raw)))
 
     def params_frame(self, spark: SparkSession) -> DataFrame:
@@ -125,7 +147,7 @@ class BaselineScalerModel(Model):
 
 def long_deviations(df: DataFrame, model: BaselineScalerModel, keep: list[str]) -> DataFrame:
     """Long form: one row per (row, feature) with its standard score."""
-    raw = {c: column_number(df, c) for c in model.columns}
+    raw = {c: read_number(df, c) for c in model.columns}
     entries = [
         F.struct(F.lit(c).alias("feature"), z.alias("deviation"))
         for c, z in zip(model.columns, model.scaled(raw))
@@ -145,8 +167,8 @@ def class_feature_stats(df: DataFrame, columns, class_column: str) -> DataFrame:
         *[
             F.struct(
                 F.lit(c).alias("feature"),
-                F.avg(finite(column_number(df, c))).alias("mean"),
-                F.stddev_pop(finite(column_number(df, c))).alias("std"),
+                F.avg(column_number(df, c)).alias("mean"),
+                F.stddev_pop(column_number(df, c)).alias("std"),
             ).alias(f"_f{i}")
             for i, c in enumerate(columns)
         ]

@@ -35,7 +35,7 @@ from logvane.operators.validation import (
 )
 from logvane.plans.training import recall_table, train
 from logvane.schema import FEATURE_COLUMNS, LABEL_COLUMN, TOP_FEATURE_TYPE
-from logvane.session import scratch_path, spread
+from logvane.session import scratch_path
 from logvane.sources import driver_tables as tables
 from logvane.sources.flow_files import read_flow_csv
 from logvane.sources.log_table import LogTable, assign_ids
@@ -332,7 +332,7 @@ def alert_narratives(spark, sf_dir):
 
 @query
 def parsed_flows(spark, sf_dir):
-    logs = parse_flows(tables.flows(spark, sf_dir), F.lit(WINDOW_START), keep=["flow_id"])
+    logs = parse_flows(tables.flows(spark, sf_dir, spread_out=True), F.lit(WINDOW_START), keep=["flow_id"])
     return logs.select(
         "flow_id",
         micros("event_time"),
@@ -345,7 +345,7 @@ def parsed_flows(spark, sf_dir):
 
 @query
 def feature_map(spark, sf_dir):
-    logs = parse_flows(tables.flows(spark, sf_dir), F.lit(WINDOW_START), keep=["flow_id"])
+    logs = parse_flows(tables.flows(spark, sf_dir, spread_out=True), F.lit(WINDOW_START), keep=["flow_id"])
     return logs.select(
         "flow_id",
         F.array_join(F.array_sort(F.map_keys("features")), "|").alias("names"),
@@ -357,7 +357,7 @@ def feature_map(spark, sf_dir):
 
 @query
 def raw_payload_json(spark, sf_dir):
-    logs = parse_flows(tables.flows(spark, sf_dir), F.lit(WINDOW_START), keep=["flow_id"])
+    logs = parse_flows(tables.flows(spark, sf_dir, spread_out=True), F.lit(WINDOW_START), keep=["flow_id"])
     payload = F.col("raw_payload")
 
     def number(name: str) -> Column:
@@ -424,7 +424,7 @@ def sampling_fractions(spark, sf_dir):
 
 @query
 def stratified_sample(spark, sf_dir):
-    drawn = sampling.stratified_sample(tables.flows(spark, sf_dir), tables.FLOW_IDS)
+    drawn = sampling.stratified_sample(tables.flows(spark, sf_dir, spread_out=True), tables.FLOW_IDS)
     return drawn.select("flow_id", "file", clean_label(F.col("Label")).alias("label"))
 
 
@@ -479,7 +479,7 @@ def flow_csv_source(spark, sf_dir):
 
 @query
 def feature_params(spark, sf_dir):
-    model = BaselineScaler().fit(spread(_benign(tables.flows(spark, sf_dir))))
+    model = BaselineScaler().fit(_benign(tables.flows(spark, sf_dir, spread_out=True)))
     return model.params_frame(spark).select(
         "position",
         "feature",
@@ -497,8 +497,8 @@ def clean_benign_rows(spark, sf_dir):
 
 @query
 def scaled_features(spark, sf_dir):
-    flows = tables.flows(spark, sf_dir)
-    model = BaselineScaler().fit(spread(_benign(flows)))
+    flows = tables.flows(spark, sf_dir, spread_out=True)
+    model = BaselineScaler().fit(_benign(flows))
     scaled = model.transform(flows)
     return scaled.select(
         "flow_id",
@@ -521,8 +521,8 @@ def class_feature_summary(spark, sf_dir):
 @query
 def deviations_long(spark, sf_dir):
     """Mean absolute deviation from the benign baseline per label and feature."""
-    flows = tables.flows(spark, sf_dir)
-    model = BaselineScaler().fit(spread(_benign(flows)))
+    flows = tables.flows(spark, sf_dir, spread_out=True)
+    model = BaselineScaler().fit(_benign(flows))
     long = long_deviations(flows, model, ["Label"])
     label = F.coalesce(clean_label(F.col("Label")), F.lit(""))
     return long.groupBy(label.alias("label"), "feature").agg(
@@ -532,8 +532,8 @@ def deviations_long(spark, sf_dir):
 
 @query
 def top_deviation_features(spark, sf_dir):
-    flows = tables.flows(spark, sf_dir)
-    model = BaselineScaler().fit(spread(_benign(flows)))
+    flows = tables.flows(spark, sf_dir, spread_out=True)
+    model = BaselineScaler().fit(_benign(flows))
     raw = {c: F.col(f"`{c}`") for c in model.columns}
     top = top_deviations(model.columns, model.scaled(raw))
     return flows.select("flow_id", F.posexplode(top).alias("place", "top")).select(
@@ -559,7 +559,7 @@ def fixed_forest() -> IsolationForestModel:
 def fixed_forest_scores(spark, sf_dir):
     """The scorer against a forest small enough to write out as SQL."""
     forest = fixed_forest()
-    flows = spread(tables.flows(spark, sf_dir))
+    flows = tables.flows(spark, sf_dir, spread_out=True)
     raw = [F.col(f"`{c}`") for c in FEATURE_COLUMNS]
     scored = flows.select("flow_id", forest.decision(forest.normality(raw)).alias("decision"))
     score = forest.anomaly_score(F.col("decision"))
@@ -619,7 +619,7 @@ def recall_by_label(spark, sf_dir):
 @query
 def self_flag_rate(spark, sf_dir):
     """Share of benign rows beyond a fixed forest's boundary."""
-    benign = spread(_benign(tables.flows(spark, sf_dir)))
+    benign = _benign(tables.flows(spark, sf_dir, spread_out=True))
     forest = fixed_forest()
     raw = [F.col(f"`{c}`") for c in FEATURE_COLUMNS]
     outlier = (forest.decision(forest.normality(raw)) < 0).cast("int")
@@ -630,15 +630,15 @@ def self_flag_rate(spark, sf_dir):
 @query
 def trained_forest_scores(spark, sf_dir):
     """Train on the benign split, then score every flow."""
-    flows = tables.flows(spark, sf_dir)
+    flows = tables.flows(spark, sf_dir, spread_out=True)
     detector = train(flows, tables.FLOW_IDS).detector
-    scored = detector.forest.transform(detector.scaler.transform(spread(flows)))
+    scored = detector.forest.transform(detector.scaler.transform(flows))
     return scored.select("flow_id", "decision", "anomaly_score", "is_outlier", "is_alert")
 
 
 @query
 def training_metrics(spark, sf_dir):
-    result = train(tables.flows(spark, sf_dir), tables.FLOW_IDS)
+    result = train(tables.flows(spark, sf_dir, spread_out=True), tables.FLOW_IDS)
     return evaluation.evaluate(result.evaluated).select(
         F.lit(result.detector.forest.threshold).alias("threshold"),
         F.lit(result.flag_rate).alias("self_flag_rate"),
@@ -648,16 +648,16 @@ def training_metrics(spark, sf_dir):
 
 @query
 def training_recall(spark, sf_dir):
-    return recall_table(train(tables.flows(spark, sf_dir), tables.FLOW_IDS))
+    return recall_table(train(tables.flows(spark, sf_dir, spread_out=True), tables.FLOW_IDS))
 
 
 @query
 def scored_logs(spark, sf_dir):
     """Raw flows to scored, explained and tiered logs in one plan."""
-    flows = tables.flows(spark, sf_dir)
+    flows = tables.flows(spark, sf_dir, spread_out=True)
     detector = train(flows, tables.FLOW_IDS).detector
     logs = score_logs(
-        parse_flows(spread(flows), F.lit(WINDOW_START), keep=["flow_id"]), detector
+        parse_flows(flows, F.lit(WINDOW_START), keep=["flow_id"]), detector
     )
     return logs.select(
         "flow_id",
@@ -672,7 +672,7 @@ def scored_logs(spark, sf_dir):
 @query
 def unscored_logs(spark, sf_dir):
     """Without a detector every log is kept, unscored."""
-    logs = parse_flows(tables.flows(spark, sf_dir), F.lit(WINDOW_START), keep=["flow_id"])
+    logs = parse_flows(tables.flows(spark, sf_dir, spread_out=True), F.lit(WINDOW_START), keep=["flow_id"])
     kept = score_logs(logs, None)
     return kept.select(
         "flow_id",

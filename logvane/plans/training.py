@@ -8,21 +8,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logvane.functions.coerce import clean_label, column_number
+from logvane.functions.coerce import clean_label, read_number
 from logvane.operators.evaluation import (
     METRIC_COLUMNS,
     evaluate,
     evaluation_set,
     recall_by_type,
-    self_flag_rate,
 )
 from logvane.operators.forest import IsolationForest, classify
-from logvane.operators.sampling import split_benign, train_test_split
+from logvane.operators.sampling import is_benign, is_train
 from logvane.operators.scaler import BaselineScaler
 from logvane.operators.scoring import Detector
 from logvane.operators.threshold import FPR_BUDGET, tune_threshold
 from logvane.schema import FEATURE_COLUMNS, LABEL_COLUMN
-from logvane.session import materialize, spread
+from logvane.session import materialize
 from logvane.sources.release import save_model, write_card
 
 
@@ -36,6 +35,19 @@ class TrainingResult:
     attack_rows: int
 
 
+def _stored_parts(flows: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
+    """What training needs, written once: all its passes re-read this copy.
+
+    ``part`` is train or test for benign rows and attack for all others.
+    """
+    numbers = [read_number(flows, c).alias(c) for c in columns]
+    kind = clean_label(F.col(LABEL_COLUMN)).alias("event_type")
+    part = F.when(~is_benign(), F.lit("attack")).when(is_train(ids), F.lit("train"))
+    return materialize(
+        flows.select(*ids, kind, part.otherwise(F.lit("test")).alias("part"), *numbers)
+    )
+
+
 def train(
     flows: DataFrame,
     ids: Sequence[str],
@@ -50,22 +62,21 @@ def train(
     split, or ``"all_benign"``, which also shows it the held-out benign rows.
     """
     columns = list(columns)
-    # Written once with only what training needs; all passes re-read this copy.
-    narrow = flows.select(
-        *ids, LABEL_COLUMN, *[column_number(flows, c).alias(c) for c in columns]
+    stored = _stored_parts(flows, list(ids), columns)
+    benign_train = stored.where(F.col("part") == "train")
+    scaler = BaselineScaler(columns).fit(
+        stored.where(F.col("part") != "attack") if fit_on == "all_benign" else benign_train
     )
-    source = materialize(spread(narrow))
-    benign, attack = split_benign(source)
-    benign_train, benign_test = train_test_split(benign, ids)
-    scaler = BaselineScaler(columns).fit(benign if fit_on == "all_benign" else benign_train)
     forest = IsolationForest(list(ids), feature_names=columns, **forest_options).fit(
         scaler.transform(benign_train)
     )
-    flag_rate = self_flag_rate(forest.transform(scaler.transform(benign_train))).first()[0]
-
+    flag_rate = forest.self_flag_rate
+    held_out = evaluation_set(
+        stored.where(F.col("part") == "test"), stored.where(F.col("part") == "attack")
+    )
     scored = materialize(
-        forest.transform(scaler.transform(evaluation_set(benign_test, attack))).select(
-            *ids, clean_label(F.col(LABEL_COLUMN)).alias("event_type"), "is_attack", "anomaly_score"
+        forest.transform(scaler.transform(held_out)).select(
+            *ids, "event_type", "is_attack", "anomaly_score"
         )
     )
     forest = forest.with_threshold(tune_threshold(scored, budget=budget))

@@ -79,11 +79,12 @@ def broadcast_if_small(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> D
     return F.broadcast(side) if side.count() <= row_limit else side
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition an input that has fewer splits than the session has cores.
 
     Only small inputs (such as one file with a single row group) qualify, so
-    the shuffle this adds is bounded by what one task could read.
+    the shuffle this adds is bounded by what one task could read. Hashing
+    near-unique keys is stable under retries and needs no sort.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logvane.session import spread
+
 FLOW_IDS = ["flow_id"]
 
 
@@ -65,8 +67,15 @@ def log_entries_of(events: DataFrame) -> DataFrame:
     )
 
 
-def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` as labelled network flows with the 18 model columns."""
+def flows(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFrame:
+    """``lineitem`` as labelled network flows with the 18 model columns.
+
+    ``spread_out`` shares a scan of few splits among all cores, for queries
+    that do much work per row.
+    """
+    lineitem = read_table(spark, sf_dir, "lineitem")
+    if spread_out:
+        lineitem = spread(lineitem, "l_orderkey", "l_partkey")
     quantity, price = F.col("l_quantity"), F.col("l_extendedprice")
     discount, tax = F.col("l_discount"), F.col("l_tax")
     line = F.col("l_linenumber").cast("bigint")
@@ -110,7 +119,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         ],
         "BENIGN",
     )
-    return read_table(spark, sf_dir, "lineitem").select(
+    return lineitem.select(
         F.concat_ws(
             "-",
             order.cast("string"),
@@ -133,7 +142,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages_of(read_table(spark, sf_dir, "events"))
+    return messages_of(spread(read_table(spark, sf_dir, "events"), "event_id"))
 
 
 def messages_of(events: DataFrame) -> DataFrame:
