@@ -701,7 +701,8 @@ def _event_stream(spark: SparkSession, sf_dir: str, view) -> DataFrame:
         .option("pathGlobFilter", "events.parquet")
         .parquet(sf_dir.rstrip("/"))
     )
-    return view(events)
+    # One small file is one split; parsing it is shared among the cores.
+    return view(events.repartition(spark.sparkContext.defaultParallelism, "event_id"))
 
 
 def _drained(spark: SparkSession, query: DataFrame, mode: str = "complete") -> DataFrame:

@@ -65,6 +65,9 @@ class LogTable:
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} "
             f"({columns}, ingest_date date, load bigint) USING parquet "
+            # A table option, as insertInto does not take it from the writer;
+            # without it an overwrite would replace the whole table.
+            "OPTIONS (partitionOverwriteMode 'dynamic') "
             f"PARTITIONED BY ({', '.join(PARTITIONS)}) LOCATION '{self.location}'"
         )
         return self
@@ -87,7 +90,6 @@ class LogTable:
         (
             stored.sortWithinPartitions("ingest_date", "anomaly_score")
             .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
             .insertInto(self.name)
         )
 
