@@ -6,9 +6,9 @@ ordering, so windows only ever see buckets, never raw logs.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logvane.functions.severity import severity, severity_weight, technique, threat_label
@@ -16,6 +16,7 @@ from logvane.operators.ordering import CHUNK_ROWS, trailing_mean
 
 # Sizes of the live view.
 BUCKET_SECONDS = 3
+BUCKET_MICROS = BUCKET_SECONDS * 1_000_000
 TIMELINE_BUCKETS = 30
 HISTORY_TICKS = 40
 THREAT_LOGS = 40
@@ -175,21 +176,45 @@ def time_bucket(instant: Column, seconds: int = BUCKET_SECONDS) -> Column:
     return F.floor(F.unix_micros(instant) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
-def _newest_bucket(logs: DataFrame, now: datetime | None) -> Column:
-    """Bucket of ``now``, or of the newest log (a one-row subquery)."""
+def _instant(micros: int) -> Column:
+    return F.timestamp_micros(F.lit(micros))
+
+
+def _between(logs: DataFrame, start: int, end: int) -> DataFrame:
+    """Logs created in [start, end) epoch microseconds.
+
+    The bounds are constants, so they select partitions and row groups.
+    """
+    logs = logs.where(
+        (F.col("created_at") >= _instant(start)) & (F.col("created_at") < _instant(end))
+    )
+    if "ingest_date" in logs.columns:
+        days = F.col("ingest_date").between(
+            F.to_date(_instant(start)), F.to_date(_instant(end))
+        )
+        logs = logs.where(days)
+    return logs
+
+
+def newest_instant(logs: DataFrame, now: datetime | None = None) -> int | None:
+    """``now``, or else the time of the newest log, in epoch microseconds.
+
+    Read once as a number; a partitioned table is asked for its last day first.
+    """
     if now is not None:
-        return time_bucket(F.lit(now))
-    return logs.select(time_bucket(F.max("created_at"))).scalar()
-
-
-def _ticks(logs: DataFrame, count: int, now: datetime | None) -> DataFrame:
-    """The last ``count`` bucket numbers; none for an empty table without ``now``."""
-    spark = logs.sparkSession
-    newest = spark.range(1).select(_newest_bucket(logs, now).alias("newest"))
-    return newest.where(F.col("newest").isNotNull()).select(
-        F.explode(
-            F.sequence(F.col("newest") - F.lit(count - 1), F.col("newest"))
-        ).alias("bucket")
+        aware = now if now.tzinfo is not None else now.replace(tzinfo=timezone.utc)
+        return (aware - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+    if "ingest_date" in logs.columns:
+        last_day = logs.agg(F.max("ingest_date")).first()[0]
+        logs = logs.where(F.col("ingest_date") == F.lit(last_day))
+    return logs.agg(F.max(F.unix_micros("created_at"))).first()[0]
+
+
+def _ticks(spark: SparkSession, newest: int | None, count: int) -> DataFrame:
+    """The last ``count`` bucket numbers up to ``newest``; none without it."""
+    last = -1 if newest is None else newest // BUCKET_MICROS
+    return spark.range(last - count + 1 if newest is not None else 0, last + 1).select(
+        F.col("id").alias("bucket")
     )
 
 
@@ -197,15 +222,16 @@ def alerts_timeline(
     logs: DataFrame, buckets: int = TIMELINE_BUCKETS, now: datetime | None = None
 ) -> DataFrame:
     """Alerts per 3-second bucket over the last buckets, empty ones as zero."""
-    newest = _newest_bucket(logs, now)
-    bucket = time_bucket(F.col("created_at"))
+    newest = newest_instant(logs, now)
+    last = (newest or 0) // BUCKET_MICROS
     counted = (
-        logs.where(F.col("is_alert") & (bucket > newest - F.lit(buckets)) & (bucket <= newest))
-        .groupBy(bucket.alias("bucket"))
+        _between(logs, (last - buckets + 1) * BUCKET_MICROS, (last + 1) * BUCKET_MICROS)
+        .where("is_alert")
+        .groupBy(time_bucket(F.col("created_at")).alias("bucket"))
         .agg(F.count("*").alias("alerts"))
     )
     return (
-        _ticks(logs, buckets, now)
+        _ticks(logs.sparkSession, newest, buckets)
         .join(counted, "bucket", "left")
         .select("bucket", F.coalesce("alerts", F.lit(0)).alias("alerts"))
     )
@@ -215,9 +241,10 @@ def logs_in_trailing_minute(
     logs: DataFrame, now: datetime | None = None, seconds: int = RATE_SECONDS
 ) -> DataFrame:
     """Logs of the 60 seconds up to ``now``, or up to the newest log."""
-    end = F.lit(now) if now is not None else logs.select(F.max("created_at")).scalar()
-    start = end - F.make_dt_interval(secs=F.lit(seconds))
-    return logs.where((F.col("created_at") > start) & (F.col("created_at") <= end))
+    newest = newest_instant(logs, now)
+    if newest is None:
+        return logs
+    return _between(logs, newest - seconds * 1_000_000 + 1, newest + 1)
 
 
 def logs_per_minute(logs: DataFrame, chunk_buckets: int = 1200) -> DataFrame:
@@ -252,13 +279,14 @@ def kpi_history(
     Everything older than the first tick collapses into one group, so the
     running sum covers ``ticks`` rows whatever the table holds.
     """
-    newest = _newest_bucket(logs, now)
+    newest = newest_instant(logs, now)
+    last = (newest or 0) // BUCKET_MICROS
     bucket = time_bucket(F.col("created_at"))
     scored_alert = F.when(F.col("is_alert"), F.col("anomaly_score"))
     tier = severity(F.col("anomaly_score"), F.col("is_alert"))
     grouped = (
-        logs.where(bucket <= newest)
-        .groupBy(F.greatest(bucket, newest - F.lit(ticks - 1)).alias("bucket"))
+        logs.where(F.col("created_at") < _instant((last + 1) * BUCKET_MICROS))
+        .groupBy(F.greatest(bucket, F.lit(last - ticks + 1)).alias("bucket"))
         .agg(
             F.count("*").alias("logs"),
             F.count_if("is_alert").alias("alerts"),
@@ -272,7 +300,7 @@ def kpi_history(
     def running(name: str) -> Column:
         return F.sum(F.coalesce(name, F.lit(0))).over(until)
 
-    cumulative = _ticks(logs, ticks, now).join(grouped, "bucket", "left").select(
+    cumulative = _ticks(logs.sparkSession, newest, ticks).join(grouped, "bucket", "left").select(
         "bucket",
         *[running(c).alias(c) for c in ("logs", "alerts", "critical", "score_sum", "score_count")],
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from logvane.session import broadcast_if_small, materialize
 
 CHUNK_ROWS = 50_000
+BLOCK_ROWS = 5_000_000
 
 
 def running_sums(
@@ -25,8 +26,8 @@ def running_sums(
     ``order`` must be a total order (end it with a unique id). The blocks are
     written once, because a range partitioning computed twice may differ.
     """
-    spark = df.sparkSession
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(partitions, df.count() // BLOCK_ROWS + 1)
     keyed = df.select(
         "*",
         *[c.alias(f"_order_{i}") for i, c in enumerate(order)],
