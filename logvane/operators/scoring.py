@@ -57,13 +57,24 @@ def score_feature_maps(df: DataFrame, detector: Detector, features: str = "featu
     raw = {name: F.col(features)[name] for name in names}
     scored = df.withColumn("_z", F.array(*detector.scaler.scaled(raw)))
     forest = detector.forest
+    count = min(TOP_FEATURES, len(names))
     z = [F.col("_z")[i] for i in range(len(names))]
-    scored = scored.withColumn("_normality", forest.normality(z))
+    scored = scored.withColumn("_score", forest.ranked_normality(z, count))
+    top = F.array(
+        *[
+            F.struct(
+                F.element_at(F.lit(names), place + 1).alias("feature"),
+                F.round(F.element_at("_z", place + 1), 2).alias("deviation"),
+            )
+            for place in (F.col(f"_score.place_{i}") for i in range(count))
+        ]
+    )
+    score = forest.anomaly_score(forest.decision(F.col("_score.normality")))
     return (
-        scored.withColumn("anomaly_score", forest.anomaly_score(forest.decision(F.col("_normality"))))
+        scored.withColumn("anomaly_score", score)
         .withColumn("is_alert", classify(F.col("anomaly_score"), forest.threshold))
-        .withColumn("top_features", top_deviations(names, z))
-        .drop("_z", "_normality")
+        .withColumn("top_features", top)
+        .drop("_z", "_score")
     )
 
 

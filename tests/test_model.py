@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from logvane.operators import evaluation
 from logvane.operators.forest import IsolationForest, classify, mean_path
 from logvane.operators.scaler import BaselineScaler, clean_rows
-from logvane.operators.scoring import Detector, score_feature_maps, score_logs
+from logvane.operators.scoring import (
+    Detector,
+    score_feature_maps,
+    score_logs,
+    top_deviations,
+)
 from logvane.operators.threshold import allowed_false_positives, roc_curve, tune_threshold
 from logvane.schema import FEATURE_COLUMNS
 
@@ -247,6 +252,16 @@ def test_scoring_feature_maps(spark, detector):
     assert all(r["anomaly_score"] is not None for r in rows.values())
 
 
+def test_both_ways_of_ranking_deviations_agree(spark, detector):
+    rng = np.random.default_rng(4)
+    maps = [{c: float(v) for c, v in zip(FEATURE_COLUMNS, rng.normal(size=18).round(1))} for _ in range(200)]
+    df = spark.createDataFrame([(m,) for m in maps], "features map<string,double>")
+    raw = {c: F.col("features")[c] for c in FEATURE_COLUMNS}
+    expected = top_deviations(FEATURE_COLUMNS, detector.scaler.scaled(raw))
+    both = score_feature_maps(df, detector).select("top_features", expected.alias("expected"))
+    assert both.where("top_features != expected").count() == 0
+
+
 def test_logs_without_features_or_model_stay_unscored(spark, detector):
     rows = scored(spark, detector, [full(40), {}, None], gate=True)
     assert rows[0]["is_alert"]
