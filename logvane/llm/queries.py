@@ -1,15 +1,55 @@
-"""Queries over the given tables, one for each operator."""
+"""Queries over the given tables, one for each operator, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logvane.llm import bpe, packing
-from logvane.llm.common import documents
+from logvane.llm import bpe, language, packing, quality, reputation, rules
+from logvane.llm.common import documents, is_held_out
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+URL_RULES = (
+    ("block", "net/"),
+    ("allow", "example.net/en/"),
+    ("block", "example.com/de/"),
+    ("allow", "org/fr/"),
+)
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = labels(spark, sf_dir).where(~is_held_out(F.col("doc_id")))
+    scored = quality.classify(documents(spark, sf_dir), known)
+    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(documents(spark, sf_dir))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "posterior", "kept")
+
+
+def op6_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes are the labels of the same number: bad means quality 0."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    outcomes = labels(spark, sf_dir).select("doc_id", 1 - F.col("quality"))
+    judged = reputation.judge(pages, outcomes, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs, ~is_held_out(F.col("doc_id")))
+    found = language.identify(docs, model)
+    return found.select(
+        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +61,73 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op3_rules": op3_rules,
+    "op6_reputation": op6_reputation,
+    "op7_language": op7_language,
     "op9_packing": op9_packing,
     "op10_bpe": op10_bpe,
 }
-ORACLE: dict[str, str] = {}
+
+# The same rules and the same shrinkage, level by level.
+_SHRINK = """
+  SELECT {key}, parent_rate, pages, bad,
+         (bad + w * parent_rate) / (pages + w) AS rate, w
+  FROM {level} CROSS JOIN (
+    SELECT least(greatest(
+             coalesce(avg(parent_rate * (1 - parent_rate)) / greatest(
+               (sum(pages * pow(bad / pages - parent_rate, 2)) - sum(parent_rate * (1 - parent_rate)))
+               / sum(pages), 1e-6) - 1, 1000.0), 2.0), 1000.0) AS w
+    FROM {level})"""
+
+_OP6 = f"""
+WITH parts AS (
+  SELECT page_id,
+         CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+cut AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw_host, rest FROM parts),
+located AS (
+  SELECT page_id,
+         translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*'), '') AS path
+  FROM cut),
+counted AS (
+  SELECT host, string_split(host, '.') AS l, count(*) AS pages, sum(1 - quality)::DOUBLE AS bad
+  FROM located JOIN labels ON page_id = doc_id
+  WHERE host <> '' AND quality IS NOT NULL GROUP BY host),
+hosts AS (
+  SELECT host, pages, bad,
+         CASE WHEN len(l) >= 3 THEN array_to_string(l[-3:], '.') ELSE host END AS domain,
+         CASE WHEN len(l) >= 3 THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix
+  FROM counted),
+domains AS (
+  SELECT domain, suffix, sum(pages) AS pages, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
+s0 AS (
+  SELECT suffix, sum(pages) AS pages, sum(bad) AS bad,
+         (SELECT (sum(bad) + 0.5) / (sum(pages) + 1) FROM domains) AS parent_rate
+  FROM domains GROUP BY suffix),
+s1 AS ({_SHRINK.format(key="suffix", level="s0")}),
+d0 AS (SELECT domain, d.pages, d.bad, s1.rate AS parent_rate FROM domains d JOIN s1 USING (suffix)),
+d1 AS ({_SHRINK.format(key="domain", level="d0")}),
+h0 AS (SELECT host, h.pages, h.bad, d1.rate AS parent_rate FROM hosts h JOIN d1 USING (domain)),
+h1 AS ({_SHRINK.format(key="host", level="h0")}),
+bound AS (
+  SELECT host, greatest(0.0, rate - 1.645 * sqrt(rate * (1 - rate) / (pages + w + 1))) AS lower
+  FROM h1),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/'
+  END AS rule
+  FROM located)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+            WHEN rule IS NOT NULL THEN 'allow'
+            WHEN lower >= 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN bound USING (host)
+"""
+
+ORACLE: dict[str, str] = {"op6_reputation": _OP6}
