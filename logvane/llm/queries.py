@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvane.llm import bpe, language, packing, quality, reputation, rules
+from logvane.llm import bpe, fingerprints, language, packing, quality, reputation, rules
 from logvane.llm.common import documents, is_held_out
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +35,10 @@ def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "posterior", "kept")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_by_next(documents(spark, sf_dir))
+
+
 def op6_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes are the labels of the same number: bad means quality 0."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -63,6 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_rules": op3_rules,
+    "op5_fingerprints": op5_fingerprints,
     "op6_reputation": op6_reputation,
     "op7_language": op7_language,
     "op9_packing": op9_packing,
