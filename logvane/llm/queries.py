@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvane.llm import bpe, fingerprints, language, packing, quality, reputation, rules
+from logvane.llm import bpe, fingerprints, jaccard, language, packing, quality, reputation, rules
 from logvane.llm.common import documents, is_held_out
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir), size=4, percent=85)
+
+
 def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(documents(spark, sf_dir))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -66,6 +70,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_jaccard": op2_jaccard,
     "op3_rules": op3_rules,
     "op5_fingerprints": op5_fingerprints,
     "op6_reputation": op6_reputation,
