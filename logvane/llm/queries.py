@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvane.llm import bpe, fingerprints, jaccard, language, packing, quality, reputation, rules
+from logvane.llm import bpe, fingerprints, jaccard, language, packing, quality, reputation, rules, substrings
 from logvane.llm.common import documents, is_held_out
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,6 +60,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(documents(spark, sf_dir), length=50)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), WORD_BPE)
 
@@ -75,6 +80,7 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_reputation": op6_reputation,
     "op7_language": op7_language,
+    "op8_substrings": op8_substrings,
     "op9_packing": op9_packing,
     "op10_bpe": op10_bpe,
 }
