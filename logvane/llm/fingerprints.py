@@ -130,7 +130,7 @@ def edited_by_next(
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     keys = rows.select("doc_id", "key", F.length("text").alias("n_chars")).distinct()
     follows = materialize(_successors(keys))
-    # The same exchange feeds both joins.
+    # The same exchange feeds both joins: both read all its columns, or it would be planned twice.
     placed = with_sketch(rows, "text", "sketch", fraction).repartition("key")
     wanted = follows.select(F.col("key").alias("before"), F.col("next_key").alias("key"), "take")
     openings = (
@@ -140,6 +140,7 @@ def edited_by_next(
             F.first(F.substring(F.col("text"), F.lit(1), F.col("take"))).alias("opening"),
             F.first("sketch").alias("next_sketch"),
             F.first(F.xxhash64("text")).alias("next_exact"),
+            F.first("doc_id").alias("next_id"),
         )
         .withColumnRenamed("before", "key")
     )
@@ -162,4 +163,5 @@ def edited_by_next(
         F.when(exact == F.col("next_exact"), 1.0)
         .otherwise(likeness(F.col("sketch"), F.col("next_sketch")))
         .alias("near_next"),
+        "next_id",
     )
