@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvane.llm import bpe, fingerprints, jaccard, language, packing, quality, reputation, rules, substrings
+from logvane.llm import bpe, fingerprints, jaccard, language, lines, packing, quality, reputation, rules, substrings
 from logvane.llm.common import documents, is_held_out
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +39,12 @@ def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "posterior", "kept")
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.dedup_lines(documents(spark, sf_dir))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return left.select("doc_id", "n_lines", "n_removed", digest.alias("kept_sha256"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_by_next(documents(spark, sf_dir))
 
@@ -77,6 +83,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_jaccard": op2_jaccard,
     "op3_rules": op3_rules,
+    "op4_lines": op4_lines,
     "op5_fingerprints": op5_fingerprints,
     "op6_reputation": op6_reputation,
     "op7_language": op7_language,
