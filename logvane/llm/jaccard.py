@@ -180,25 +180,10 @@ def _room(percent: int) -> Column:
     return fits & (rest * (100 + percent) >= percent * (F.col("n") + F.col("other_n")))
 
 
-def near_duplicates(
-    docs: DataFrame,
-    size: int = 4,
-    percent: int = 85,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
-
-    Two rows are linked when their sets' Jaccard similarity is at least
-    ``percent`` / 100; component_id is the least id of the connected component.
-    Null, empty and wordless texts are linked with nothing: their component is
-    their own id. A null id is never a component's id unless all its rows lack
-    one. Repeated rows are one row of the product and all come back. Extra
-    columns are ignored; an empty table gives an empty result.
-    """
+def _components(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """key, doc_id, n and part (a name of the component, null without shingles) of every row."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be in 1..100")
-    rows = _keyed(docs, id_col, text_col)
     signed = materialize(_signed(rows, size, percent, _frequent(rows, size)))
     members = signed.select("key", "doc_id", "node", "n")
     filled = members.where("n > 0")
@@ -255,8 +240,57 @@ def near_duplicates(
     more = _linked(rest, rows, keys, size, percent)
     parts = connected(links.union(more))
 
-    labelled = filled.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    names = labelled.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    alone = members.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    result = labelled.join(names, "part").select("doc_id", "n", "component_id").union(alone)
-    return result.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    part = F.when(F.col("n") > 0, F.coalesce("component", "node"))
+    return members.join(parts, "node", "left").select("key", "doc_id", "n", part.alias("part"))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    size: int = 4,
+    percent: int = 85,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row.
+
+    Two rows are linked when their sets' Jaccard similarity is at least
+    ``percent`` / 100; component_id is the least id of the connected component.
+    Null, empty and wordless texts are linked with nothing: their component is
+    their own id. A null id is never a component's id unless all its rows lack
+    one. Repeated rows are one row of the product and all come back. Extra
+    columns are ignored; an empty table gives an empty result.
+    """
+    labelled = _components(_keyed(docs, id_col, text_col), size, percent)
+    names = labelled.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    return labelled.join(names, "part", "left").select(
+        "doc_id",
+        F.col("n").cast("long").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+    )
+
+
+def representatives(
+    docs: DataFrame,
+    size: int = 5,
+    percent: int = 80,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One document of each component, the one of least id, with all its columns.
+
+    Ties of id are broken by a hash of the text, null ids come last, and rows
+    equal in id and text are one document. Documents without shingles stay.
+    """
+    labelled = materialize(_components(_keyed(docs, id_col, text_col), size, percent))
+    filled = labelled.where("n > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    heads = filled.groupBy("part").agg(F.min(order).alias("head"), F.count("*").alias("rows"))
+    heads = heads.where("rows > 1").select("part", F.col("head.key").alias("head"))
+    others = filled.join(heads, "part").where("key <> head").select("key").distinct()
+    named = docs.withColumn("_key", F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+    dropped = materialize(others.withColumnRenamed("key", "_key"))
+    kept = named.join(_small(dropped), "_key", "left_anti")
+    repeated = labelled.groupBy("key").count().where("count > 1").limit(1)
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates(["_key"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,6 +28,7 @@ DIM = 16
 ROWS_PER_LANGUAGE = 1500
 GRAMS_PER_ROW = 512
 EPOCHS = 12
+LEAST_STEPS = 600
 BATCH = 32
 RATE = 4.0
 # Share of right validation rows that each rejection limit may turn away.
@@ -127,8 +128,9 @@ def train(rows: list[tuple[str, list[int]]], seed: int = 7) -> LanguageModel:
     weight, bias = draw.normal(0, 0.1, (DIM, len(languages))), np.zeros(len(languages))
     share = np.bincount(labels[learn], minlength=len(languages)) / len(learn)
     balance = 1 / np.maximum(share * len(languages), 1e-3)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(learn)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for at in range(0, len(learn), BATCH):
             batch = learn[at : at + BATCH]
             sizes = np.array([len(grams[i]) for i in batch])
@@ -235,3 +237,16 @@ def identify(
     rows = id_and_text(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+
+
+def known_only(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows that ``identify`` would not reject, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            yield batch.filter(pa.array([not shared.value.predict(t or "")[2] for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -118,29 +118,16 @@ def _links(lines: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return first.union(_similar(rest, rows, percent))
 
 
-def dedup_lines(
-    docs: DataFrame,
-    percent: int = PERCENT,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """doc_id, n_lines, n_removed and the text left, for every row.
+def _row(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """Names a document and orders it: null ids last, equal rows alike."""
+    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return F.struct(key.isNull().alias("last"), key.alias("id"), F.xxhash64(text).alias("exact"))
 
-    Of each component of lines whose similarity is ``percent`` / 100 or more
-    the first stays: the one in the smallest id (null ids last), then the
-    first in the text. Lines are what stands between newlines; those without
-    a word are never removed. Rows equal in id and text are one document and
-    get equal results. Null texts count as empty and stay null; an empty table
-    gives an empty result; extra columns are ignored.
-    """
+
+def _removed(rows: DataFrame, percent: int) -> DataFrame:
+    """row and the places of its lines that go, for documents that lose any."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be in 1..100")
-    rows = id_and_text(docs, id_col, text_col).withColumn(
-        "row",
-        F.struct(
-            F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("exact")
-        ),
-    )
     found = shingles(F.col("line"))
     occurrences = materialize(
         _lines_of(rows)
@@ -168,14 +155,52 @@ def dedup_lines(
         .groupBy("row")
         .agg(F.collect_set("place").alias("removed"))
     )
-    removed = materialize(removed)
-    text = F.split(F.coalesce("text", F.lit("")), "\n")
-    joined = rows.join(_small(removed), "row", "left").withColumn("lines", text)
-    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
-    left = F.transform(places, lambda i: F.get(F.col("lines"), i))
-    return joined.select(
+    return materialize(removed)
+
+def _left(text: Column, removed: Column) -> Column:
+    """A text (split in ``_lines``) without the removed places; linear in its lines."""
+    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), removed)
+    return F.when(removed.isNull(), text).otherwise(
+        F.array_join(F.transform(places, lambda i: F.get(F.col("_lines"), i)), "\n")
+    )
+
+
+def dedup_lines(
+    docs: DataFrame,
+    percent: int = PERCENT,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """doc_id, n_lines, n_removed and the text left, for every row.
+
+    Of each component of lines whose similarity is ``percent`` / 100 or more
+    the first stays: the one in the smallest id (null ids last), then the
+    first in the text. Lines are what stands between newlines; those without
+    a word are never removed. Rows equal in id and text are one document and
+    get equal results. Null texts count as empty and stay null; an empty table
+    gives an empty result; extra columns are ignored.
+    """
+    rows = id_and_text(docs, id_col, text_col)
+    rows = rows.withColumn("row", _row(rows, "doc_id", "text"))
+    removed = _removed(rows.select("row", "text"), percent)
+    joined = rows.join(_small(removed), "row", "left")
+    lost = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed"))
+    return joined.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n")).select(
         "doc_id",
-        F.size("lines").cast("long").alias("n_lines"),
-        F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"),
-        F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
+        F.size("_lines").cast("long").alias("n_lines"),
+        lost.cast("long").alias("n_removed"),
+        _left(F.col("text"), F.col("removed")).alias("text"),
     )
+
+
+def without_repeats(
+    docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The documents with all their columns, their texts as ``dedup_lines`` leaves them."""
+    rows = docs.withColumn("_row", _row(docs, id_col, text_col))
+    text = F.col(f"`{text_col}`")
+    removed = _removed(rows.select(F.col("_row").alias("row"), text.alias("text")), percent)
+    joined = rows.join(_small(removed.withColumnRenamed("row", "_row")), "_row", "left")
+    joined = joined.withColumn("_lines", F.split(F.coalesce(text, F.lit("")), "\n"))
+    left = joined.withColumn(text_col, _left(text, F.col("removed")))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

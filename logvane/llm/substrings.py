@@ -469,6 +469,22 @@ def repeated_spans(
     return materialize(_merged(spans))
 
 
+def _with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    if (spans.agg(F.sum(F.size("los"))).first()[0] or 0) <= BROADCAST_SPANS:
+        spans = F.broadcast(spans)
+    return rows.join(spans, ["doc", "version"], "left")
+
+
+def _cut(data: bytes, los: list[int] | None, his: list[int] | None) -> bytes:
+    """What is left of a text's bytes; spans may run over its end."""
+    at, rest = 0, []
+    for lo, hi in zip(los or (), his or ()):
+        rest.append(data[at:lo])
+        at = hi
+    rest.append(data[at:])
+    return b"".join(rest)
+
+
 def remove_repeats(
     docs: DataFrame,
     length: int = LENGTH,
@@ -485,33 +501,67 @@ def remove_repeats(
     empty result; extra columns are ignored.
     """
     rows = _placed(docs, id_col, text_col)
-    spans = repeated_spans(rows, length, anchor, split)
-    if (spans.agg(F.sum(F.size("los"))).first()[0] or 0) <= BROADCAST_SPANS:
-        spans = F.broadcast(spans)
+    joined = _with_spans(rows, repeated_spans(rows, length, anchor, split))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, n_removed, n_spans, kept = [], [], [], []
             for text, los, his in zip(*(c.to_pylist() for c in batch.columns[1:])):
                 data = text.encode("utf-8", "surrogatepass")
-                at, rest, count = 0, [], 0
-                for lo, hi in zip(los or (), his or ()):
-                    rest.append(data[at:lo])
-                    at = min(hi, len(data))
-                    count += 1
-                rest.append(data[at:])
-                kept.append(b"".join(rest))
+                kept.append(_cut(data, los, his))
                 n_bytes.append(len(data))
                 n_removed.append(len(data) - len(kept[-1]))
-                n_spans.append(count)
+                n_spans.append(len(los or ()))
             numbers = [pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *numbers, pa.array(kept, pa.binary())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    joined = rows.join(spans, ["doc", "version"], "left").select("doc_id", "text", "los", "his")
+    joined = joined.select("doc_id", "text", "los", "his")
     kind = joined.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(
         run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
     )
+
+
+def without_repeats(
+    docs: DataFrame,
+    length: int = LENGTH,
+    anchor: int = ANCHOR,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The documents with all their columns and only the kept bytes of their texts.
+
+    Of a character that a cut leaves incomplete the rest goes too; null texts stay null.
+    """
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST))
+    rows = _placed(docs, id_col, text_col)
+    spans = repeated_spans(rows, length, anchor)
+    version = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    repeats = not spans.where("version <> 0").isEmpty()
+    named = docs.select(
+        key.alias("doc"),
+        (version if repeats else F.lit(0).cast("long")).alias("version"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"),
+        F.col(f"`{text_col}`").alias("text"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, los, his in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                if text is not None and los:
+                    text = _cut(text.encode("utf-8", "surrogatepass"), los, his).decode("utf-8", "ignore")
+                texts.append(text)
+            rows = batch.column(0)
+            columns = [
+                pa.array(texts, pa.string()) if name == text_col else rows.field(i)
+                for i, name in enumerate(names)
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = docs.columns
+    joined = _with_spans(named, spans).select("all", "text", "los", "his")
+    return joined.mapInArrow(run, docs.schema)

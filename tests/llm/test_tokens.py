@@ -26,6 +26,7 @@ TEXTS = [
     "é è ñ 漢字 \U0001f600 İ Σς \x1c x",
     "x" * 5000,
     "word " * 9000,
+    "it's it' don't. a!! b,*** C###d THE!! x`~ É. y[z] ... ",
 ]
 
 
