@@ -36,7 +36,7 @@ PRE_TOKEN = (
 LONE_SPACE_FAILS = rf"[{WHITE}] [{WHITE}]"
 
 CHUNK_CACHE = 300_000
-WORD_CACHE = 800_000
+WORD_CACHE = 1_500_000
 
 _NONE = 1 << 62
 _PLACE = (1 << 32) - 1
@@ -131,25 +131,29 @@ class ByteBpe:
         ordered = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("|".join(map(re.escape, ordered))) if ordered else None
         self.word = regex.compile(PRE_TOKEN).findall
-        self.wide = re.compile(LONE_SPACE_FAILS).search
-        self.words: dict[str, list[int]] = {}
-        self.chunks: dict[str, list[int]] = {}
+        self.lone = re.compile(LONE_SPACE_FAILS).search
+        # Tuples of numbers are of no concern to the garbage collector, lists are.
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, tuple[int, ...]] = {}
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> tuple[int, ...]:
         ids = self.words.get(word)
         if ids is None:
             if len(self.words) >= WORD_CACHE:
                 self.words.clear()
             of_byte = self.of_byte
-            ids = self.tree.merge([of_byte[b] for b in word.encode()])
+            ids = tuple(self.tree.merge([of_byte[b] for b in word.encode()]))
             if len(word) <= 64:
                 self.words[word] = ids
         return ids
 
-    def _pieces(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self._word, self.word(text))))
+    def _pieces(self, text: str) -> tuple[int, ...]:
+        words = self.word(text)
+        if len(words) == 1:
+            return self._word(words[0])
+        return tuple(chain.from_iterable(map(self._word, words)))
 
-    def _chunk(self, chunk: str) -> list[int]:
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
         """Ids of a space and the characters up to the next space."""
         ids = self._pieces(" " + chunk)
         if len(self.chunks) >= CHUNK_CACHE:
@@ -158,9 +162,15 @@ class ByteBpe:
             self.chunks[chunk] = ids
         return ids
 
+    def _wide(self, text: str) -> bool:
+        """Whether some space has white space on both sides, as far as a quick look can tell."""
+        if text.isascii():
+            return any(map(text.__contains__, ("  ", " \n", "\n ", "\t", "\r", "\v", "\f")))
+        return self.lone(text) is not None
+
     def _plain(self, text: str) -> list[int]:
-        if self.wide(text):
-            return self._pieces(text)
+        if self._wide(text):
+            return list(self._pieces(text))
         first, *parts = text.split(" ")
         found = list(map(self.chunks.get, parts))
         if None in found:
