@@ -7,7 +7,10 @@ first n - ceil(t n) + 1 n-grams of either in any order fixed for all documents.
 Only those columns are grouped. The order puts n-grams that a sample of
 documents shows to be frequent last; any order gives exact results, this one
 keeps columns short. A pair whose sizes, or whose places in a shared column,
-leave too little room for the overlap is discarded before its overlap is counted.
+leave too little room for the overlap is discarded before its overlap is counted;
+so is one whose shares of hash slices do (no overlap is larger than the sum of
+the lesser counts in each slice), which costs a row of small counts for each document
+instead of its whole set.
 
 Rows of equal sets are one row of the matrix. Each column first meets only its
 least row (a star, not all pairs); columns whose rows are connected by what was
@@ -38,6 +41,8 @@ FREQUENT = 3
 MOST_FREQUENT = 65_536
 # A side of at most so many 8-byte keys (8 MB) may be broadcast.
 BROADCAST_KEYS = 1_000_000
+# Slices of the hash range whose element counts bound an overlap from above.
+SLICES = 512
 # Pairs of one left row that travel with one copy of its set.
 BLOCK = 256
 
@@ -108,12 +113,48 @@ def _signed(rows: DataFrame, size: int, percent: int, last: np.ndarray) -> DataF
                     pa.array(node, pa.int64()),
                     pa.array(sizes),
                     _lists([first(s) for s in sets]),
+                    pa.array([slice_counts(s) for s in sets], pa.binary()),
                 ],
-                ["key", "doc_id", "node", "n", "first"],
+                ["key", "doc_id", "node", "n", "first", "counts"],
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key long, doc_id {kind}, node long, n int, first array<long>")
+    return rows.mapInArrow(
+        run, f"key long, doc_id {kind}, node long, n int, first array<long>, counts binary"
+    )
+
+
+def slice_counts(tokens: np.ndarray) -> bytes:
+    """How many elements of a set fall into each slice of the hash range; 255 and more are 255."""
+    counts = np.bincount((tokens >> np.uint64(55)).astype(np.intp), minlength=SLICES)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _may_overlap(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose slice counts allow the overlap.
+
+    A count of 255 stands for any number, so a pair that meets there is bounded by the sizes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLICES)
+                for c in (2, 3)
+            )
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in (4, 5))
+            low = np.minimum(left, right)
+            most = np.where((low == 255).any(axis=1), np.minimum(n, m), low.sum(axis=1, dtype=np.int64))
+            keep = pa.array(most * (100 + percent) >= percent * (n + m))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"]
+            )
+
+    side = lambda end, c, n: counts.select(
+        F.col("node").alias(end), F.col("counts").alias(c), F.col("n").alias(n)
+    )
+    joined = pairs.join(side("b", "right", "m"), "b").join(side("a", "left", "l"), "a")
+    return joined.select("a", "b", "left", "right", "l", "m").mapInArrow(run, "a long, b long")
 
 
 def hash_of(tokens: np.ndarray) -> int:
@@ -130,26 +171,37 @@ def _small(side: DataFrame) -> DataFrame:
 
 
 def _sets(rows: DataFrame, keys: DataFrame, size: int) -> DataFrame:
-    """node, n and whole set of the documents named by ``keys`` (key, node)."""
+    """node and whole set of the documents named by ``keys`` (key, node); a task gives a node once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], ["node", "tokens"])
+            rows = []
+            for i, node in enumerate(batch.column(0).to_pylist()):
+                if node not in seen:
+                    seen.add(node)
+                    rows.append(i)
+            texts = batch.column(1).take(pa.array(rows, pa.int64())).to_pylist()
+            nodes = batch.column(0).take(pa.array(rows, pa.int64()))
+            sets = _lists([shingle_set(t, size) for t in texts])
+            yield pa.RecordBatch.from_arrays([nodes, sets], ["node", "tokens"])
 
     wanted = rows.join(_small(keys), "key").select("node", "text")
     return wanted.mapInArrow(run, "node long, tokens array<long>")
 
 
-def _linked(pairs: DataFrame, rows: DataFrame, keys: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets overlap enough, counted in full.
+def _linked(
+    pairs: DataFrame, rows: DataFrame, nodes: DataFrame, keys: DataFrame, size: int, percent: int
+) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets overlap enough, counted in full where bounds allow it.
 
     The right set joins its pairs; copies of the left set, one for every block
     of pairs, join blocks, so that a row with a great many partners is spread.
     """
+    pairs = materialize(_may_overlap(pairs, nodes, percent))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     found = materialize(keys.join(ends, "node").groupBy("node").agg(F.min("key").alias("key")))
-    sets = _sets(rows, found, size).dropDuplicates(["node"]).repartition("node")
+    sets = _sets(rows, found, size).repartition("node")
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     left = (
         sets.join(blocks.withColumnRenamed("a", "node"), "node")
@@ -169,6 +221,7 @@ def _linked(pairs: DataFrame, rows: DataFrame, keys: DataFrame, size: int, perce
         .withColumn("both", both)
         .where(100 * F.col("both") >= percent * either)
         .select("a", "b")
+        .distinct()
     )
 
 
@@ -189,12 +242,12 @@ def _components(rows: DataFrame, size: int, percent: int) -> DataFrame:
     filled = members.where("n > 0")
     keys = filled.select("node", "key")
     # Each distinct set once, each of its first n-grams a row: the product's columns.
-    columns = (
-        signed.where("n > 0")
-        .groupBy("node")
-        .agg(F.first("n").alias("n"), F.first("first").alias("first"))
-        .select("node", "n", F.posexplode("first").alias("at", "token"))
-    )
+    named = materialize(keys.groupBy("node").agg(F.min("key").alias("key")))
+    nodes = signed.where("n > 0").join(_small(named.select("key")), "key", "left_semi")
+    if not members.groupBy("key").count().where("count > 1").limit(1).isEmpty():
+        nodes = nodes.dropDuplicates(["node"])
+    nodes = nodes.select("node", "n", "first", "counts")
+    columns = nodes.select("node", "n", F.posexplode("first").alias("at", "token"))
     meeting = (
         columns.groupBy("token")
         .agg(F.min("node").alias("low"), F.max("node").alias("high"))
@@ -212,7 +265,7 @@ def _components(rows: DataFrame, size: int, percent: int) -> DataFrame:
         .select(F.col("low").alias("a"), F.col("node").alias("b"))
         .distinct()
     )
-    links = materialize(_linked(stars, rows, keys, size, percent))
+    links = materialize(_linked(stars, rows, nodes, keys, size, percent))
     parts = connected(links)
 
     # Rows of a column that are still apart; the least row's component is the column's main one.
@@ -221,23 +274,27 @@ def _components(rows: DataFrame, size: int, percent: int) -> DataFrame:
     mains = part.where("node = low").select("token", F.col("part").alias("main"))
     apart = part.join(mains, "token")
     split = apart.where("part <> main").select("token").distinct()
-    apart = materialize(apart.join(split, "token", "left_semi").drop("low"))
+    apart = apart.join(split, "token", "left_semi").drop("low")
+    apart = materialize(apart.join(nodes.select("node", "first"), "node"))
     other = apart.where("part <> main").select(
         "token",
         F.col("node").alias("other"),
         F.col("n").alias("other_n"),
         F.col("at").alias("other_at"),
         F.col("part").alias("other_part"),
+        F.col("first").alias("other_first"),
     )
     one_way = (F.col("part") == F.col("main")) | (F.col("node") < F.col("other"))
+    # A pair is made in the first column that its rows share, not in every one.
+    here = F.get(F.array_intersect("first", "other_first"), 0) == F.col("token")
     rest = materialize(
         apart.join(other, "token")
-        .where((F.col("part") != F.col("other_part")) & one_way & _room(percent))
+        .where((F.col("part") != F.col("other_part")) & one_way & _room(percent) & here)
         .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    more = _linked(rest, rows, keys, size, percent)
+    more = _linked(rest, rows, nodes, keys, size, percent)
     parts = connected(links.union(more))
 
     part = F.when(F.col("n") > 0, F.coalesce("component", "node"))
