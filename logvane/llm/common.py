@@ -85,3 +85,16 @@ def texts_of(batches: Iterator) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts (null: empty) of each Arrow batch."""
     for batch in batches:
         yield batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+
+
+def slices(batches: Iterator, most_rows: int = 1000, most_bytes: int = 6 << 20) -> Iterator:
+    """Arrow batches cut into pieces of a few megabytes, so that a task's arrays stay small.
+
+    A single row of more bytes is a piece of its own.
+    """
+    for batch in batches:
+        rows = min(most_rows, batch.num_rows)
+        row_bytes = batch.nbytes / max(1, batch.num_rows)
+        step = max(1, min(rows, int(most_bytes / max(1.0, row_bytes))))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)

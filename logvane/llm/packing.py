@@ -31,7 +31,10 @@ POOL = 512
 CACHE = 700_000
 _ID = 4  # bytes of one id
 _GAP = "<|startoftext|>"
-_UNUSUAL = re.compile("[\x1c-\x1f]|<\\|").search
+# Strings of text that need the library whole: special tokens and the separators it keeps.
+_UNUSUAL = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+# A word of plain letters, which lower-case one by one, and perhaps a run of signs behind it.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
 
 
 class WordEncoder:
@@ -39,8 +42,9 @@ class WordEncoder:
 
     The tokenizer drops white space and merges nothing across it, so a text's
     ids are those of its strings in turn. Unknown strings go to the tokenizers
-    library together, parted by a special token. Texts with special tokens or
-    rare separator characters go there whole.
+    library together: words of plain letters joined by spaces, since each ends
+    with an id that ends words, and others parted by a special token. Texts
+    with special tokens or rare separator characters go there whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,30 +55,60 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.gap = self.library.token_to_id(_GAP)
+        ends = [t.endswith("</w>") for t, _ in sorted(self.library.get_vocab().items(), key=lambda x: x[1])]
+        self.ends = np.array(ends)
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> np.ndarray:
         encoded = self.library.encode(text, add_special_tokens=False)
         return np.array(encoded.ids, dtype="<u4")
 
-    def _learn(self, strings: list[str]) -> dict[str, bytes]:
-        found = {}
-        for at in range(0, len(strings), 2000):
-            part = strings[at : at + 2000]
-            ids = self._whole(_GAP.join(part))
-            raw, ends = ids.tobytes(), (np.flatnonzero(ids == self.gap) * _ID).tolist()
-            starts = [0, *[e + _ID for e in ends]]
-            found.update(zip(part, [raw[a:b] for a, b in zip(starts, [*ends, len(raw)])]))
-        return found
+    def _parted(self, ids: np.ndarray, last: np.ndarray, skip: int) -> list[bytes]:
+        """Ids cut behind every place in ``last``, without the ``skip`` ids there."""
+        raw, stops = ids.tobytes(), ((last + 1) * _ID).tolist()
+        return [raw[a : b - skip * _ID] for a, b in zip([0, *stops], stops)]
+
+    def _learn(self, strings: list[str]) -> None:
+        plain, odd, words = [], [], self.words
+        for string in strings:
+            found = _PLAIN(string)
+            if found:
+                word, sign = found.groups()
+                plain.append((string, word.lower(), sign))
+            else:
+                odd.append(string)
+        lower = {p[1] for p in plain}
+        new = lower.difference(words)
+        if len(words) + len(new) > CACHE:
+            words.clear()
+            new = lower
+        for part in _slices(list(new)):
+            ids = self._whole(" ".join(part))
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(part):
+                words.update(zip(part, self._parted(ids, last, 0)))
+            else:
+                words.update((w, self._whole(w).tobytes()) for w in part)
+        signs = {s: self._whole(s).tobytes() for s in {p[2] for p in plain}}
+        known = self.known
+        known.update((string, words[word] + signs[sign]) for string, word, sign in plain)
+        for part in _slices(odd):
+            ids = self._whole(_GAP.join([*part, ""]))
+            known.update(zip(part, self._parted(ids, np.flatnonzero(ids == self.gap), 1)))
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.gap is None or _UNUSUAL(t) else t.split() for t in texts]
+        split = [
+            None if self.gap is None or any(map(t.__contains__, _UNUSUAL)) else t.split()
+            for t in texts
+        ]
         known = self.known
-        new = {w for s in split if s for w in s if w not in known}
+        used = set().union(*filter(None, split))
+        new = used.difference(known)
         if len(known) + len(new) > CACHE:
             known.clear()
-            new = {w for s in split if s for w in s}
-        known.update(self._learn(list(new)))
+            new = used
+        self._learn(list(new))
         look = known.__getitem__
         return [
             self._whole(t).tobytes() if s is None else b"".join(map(look, s))
@@ -82,6 +116,10 @@ class WordEncoder:
         ]
 
 
+def _slices(strings: list[str], size: int = 2000) -> list[list[str]]:
+    return [strings[at : at + size] for at in range(0, len(strings), size)]
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)

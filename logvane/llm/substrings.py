@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logvane.llm.common import id_and_text, mix, prefix_hash, span_hash
+from logvane.llm.common import id_and_text, mix, prefix_hash, slices, span_hash
 from logvane.llm.suffix_array import suffix_array
 from logvane.session import materialize
 
@@ -101,7 +101,7 @@ def _collect_anchors(rows: DataFrame, length: int, k: int, ranges: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in slices(batches, 1 << 16):
             turn += 1
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             version = batch.column(1).to_numpy(zero_copy_only=False)
@@ -230,7 +230,7 @@ def _contexts(rows: DataFrame, open_rows: DataFrame, length: int, k: int, bucket
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "h", "parts", "doc", "version", "places", "left", "right"]
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc, version, text, want in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode("utf-8", "surrogatepass")
@@ -504,7 +504,7 @@ def remove_repeats(
     joined = _with_spans(rows, repeated_spans(rows, length, anchor, split))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n_bytes, n_removed, n_spans, kept = [], [], [], []
             for text, los, his in zip(*(c.to_pylist() for c in batch.columns[1:])):
                 data = text.encode("utf-8", "surrogatepass")
@@ -549,7 +549,7 @@ def without_repeats(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for text, los, his in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 if text is not None and los:
