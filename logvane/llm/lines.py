@@ -1,13 +1,16 @@
 """Fuzzy line deduplication: MinHash bands, exact Jaccard similarity, distributed union-find.
 
 A line's shingles are the sixteen characters from the start of each of its
-words. The signature is a bottom-k MinHash, the k least shingle hashes, and
-each of them is a band: two lines at similarity 0.8 or more share none of k = 4
-with a chance of about 0.2^4. Lines that meet in a band are compared by their
+words. The signature is a bottom-k MinHash, the k = 8 least shingle hashes, and
+each of the first four is a band: two lines at similarity 0.8 or more share
+none of them with a chance of about 0.2^4. Lines that meet in a band are compared by their
 whole shingle sets. Equal lines are one line from the start.
 
 In a band each line first meets the least one only; bands whose lines are
-still in different components are then paired in full, if the sizes allow it.
+still in different components are then paired in full, if the sizes allow it
+and if the signatures share three values or more (at similarity 0.8 fewer are
+shared with a chance of about 0.001); pairs are made by two shared values at once,
+so a shingle that many unlike lines have makes none.
 So a line that stands in a third of all documents costs one row for each, and
 near copies of one line are compared with it, not with each other.
 
@@ -25,7 +28,9 @@ from logvane.llm.components import connected
 from logvane.session import materialize
 
 SHINGLE = 16
+SKETCH = 8
 BANDS = 4
+SHARED = 3
 PERCENT = 80
 # Up to so many narrow rows (a few MB) may be broadcast; more are joined by shuffling.
 BROADCAST_ROWS = 500_000
@@ -76,7 +81,7 @@ def _sizes_fit(percent: int) -> Column:
 
 def _links(lines: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Verified links between the hashes of different lines."""
-    bands = lines.select("key", "n", F.explode("least").alias("band"))
+    bands = lines.select("key", "n", F.explode(F.slice("least", 1, BANDS)).alias("band"))
     meeting = (
         bands.groupBy("band")
         .agg(F.min("key").alias("low"), F.max("key").alias("high"))
@@ -100,17 +105,29 @@ def _links(lines: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     mains = part.where("key = low").select("band", F.col("part").alias("main"))
     apart = part.join(mains, "band")
     split = apart.where("part <> main").select("band").distinct()
-    apart = materialize(apart.join(split, "band", "left_semi").drop("low"))
+    apart = apart.join(split, "band", "left_semi").drop("low").join(lines.select("key", "least"), "key")
+    # The second value; a line of one shingle has none and takes the first again.
+    second = F.when(F.size("least") > 1, F.array_remove("least", F.col("band"))).otherwise(F.col("least"))
+    apart = materialize(apart.withColumn("second", F.explode(second)))
     other = apart.where("part <> main").select(
         "band",
+        "second",
+        F.col("least").alias("other_least"),
         F.col("key").alias("other"),
         F.col("n").alias("other_n"),
         F.col("part").alias("other_part"),
     )
     one_way = (F.col("part") == F.col("main")) | (F.col("key") < F.col("other"))
+    shared = F.array_intersect("least", "other_least")
+    enough = F.size(shared) >= F.least(F.lit(SHARED), F.col("n"), F.col("other_n"))
+    # Of all the pairs of values that two lines share, the least two make the pair; the least
+    # shared value of lines that meet in a band is a band of both.
+    after = F.get(shared, F.least(F.size(shared) - 1, F.lit(1)))
+    here = (F.get(shared, 0) == F.col("band")) & (after == F.col("second"))
+    apart_differ = F.col("part") != F.col("other_part")
     rest = materialize(
-        apart.join(other, "band")
-        .where((F.col("part") != F.col("other_part")) & one_way & _sizes_fit(percent))
+        apart.join(other, ["band", "second"])
+        .where(apart_differ & one_way & _sizes_fit(percent) & enough & here)
         .select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
@@ -132,7 +149,7 @@ def _removed(rows: DataFrame, percent: int) -> DataFrame:
     occurrences = materialize(
         _lines_of(rows)
         .select("row", "place", "key", F.sort_array(found).alias("all"))
-        .select("row", "place", "key", F.size("all").alias("n"), F.slice("all", 1, BANDS).alias("least"))
+        .select("row", "place", "key", F.size("all").alias("n"), F.slice("all", 1, SKETCH).alias("least"))
     )
     at = F.struct("row", "place")
     firsts = materialize(
