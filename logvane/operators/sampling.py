@@ -20,6 +20,7 @@ TRAIN_SHARE = 0.8
 
 # Hash digits added per counting pass, and rows that may be ranked outright.
 PREFIX_DIGITS = 3
+DIGEST_DIGITS = 32
 RANKED_ROWS = 1_000_000
 
 
@@ -90,6 +91,16 @@ def _edge_buckets(buckets: DataFrame, strata: Sequence[str], wanted: str) -> Dat
     )
 
 
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys where null equals null; the left side's columns and the rest."""
+    named = right.select(
+        *[F.col(f"`{k}`").alias(f"_right_{i}") for i, k in enumerate(keys)],
+        *[F.col(f"`{c}`") for c in right.columns if c not in keys],
+    )
+    equal = [F.col(f"`{k}`").eqNullSafe(F.col(f"_right_{i}")) for i, k in enumerate(keys)]
+    return left.join(named, equal).drop(*[f"_right_{i}" for i in range(len(keys))])
+
+
 def _count_prefixes(hashed: DataFrame, strata: Sequence[str], digits: int) -> DataFrame:
     return hashed.groupBy(*strata, F.substring("_digest", 1, digits).alias("_prefix")).agg(
         F.count("*").alias("_rows")
@@ -128,7 +139,7 @@ def stratified_sample(
             .select(*strata, F.lpad(limit, 9, "0").alias("_limit"))
         )
         kept = F.concat(F.lit("0"), F.substring("_digest", 1, 8)) < F.col("_limit")
-        return hashed.join(limits, strata).where(kept).select(*df.columns)
+        return _same(hashed, limits, strata).where(kept).select(*df.columns)
 
     digits = PREFIX_DIGITS
     total = F.sum("_rows").over(Window.partitionBy(*strata))
@@ -141,23 +152,25 @@ def stratified_sample(
     edges = broadcast_if_small(_edge_buckets(counted, strata, "_quota"))
     in_prefix = F.substring("_digest", 1, F.length("_prefix")) == F.col("_prefix")
     while (edges.agg(F.max("_rows")).first()[0] or 0) > ranked_rows:
+        if digits >= DIGEST_DIGITS:
+            raise ValueError("too many rows share one hash: ids do not tell rows apart")
         digits += PREFIX_DIGITS
         wanted = edges.select(*strata, "_prefix", F.col("_place").alias("_wanted"))
-        inside = narrow.join(wanted, strata).where(in_prefix)
+        inside = _same(narrow, wanted, strata).where(in_prefix)
         counted = _count_prefixes(inside.drop("_prefix"), [*strata, "_wanted"], digits)
         edges = broadcast_if_small(
             _edge_buckets(counted, [*strata, "_wanted"], "_wanted").drop("_wanted")
         )
     rank = F.row_number().over(Window.partitionBy(*strata).orderBy("_digest"))
     cutoffs = broadcast_if_small(
-        narrow.join(edges, strata)
+        _same(narrow, edges, strata)
         .where(in_prefix)
         .withColumn("_rank", rank)
         .where(F.col("_rank") == F.col("_place"))
         .select(*strata, F.col("_digest").alias("_cutoff"))
     )
     return (
-        hashed.join(cutoffs, strata)
+        _same(hashed, cutoffs, strata)
         .where(F.col("_digest") <= F.col("_cutoff"))
         .select(*df.columns)
     )

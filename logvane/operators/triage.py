@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logvane.functions.severity import SEVERITIES, in_tier, severity
+from logvane.operators.ordering import with_positions
 from logvane.schema import RESPONSE_COLUMNS
 
 DEFAULT_LIMIT = 100
@@ -80,6 +81,22 @@ def top_alerts(logs: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     )
 
 
+def ranked_alerts(logs: DataFrame) -> DataFrame:
+    """Every alert with its ``rank``, the most anomalous first, unscored ones last.
+
+    No row is left out and none is sorted on the driver: places come from
+    range-partitioned blocks.
+    """
+    order = [
+        F.col("anomaly_score").isNull(),
+        -F.col("anomaly_score"),
+        -F.unix_micros("created_at"),
+        -F.col("id"),
+    ]
+    placed = with_positions(logs.where("is_alert"), order, "rank")
+    return placed.withColumn("rank", F.col("rank") + 1)
+
+
 def tier_counts() -> list[Column]:
     return [
         F.count_if(in_tier(tier, F.col("anomaly_score"), F.col("is_alert"))).alias(tier)

@@ -11,6 +11,10 @@ from logvane.session import materialize
 
 # Message times must be full dates or date-times; Spark alone would take "2024".
 _ISO_PREFIX = r"^\s*\d{4}-\d{2}-\d{2}"
+_NUMERIC = r"^\s*[+-]?\d+(\.\d+)?\s*$"
+
+# Fixed value: numbers beyond this count milliseconds since 1970, others seconds.
+MILLISECONDS_FROM = 2e10
 
 _TEXT_FIELDS = (*MAX_LENGTHS, "raw_payload")
 
@@ -34,11 +38,12 @@ def _typed(field: str) -> Column:
     if field == "features":
         return F.try_variant_get(given, "$", "map<string,double>")
     text = F.when(kind == "STRING", given.cast("string"))
-    return F.when(
-        text.rlike(_ISO_PREFIX), F.btrim(text).try_cast("timestamp")
-    ).when(
-        kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"),
-        F.timestamp_micros((number * 1_000_000).try_cast("bigint")),
+    instant = F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), number).when(
+        text.rlike(_NUMERIC), F.btrim(text).try_cast("double")
+    )
+    seconds = F.when(F.abs(instant) > MILLISECONDS_FROM, instant / 1000).otherwise(instant)
+    return F.when(text.rlike(_ISO_PREFIX), F.btrim(text).try_cast("timestamp")).otherwise(
+        F.timestamp_micros(F.round(seconds * 1_000_000).try_cast("bigint"))
     )
 
 
@@ -145,9 +150,7 @@ def replay_summary(parsed: DataFrame, value: str = "value", shown: int = 5) -> D
     first = (
         judged.where(failed)
         .select(
-            F.concat(
-                F.array_join("reasons", ","), F.lit(": "), F.left(value, F.lit(200))
-            ).alias("error")
+            F.concat(F.array_join("reasons", ","), F.lit(": "), F.col(value)).alias("error")
         )
         .orderBy("error")
         .limit(shown)

@@ -34,7 +34,7 @@ from logvane.operators.validation import (
     split_messages,
 )
 from logvane.plans.training import recall_table, train
-from logvane.schema import FEATURE_COLUMNS, LABEL_COLUMN, TOP_FEATURE_TYPE
+from logvane.schema import FEATURE_COLUMNS, LABEL_COLUMN, RESPONSE_COLUMNS, TOP_FEATURE_TYPE
 from logvane.session import scratch_path
 from logvane.sources import driver_tables as tables
 from logvane.sources.flow_files import read_flow_csv
@@ -71,9 +71,9 @@ def micros(name: str, alias: str | None = None) -> Column:
     return F.unix_micros(F.col(name)).alias(alias or f"{name}_us")
 
 
-def _shown(logs: DataFrame) -> DataFrame:
-    """Response rows with times as epoch microseconds."""
-    return triage.responses(logs).withColumns(
+def _shown(logs: DataFrame, *more: str) -> DataFrame:
+    """Response rows (and ``more`` columns) with times as epoch microseconds."""
+    return triage.with_severity(logs.select(*RESPONSE_COLUMNS, *more)).withColumns(
         {"event_time": F.unix_micros("event_time"), "created_at": F.unix_micros("created_at")}
     )
 
@@ -126,9 +126,8 @@ def top_alerts(spark, sf_dir):
 
 @query
 def all_alerts_ranked_last(spark, sf_dir):
-    """Unscored alerts sort last, so a limit beyond the scored ones shows them."""
-    logs = tables.log_entries(spark, sf_dir)
-    return _shown(triage.top_alerts(logs.where("event_type IN ('signup', 'PortScan')"), 2_000_000))
+    """All alerts by rank, the unscored ones at the end."""
+    return _shown(triage.ranked_alerts(tables.log_entries(spark, sf_dir)), "rank")
 
 
 @query
@@ -193,8 +192,23 @@ def log_table_round_trip(spark, sf_dir):
     table = LogTable(spark, name, scratch_path(spark)).create_if_absent()
     table.append(logs, load=1)
     table.append(logs, load=1)
-    newest = triage.recent_logs(table.newest_days(100))
-    return _shown(newest)
+    return _shown(table.read())
+
+
+@query
+def two_writers_one_table(spark, sf_dir):
+    """A bulk load and two streams' loads under one number, one of them written again."""
+    logs = tables.log_entries(spark, sf_dir).drop("id")
+    table = LogTable(spark, f"logs_{uuid.uuid4().hex}", scratch_path(spark)).create_if_absent()
+    first, second = logs.where("is_alert"), logs.where("not is_alert")
+    table.append(logs, load=1)
+    table.append(first, load=1, writer="stream-a")
+    table.append(first, load=1, writer="stream-a")
+    table.append(second, load=1, writer="stream-b")
+    stored = table.read()
+    return stored.groupBy("event_type").agg(
+        F.count("*").alias("logs"), F.count_distinct("writer", "id").alias("ids")
+    )
 
 
 @query
@@ -685,9 +699,13 @@ def unscored_logs(spark, sf_dir):
 
 @query
 def manifest_check(spark, sf_dir):
-    """Hash every table file and compare it with a record of the same hashes."""
-    recorded = file_manifest(spark, sf_dir, "*.parquet").select("name", "sha256")
-    return manifest_mismatches(file_manifest(spark, sf_dir, "*.parquet"), recorded)
+    """Table files against a record with one hash changed, one name missing and one too many."""
+    actual = file_manifest(spark, sf_dir, "*.parquet").select("name", "sha256")
+    actual = actual.where("name in ('nation.parquet', 'region.parquet', 'part.parquet')")
+    changed = F.when(F.col("name") == "region.parquet", "0").otherwise(F.col("sha256"))
+    recorded = actual.where("name <> 'part.parquet'").select("name", changed.alias("sha256"))
+    gone = spark.range(1).select(F.lit("gone.parquet").alias("name"), F.lit("1").alias("sha256"))
+    return manifest_mismatches(actual, recorded.unionByName(gone))
 
 
 # --- streams -------------------------------------------------------------

@@ -338,8 +338,9 @@ LEFT JOIN tiered ON tiered.severity = t.severity GROUP BY t.severity""",
     + f"SELECT {SHOWN} FROM tiered ORDER BY tiered.created_at DESC, id DESC LIMIT 50 OFFSET 120",
     "top_alerts": _with(LOGS) + f"""SELECT {SHOWN} FROM tiered WHERE is_alert
 ORDER BY anomaly_score DESC NULLS LAST, tiered.created_at DESC, id DESC LIMIT 100""",
-    "all_alerts_ranked_last": _with(LOGS) + f"""SELECT {SHOWN} FROM tiered
-WHERE is_alert AND event_type IN ('signup', 'PortScan')""",
+    "all_alerts_ranked_last": _with(LOGS) + f"""SELECT {SHOWN}, row_number() OVER (
+  ORDER BY anomaly_score DESC NULLS LAST, tiered.created_at DESC, id DESC) AS rank
+FROM tiered WHERE is_alert""",
     "logs_filtered": _with(LOGS) + f"""SELECT {SHOWN} FROM tiered
 WHERE source_ip = '10.0.0.7' AND is_alert AND tiered.created_at >= TIMESTAMP '2024-01-05'
   AND tiered.created_at < TIMESTAMP '2024-01-20'""",
@@ -354,8 +355,11 @@ WHERE created_at > (SELECT max(created_at) FROM logs) - INTERVAL 60 SECOND""",
     "log_responses": _with(LOGS) + f"""SELECT id, {_ISO.format('event_time')} AS event_time,
   {_ISO.format('created_at')} AS created_at, source_ip, destination_ip, protocol, event_type,
   bytes_transferred, duration_seconds, flag, anomaly_score, is_alert, severity FROM tiered""",
-    "log_table_round_trip": _with(LOGS)
-    + f"SELECT {SHOWN} FROM tiered ORDER BY tiered.created_at DESC, id DESC LIMIT 100",
+    "log_table_round_trip": _with(LOGS) + f"SELECT {SHOWN} FROM tiered",
+    "two_writers_one_table": _with(LOGS) + """SELECT event_type, 2 * count(*) AS logs,
+  2 * count(*) AS ids FROM logs GROUP BY event_type""",
+    "manifest_check": """SELECT * FROM (VALUES ('nation.parquet', 'ok'), ('region.parquet', 'modified'),
+  ('part.parquet', 'unrecorded'), ('gone.parquet', 'missing')) AS t(name, status)""",
     "assigned_ids": """SELECT count(*) AS logs, count(*) AS ids, 0 AS first_id,
   count(*) - 1 AS last_id FROM events""",
     "category_counts": _with(LOGS) + """
@@ -447,7 +451,7 @@ FROM judged WHERE reasons = ''""",
     "ingest_counts": _with(MESSAGES) + """SELECT count(*) FILTER (reasons = '') AS success,
   count(*) FILTER (reasons <> '') AS failed,
   (SELECT string_agg(error, '; ' ORDER BY error) FROM (
-     SELECT reasons || ': ' || left(value, 200) AS error FROM judged WHERE reasons <> ''
+     SELECT reasons || ': ' || value AS error FROM judged WHERE reasons <> ''
      ORDER BY error LIMIT 5) AS e) AS first_errors
 FROM judged""",
     "label_counts": _with(FLOWS) + "SELECT file, label, count(*) AS rows FROM labelled GROUP BY file, label",

@@ -110,24 +110,24 @@ def release(
     spark = result.evaluated.sparkSession
     forest = result.detector.forest
     save_model(spark, result.detector, path)
-    return write_card(
-        spark,
-        path,
-        artifact_version,
-        training={
-            "random_state": forest.seed,
-            "feature_count": forest.n_features,
-            "feature_names": result.detector.scaler.columns,
-            "n_estimators": forest.trees,
-            "contamination": forest.contamination,
-        },
-        evaluation={
-            "decision_threshold": forest.threshold,
-            "fpr_budget": budget,
-            "eval_set": {"benign_test": result.benign_rows, "attack_test": result.attack_rows},
-            "metrics": result.metrics,
-            "sanity_check_self_flag_rate": result.flag_rate,
-        },
-        training_data=training_data,
-        limitations=limitations,
-    )
+    scaler = result.detector.scaler
+    facts = {
+        "artifact_version": artifact_version,
+        "training": (
+            forest.seed,
+            forest.n_features,
+            scaler.columns,
+            forest.trees,
+            forest.contamination,
+        ),
+        "evaluation": (
+            forest.threshold,
+            budget,
+            (result.benign_rows, result.attack_rows),
+            {name: float(value) for name, value in result.metrics.items()},
+            result.flag_rate,
+        ),
+        "training_data": training_data,
+        "limitations": limitations or [],
+    }
+    return write_card(spark, path, facts)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -25,27 +27,59 @@ def label_column(columns: Sequence[str]) -> str:
     raise ValueError(f"no {LABEL_COLUMN!r} column in the header")
 
 
+def unique_names(columns: Sequence[str]) -> list[str]:
+    """Stripped names; the second of a name gets ``.1``, the third ``.2``, and so on."""
+    seen: dict[str, int] = {}
+    out = []
+    for name in (c.strip() for c in columns):
+        seen[name] = seen.get(name, -1) + 1
+        out.append(f"{name}.{seen[name]}" if seen[name] else name)
+    return out
+
+
 def read_flow_csv(spark: SparkSession, path: str) -> DataFrame:
     """A folder of flow CSVs as text columns plus the ``file`` of each row.
 
     Values stay text: files mix numbers with "Infinity" and blanks, and the
-    parsing expressions read them strictly. No inference pass is needed, and
-    each file's header is checked against the first one's.
+    parsing expressions read them strictly. Every file is read by its own
+    header, so columns may stand in any order, repeat a name or be missing
+    (null then). Files that share a header are read together: as many
+    scans as there are different headers, whatever the number of files.
     """
-    header = spark.read.option("header", True).csv(path)
-    label_column(header.columns)
-    schema = T.StructType(
-        [T.StructField(c.strip(), T.StringType()) for c in header.columns]
+    # The first line of a file is the one whose block starts it.
+    start = spark.read.text(path).select(
+        "value",
+        "_metadata.file_path",
+        "_metadata.file_block_start",
+        F.monotonically_increasing_id().alias("at"),
     )
-    rows = (
-        spark.read.option("header", True)
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
-        .option("enforceSchema", False)
-        .schema(schema)
-        .csv(path)
+    headers = (
+        start.where("file_block_start = 0")
+        .groupBy("file_path")
+        .agg(F.min_by("value", "at").alias("header"))
+        .groupBy("header")
+        .agg(F.collect_list("file_path").alias("files"))
+        .collect()
     )
-    return rows.select("*", F.col("_metadata.file_name").alias("file"))
+    if not headers:
+        raise ValueError(f"no flow files at {path}")
+    frames = []
+    for header in sorted(headers, key=lambda r: r["header"]):
+        names = unique_names(next(csv.reader([header["header"]])))
+        try:
+            label_column(names)
+        except ValueError as error:
+            raise ValueError(f"{error}: {header['files'][0]}") from None
+        rows = (
+            spark.read.option("header", True)
+            .option("ignoreLeadingWhiteSpace", True)
+            .option("ignoreTrailingWhiteSpace", True)
+            .option("enforceSchema", True)
+            .schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+            .csv(header["files"])
+        )
+        frames.append(rows.select("*", F.col("_metadata.file_name").alias("file")))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def write_sample(sample: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from logvane.schema import LOG_SCHEMA
 from logvane.session import broadcast_if_small, materialize
 
-# An id is the load number followed by the row's place within the load.
-PLACE_BITS = 34
-PARTITIONS = ["ingest_date", "load"]
+# An id is the load number followed by the row's place within the load: 33 million loads of up to
+# 274 billion rows. Each writer counts its loads by itself, so (writer, id) names a log.
+PLACE_BITS = 38
+PARTITIONS = ["ingest_date", "writer", "load"]
+BULK_WRITER = "bulk"
 
 
 def assign_ids(logs: DataFrame, load: int) -> DataFrame:
@@ -46,10 +48,11 @@ def assign_ids(logs: DataFrame, load: int) -> DataFrame:
 
 
 class LogTable:
-    """A Parquet table partitioned by ingestion day and load number.
+    """A Parquet table partitioned by ingestion day, writer and load number.
 
-    Writing a load again replaces its own partitions, so a retried micro-batch
-    never duplicates logs. Rows are sorted by score inside each file, which
+    Writing a writer's load again replaces its own partitions, so a retried
+    micro-batch never duplicates logs; other writers' logs are never touched,
+    whatever numbers their loads have. Rows are sorted by score inside each file, which
     lets row-group statistics serve tier filters.
     """
 
@@ -64,7 +67,7 @@ class LogTable:
         )
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} "
-            f"({columns}, ingest_date date, load bigint) USING parquet "
+            f"({columns}, ingest_date date, writer string, load bigint) USING parquet "
             # A table option, as insertInto does not take it from the writer;
             # without it an overwrite would replace the whole table.
             "OPTIONS (partitionOverwriteMode 'dynamic') "
@@ -72,8 +75,12 @@ class LogTable:
         )
         return self
 
-    def append(self, logs: DataFrame, load: int) -> None:
-        """Store scored logs; ids and ``created_at`` are filled in if absent."""
+    def append(self, logs: DataFrame, load: int, writer: str = BULK_WRITER) -> DataFrame:
+        """Store scored logs; ids and ``created_at`` are filled in if absent.
+
+        Gives back the stored rows, read from where they were prepared and not
+        from the table.
+        """
         if "created_at" not in logs.columns:
             logs = logs.withColumn("created_at", F.current_timestamp())
         if "id" not in logs.columns:
@@ -85,6 +92,7 @@ class LogTable:
                 for f in LOG_SCHEMA
             ],
             F.to_date("created_at").alias("ingest_date"),
+            F.lit(writer).alias("writer"),
             F.lit(load).cast("bigint").alias("load"),
         )
         (
@@ -92,21 +100,21 @@ class LogTable:
             .write.mode("overwrite")
             .insertInto(self.name)
         )
+        return stored
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
     def days(self) -> list[str]:
-        """Ingestion days that hold logs, newest first, from the catalog alone."""
-        listed = self.spark.sql(f"SHOW PARTITIONS {self.name}")
-        day = F.regexp_extract("partition", r"ingest_date=([^/]+)", 1)
-        rows = listed.select(day.alias("day")).distinct().orderBy(F.desc("day")).collect()
+        """Ingestion days that hold logs, newest first: one row for each day."""
+        day = F.date_format("ingest_date", "yyyy-MM-dd").alias("day")
+        rows = self.read().select(day).distinct().orderBy(F.desc("day")).collect()
         return [row["day"] for row in rows]
 
     def newest_days(self, rows: int) -> DataFrame:
         """The fewest newest days that together hold at least ``rows`` logs.
 
-        A newest-first query needs no older day, so the rest of the table is
+        Filter before asking for days, not after: logs that a later filter drops were counted. A newest-first query needs no older day, so the rest of the table is
         pruned by partition.
         """
         logs, found, oldest = self.read(), 0, None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,9 +28,12 @@ from logvane.operators.validation import (
     quarantined_messages,
     valid_messages,
 )
-from logvane.sources.log_table import LogTable
+from logvane.session import materialize
+from logvane.sources.log_table import LogTable, assign_ids
 
 WATERMARK = "1 minute"
+# Frame times keep every microsecond that a log has.
+FRAME_TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"
 
 
 def live_frames(scored: DataFrame) -> DataFrame:
@@ -38,7 +43,7 @@ def live_frames(scored: DataFrame) -> DataFrame:
     return shown.select(
         F.to_json(
             F.struct(F.lit("log").alias("type"), data.alias("data")),
-            {"ignoreNullFields": "false"},
+            {"ignoreNullFields": "false", "timestampFormat": FRAME_TIME},
         ).alias("value")
     )
 
@@ -54,13 +59,13 @@ def responses_with_features(scored: DataFrame) -> DataFrame:
     )
 
 
-def scored_messages(messages: DataFrame, detector: Detector | None) -> DataFrame:
-    """Parse, validate and score messages; rejected ones keep their reasons."""
+def parsed_messages(messages: DataFrame) -> DataFrame:
+    """Parse and validate messages; rejected ones keep their reasons."""
     parsed = parse_messages(messages)
     if "created_at" not in parsed.columns:
         # In a stream this is the micro-batch's recorded time, the same on a retry.
         parsed = parsed.withColumn("created_at", F.current_timestamp())
-    return score_logs(parsed, detector)
+    return parsed
 
 
 def start_ingest(
@@ -71,37 +76,41 @@ def start_ingest(
     quarantine_path: str,
     publish_path: str | None = None,
     available_now: bool = False,
+    writer_name: str | None = None,
 ) -> StreamingQuery:
     """Score every arriving log, store it and publish it.
 
-    All three outputs of a micro-batch are keyed by its number and replaced as
-    a whole, so a retried batch leaves no duplicates.
+    A writer's name stands for its checkpoint (by default it is a hash of the
+    folder), so streams with checkpoints of their own never replace each
+    other's logs. All three outputs of a micro-batch are keyed by writer and
+    number and replaced as a whole, so a retried batch leaves no duplicates.
+    Rejected messages are split off before anything is scored; every step
+    reads the written copy of the one before.
     """
     table.create_if_absent()
+    name = writer_name or f"stream-{zlib.crc32(checkpoint.encode()):08x}"
 
-    def replace(frame: DataFrame, path: str, batch: int) -> None:
+    def replace(frame: DataFrame, path: str, batch: int, fmt: str) -> None:
         (
-            frame.withColumn("batch", F.lit(batch))
+            frame.withColumns({"writer": F.lit(name), "batch": F.lit(batch)})
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
-            .json(path)
+            .partitionBy("writer", "batch")
+            .format(fmt)
+            .save(path)
         )
 
-    def handle(scored: DataFrame, batch: int) -> None:
-        scored.persist()
-        try:
-            kept = list(messages.columns)
-            table.append(valid_messages(scored), batch)
-            replace(quarantined_messages(scored, kept), quarantine_path, batch)
-            if publish_path is not None:
-                stored = table.read().where(F.col("load") == batch)
-                replace(live_frames(stored), publish_path, batch)
-        finally:
-            scored.unpersist()
+    def handle(parsed: DataFrame, batch: int) -> None:
+        parsed = materialize(parsed)
+        kept = list(messages.columns)
+        logs = assign_ids(score_logs(valid_messages(parsed), detector), batch)
+        stored = table.append(materialize(logs), batch, name)
+        replace(quarantined_messages(parsed, kept), quarantine_path, batch, "json")
+        if publish_path is not None:
+            replace(live_frames(stored), publish_path, batch, "text")
 
     writer = (
-        scored_messages(messages, detector)
+        parsed_messages(messages)
         .writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(handle)
     )
@@ -264,6 +273,8 @@ def run_to_table(
             .trigger(availableNow=True)
             .start(path)
         )
+    elif mode != "complete":
+        raise ValueError("only append and complete results can be written as a whole")
     else:
         running = (
             query.writeStream.option("checkpointLocation", checkpoint)

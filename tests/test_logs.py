@@ -168,7 +168,7 @@ def test_assigned_ids_are_unique_and_grow_with_the_load(spark):
     first, second = (
         sorted(r["id"] for r in assign_ids(df, load).collect()) for load in (0, 3)
     )
-    assert first == list(range(300)) and second[0] == 3 << 34 and second[-1] == (3 << 34) + 299
+    assert first == list(range(300)) and second[0] == 3 << 38 and second[-1] == (3 << 38) + 299
 
 
 def judged(spark, *messages):
@@ -185,8 +185,11 @@ def test_messages_are_typed_and_rejected_with_reasons(spark):
         (GOOD, []),
         ({k: v for k, v in GOOD.items() if k != "event_time"}, ["required:event_time"]),
         ({**GOOD, "event_time": None}, ["required:event_time"]),
-        ({**GOOD, "event_time": "2024"}, ["type:event_time"]),
+        ({**GOOD, "event_time": "soon"}, ["type:event_time"]),
+        ({**GOOD, "event_time": "2024-13-01"}, ["type:event_time"]),
         ({**GOOD, "event_time": 1704067200}, []),
+        ({**GOOD, "event_time": 1704067200000}, []),
+        ({**GOOD, "event_time": "1704067200"}, []),
         ({**GOOD, "is_alert": True}, ["unknown:is_alert"]),
         ({**GOOD, "anomaly_score": 0.1, "x": 1}, ["unknown:anomaly_score", "unknown:x"]),
         ({**GOOD, "source_ip": "1" * 46}, ["too_long:source_ip"]),

@@ -133,15 +133,19 @@ def test_ingest_stream_scores_stores_publishes_and_quarantines(spark, detector,
     assert stored.where("anomaly_score IS NOT NULL").count() == (3 if with_model else 0)
     rejected = spark.read.json(str(tmp_path / "quarantine")).collect()
     assert sorted(r["reasons"][0] for r in rejected) == ["not_an_object", "unknown:is_alert"]
-    frames = [json.loads(r["value"]) for r in spark.read.json(str(tmp_path / "published")).collect()]
+    frames = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "published")).collect()]
     assert len(frames) == 5 and {f["type"] for f in frames} == {"log"}
     assert {f["data"]["severity"] for f in frames} == ({None, "critical"} if with_model else {None})
     assert all("raw_payload" not in f["data"] and "top_features" in f["data"] for f in frames)
     # A micro-batch that is run again replaces its own rows.
-    rows = stored.drop("ingest_date", "load")
+    rows = stored.drop("ingest_date", "writer", "load")
     second = spark.createDataFrame(rows.where(stored["load"] == 1).collect(), rows.schema)
-    table.append(second, 1)
+    name = stored.first()["writer"]
+    table.append(second, 1, name)
     assert table.read().count() == 5
+    # Another writer's load of the same number adds to them.
+    table.append(second, 1, "another")
+    assert table.read().count() == 5 + second.count()
 
 
 def test_live_lists_survive_restarts_and_seed_from_alerts(spark, tmp_path):
