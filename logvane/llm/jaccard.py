@@ -43,6 +43,8 @@ MOST_FREQUENT = 65_536
 BROADCAST_KEYS = 1_000_000
 # Slices of the hash range whose element counts bound an overlap from above.
 SLICES = 512
+# N-grams of a document's list that show where two lists first meet.
+HEAD = 6
 # Pairs of one left row that travel with one copy of its set.
 BLOCK = 256
 
@@ -275,18 +277,21 @@ def _components(rows: DataFrame, size: int, percent: int) -> DataFrame:
     apart = part.join(mains, "token")
     split = apart.where("part <> main").select("token").distinct()
     apart = apart.join(split, "token", "left_semi").drop("low")
-    apart = materialize(apart.join(nodes.select("node", "first"), "node"))
+    heads = nodes.select("node", F.slice("first", 1, HEAD).alias("head"))
+    apart = materialize(apart.join(heads, "node"))
     other = apart.where("part <> main").select(
         "token",
         F.col("node").alias("other"),
         F.col("n").alias("other_n"),
         F.col("at").alias("other_at"),
         F.col("part").alias("other_part"),
-        F.col("first").alias("other_first"),
+        F.col("head").alias("other_head"),
     )
     one_way = (F.col("part") == F.col("main")) | (F.col("node") < F.col("other"))
-    # A pair is made in the first column that its rows share, not in every one.
-    here = F.get(F.array_intersect("first", "other_first"), 0) == F.col("token")
+    # A pair is made in the first column that its rows share, not in every one, as far as the
+    # heads of their lists show it; near copies nearly always share one of these.
+    shared = F.get(F.array_intersect("head", "other_head"), 0)
+    here = shared.isNull() | (shared == F.col("token"))
     rest = materialize(
         apart.join(other, "token")
         .where((F.col("part") != F.col("other_part")) & one_way & _room(percent) & here)
