@@ -103,7 +103,9 @@ def start_ingest(
     def handle(parsed: DataFrame, batch: int) -> None:
         parsed = materialize(parsed)
         kept = list(messages.columns)
-        logs = assign_ids(score_logs(valid_messages(parsed), detector), batch)
+        logs = score_logs(valid_messages(parsed), detector)
+        if "id" not in logs.columns:
+            logs = assign_ids(logs, batch)
         stored = table.append(materialize(logs), batch, name)
         replace(quarantined_messages(parsed, kept), quarantine_path, batch, "json")
         if publish_path is not None:
