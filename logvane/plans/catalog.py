@@ -23,11 +23,13 @@ from logvane.operators.forest import IsolationForestModel, classify
 from logvane.operators.parsing import parse_flows
 from logvane.operators.scaler import (
     BaselineScaler,
+    BaselineScalerModel,
+    FeatureParams,
     class_feature_stats,
     clean_rows,
     long_deviations,
 )
-from logvane.operators.scoring import score_logs, top_deviations
+from logvane.operators.scoring import Detector, score_logs, top_deviations
 from logvane.operators.validation import (
     parse_messages,
     replay_summary,
@@ -558,7 +560,7 @@ def top_deviation_features(spark, sf_dir):
 # --- detection -----------------------------------------------------------
 
 
-def fixed_forest() -> IsolationForestModel:
+def fixed_forest(**settings) -> IsolationForestModel:
     nodes = pd.DataFrame(FIXED_NODES, columns=["tree", "node", "feature", "threshold", "rows"])
     return IsolationForestModel(
         nodes.astype({"threshold": float}),
@@ -566,6 +568,37 @@ def fixed_forest() -> IsolationForestModel:
         n_features=len(FEATURE_COLUMNS),
         offset=FIXED_OFFSET,
         deviation=FIXED_DEVIATION,
+        **settings,
+    )
+
+
+def fixed_detector() -> Detector:
+    """Values as they are, 1 where one is missing, and the small forest at a threshold of 0.6."""
+    params = [FeatureParams(c, 1.0, 0.0, 1.0) for c in FEATURE_COLUMNS]
+    return Detector(BaselineScalerModel(params), fixed_forest(threshold=0.6))
+
+
+@query
+def fixed_detector_logs(spark, sf_dir):
+    """The production scorer on full, partial, empty and missing feature maps, with unknown keys."""
+    flows = tables.flows(spark, sf_dir)
+    pairs = [x for c in FEATURE_COLUMNS for x in (F.lit(c), F.col(f"`{c}`").cast("double"))]
+    whole = F.create_map(*pairs, F.lit("unknown key"), F.lit(9e9))
+    line = F.col("`Total Backward Packets`")
+    features = (
+        F.when(line == 1, F.lit(None))
+        .when(line == 2, F.map_filter(whole, lambda k, v: F.lit(False)))
+        .when(line == 3, F.map_filter(whole, lambda k, v: k != "Flow Duration"))
+        .otherwise(whole)
+    )
+    scored = score_logs(flows.select("flow_id", features.alias("features")), fixed_detector())
+    top = F.col("top_features")
+    return scored.select(
+        "flow_id",
+        F.round("anomaly_score", 9).alias("anomaly_score"),
+        "is_alert",
+        severity(F.col("anomaly_score"), F.col("is_alert")).alias("severity"),
+        F.array_join(top["feature"], "|").alias("top_features"),
     )
 
 

@@ -269,6 +269,32 @@ forest AS (
 """
 
 
+# What the fixed detector sees: 1 for what is not finite, and for the key that line 3 lacks.
+IMPUTED = (
+    "imputed AS (SELECT * REPLACE ("
+    + ", ".join(
+        f"coalesce(CASE WHEN {'true' if c != 'Flow Duration' else _quoted('Total Backward Packets') + ' <> 3'} "
+        f"THEN {_finite(c)} END, 1.0::DOUBLE) AS {_quoted(c)}"
+        for c in FEATURE_COLUMNS
+    )
+    + ") FROM labelled)"
+)
+
+# The five values farthest from 0 of each flow.
+RANKED = (
+    "values_of AS ("
+    + " UNION ALL ".join(
+        f"SELECT flow_id, {i} AS position, '{c}' AS feature, {_quoted(c)} AS z FROM imputed"
+        for i, c in enumerate(FEATURE_COLUMNS)
+    )
+    + """),
+placed AS (SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY abs(z) DESC, position) AS place
+  FROM values_of),
+ranked AS (SELECT flow_id, string_agg(feature, '|' ORDER BY place) AS names
+  FROM placed WHERE place <= 5 GROUP BY flow_id)"""
+)
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
 
@@ -495,6 +521,19 @@ FROM labelled GROUP BY 1""",
 SELECT flow_id, place, feature, round(z, 2) AS deviation FROM (
   SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY abs(z) DESC, position) AS place
   FROM long) AS t WHERE place <= 5""",
+    "fixed_detector_logs": _with(
+        FLOWS,
+        IMPUTED,
+        FOREST.replace("FROM labelled", "FROM imputed"),
+        """scored AS (SELECT *, "Total Backward Packets" > 2 AS has,
+    1.0 / (1.0 + exp(decision * 80.0::DOUBLE)) AS score FROM forest)""",
+        RANKED,
+    ) + """SELECT scored.flow_id, CASE WHEN has THEN round(score, 9) END AS anomaly_score,
+  has AND score >= 0.6 AS is_alert,
+  CASE WHEN NOT has OR score < 0.6 THEN NULL WHEN score < 0.75 THEN 'high' ELSE 'critical' END
+    AS severity,
+  CASE WHEN has THEN names ELSE '' END AS top_features
+FROM scored JOIN ranked USING (flow_id)""",
     "fixed_forest_scores": _with(FLOWS, FOREST) + """
 SELECT flow_id, round(decision, 9) AS decision,
   round(1.0 / (1.0 + exp(decision * 80.0::DOUBLE)), 9) AS anomaly_score,

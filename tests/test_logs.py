@@ -212,7 +212,9 @@ def test_messages_are_typed_and_rejected_with_reasons(spark):
         assert rows[i]["reasons"] == reasons, message
     assert rows[0]["event_time"] == datetime(2023, 12, 31, 22, 0)
     assert rows[0]["features"] == {"a": 1.0}
-    assert rows[12]["bytes_transferred"] == 2
+    assert rows[15]["bytes_transferred"] == 2
+    instants = {rows[i]["event_time"] for i in (5, 6, 7)}
+    assert instants == {datetime(2024, 1, 1)}
 
 
 def test_split_keeps_every_message_on_one_side(spark):
@@ -245,3 +247,18 @@ def test_prepared_sample_round_trip(spark):
     assert read_sample(spark, path).count() == 1
     write_sample(read_sample(spark, path), path + "-csv", "csv")
     assert read_sample(spark, path + "-csv", "csv").columns == ["n", "Label"]
+
+
+def test_flow_files_are_read_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(" Label, X, Y, X\nBENIGN,1,2,3\nDDoS,4,Infinity,6\n")
+    (tmp_path / "b.csv").write_text("Y,Label\n7,Bot\n")
+    rows = read_flow_csv(spark, str(tmp_path)).orderBy("Label").collect()
+    got = [(r["Label"], r["X"], r["X.1"], r["Y"], r["file"]) for r in rows]
+    assert got == [
+        ("BENIGN", "1", "3", "2", "a.csv"),
+        ("Bot", None, None, "7", "b.csv"),
+        ("DDoS", "4", "6", "Infinity", "a.csv"),
+    ]
+    (tmp_path / "c.csv").write_text("Y,Lab\n8,Z\n")
+    with pytest.raises(ValueError, match="c.csv"):
+        read_flow_csv(spark, str(tmp_path))

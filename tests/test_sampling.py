@@ -86,3 +86,20 @@ def test_fractions(spark):
     )
     got = [r[0] for r in df.select(sampling.sampling_fraction(F.col("label"), F.col("n"))).collect()]
     assert got == [0.02, 1.0, 0.5, 0.02]
+
+
+def test_null_strata_keep_their_rows(spark):
+    rows = [(i, "f" if i % 2 else None, "BENIGN" if i % 3 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "row long, file string, Label string")
+    for exact in (True, False):
+        got = sampling.stratified_sample(df, ["row"], exact=exact)
+        kept = {(r["file"], r["Label"]) for r in got.collect()}
+        assert (None, None) in kept and ("f", None) in kept
+    whole = sampling.stratified_sample(df.where("Label is null"), ["row"])
+    assert whole.count() == df.where("Label is null").count()
+
+
+def test_ids_that_do_not_tell_rows_apart_are_refused(spark):
+    df = spark.range(3000).selectExpr("1 as row", "'f' as file", "'BENIGN' as Label")
+    with pytest.raises(ValueError, match="tell rows apart"):
+        sampling.stratified_sample(df, ["row"], ranked_rows=100)
