@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logvane.llm.common import id_and_text
+from logvane.llm.common import id_and_text, slices
 from logvane.llm.components import connected
 from logvane.llm.shingles import shingle_set
 from logvane.session import materialize
@@ -69,7 +69,7 @@ def _frequent(rows: DataFrame, size: int) -> np.ndarray:
     """Sorted hashes of n-grams that many documents of the sample have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, size) for t in batch.column(0).to_pylist()]
             tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
             yield pa.RecordBatch.from_arrays(
@@ -105,7 +105,7 @@ def _signed(rows: DataFrame, size: int, percent: int, last: np.ndarray) -> DataF
         return np.concatenate([tokens[~is_last][:want], tokens[is_last][:want]])[:want]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t or "", size) for t in batch.column(2).to_pylist()]
             node = [hash_of(s) for s in sets]
             sizes = np.array([len(s) for s in sets], np.int32)
@@ -177,7 +177,7 @@ def _sets(rows: DataFrame, keys: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for i, node in enumerate(batch.column(0).to_pylist()):
                 if node not in seen:
