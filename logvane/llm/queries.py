@@ -153,4 +153,60 @@ SELECT page_id, host, path, rule,
 FROM ruled LEFT JOIN bound USING (host)
 """
 
-ORACLE: dict[str, str] = {"op6_reputation": _OP6}
+# All pairs that share a shingle, counted; components by reachability.
+_OP2 = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, [x for x in string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+') if x <> ''] AS l
+  FROM documents),
+shingles AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(l) = 0 THEN []
+      WHEN len(l) < 4 THEN [array_to_string(l, ' ')]
+      ELSE [l[i] || ' ' || l[i + 1] || ' ' || l[i + 2] || ' ' || l[i + 3]
+        for i in range(1, len(l) - 2)] END)) AS s
+  FROM split),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)),
+arcs AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS root, doc_id AS node FROM documents
+  UNION SELECT root, b FROM reach JOIN arcs ON node = a)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id
+FROM documents d JOIN reach ON node = d.doc_id LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id
+"""
+
+# Every 50-byte string of every text, as hexadecimal digits; runs of removed bytes by gaps.
+_OP8 = """
+WITH bytes AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s
+  FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 49)) AS i FROM bytes)),
+firsts AS (SELECT s, min(doc_id) AS d FROM strings GROUP BY s),
+hits AS (SELECT doc_id, i FROM strings JOIN firsts USING (s) WHERE doc_id > d),
+marked AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 50 THEN 0 ELSE 1 END AS fresh
+  FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+spans AS (SELECT doc_id, min(i) AS lo, max(i) + 50 AS hi FROM numbered GROUP BY doc_id, run),
+cuts AS (
+  SELECT doc_id, lo, coalesce(lag(hi) OVER w, 0) AS since, hi
+  FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY lo)),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo)
+      || any_value(substr(h, 2 * last + 1)) AS k, sum(hi - lo) AS removed, count(*) AS n
+  FROM (SELECT cuts.*, h, max(hi) OVER (PARTITION BY doc_id) AS last FROM cuts JOIN bytes USING (doc_id))
+  GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed,
+       coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM bytes LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op2_jaccard": _OP2, "op6_reputation": _OP6, "op8_substrings": _OP8}
