@@ -79,7 +79,8 @@ def anchors(data: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, n
     places = np.flatnonzero(~_window_min(~wide, w) == grams)
     start, stop = np.maximum(places - (w - 1), 0), np.minimum(places + length, n)
     sides = ((places - start) * 128 + (stop - places)).astype(np.uint64)
-    return places, grams[places], mix(span_hash(sums, start, stop) + sides)
+    # Least hashes are small numbers; mixed again they fill the whole range evenly.
+    return places, mix(grams[places]), mix(span_hash(sums, start, stop) + sides)
 
 
 def _planes(x: np.ndarray) -> bytes:
