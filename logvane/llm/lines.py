@@ -1,16 +1,16 @@
 """Fuzzy line deduplication: MinHash bands, exact Jaccard similarity, distributed union-find.
 
 A line's shingles are the sixteen characters from the start of each of its
-words. The signature is a bottom-k MinHash, the k = 8 least shingle hashes, and
+words. The signature is a bottom-k MinHash, the k = 12 least shingle hashes, and
 each of the first four is a band: two lines at similarity 0.8 or more share
 none of them with a chance of about 0.2^4. Lines that meet in a band are compared by their
 whole shingle sets. Equal lines are one line from the start.
 
 In a band each line first meets the least one only; bands whose lines are
 still in different components are then paired in full, if the sizes allow it
-and if the signatures share three values or more (at similarity 0.8 fewer are
-shared with a chance of about 0.001); pairs are made by two shared values at once,
-so a shingle that many unlike lines have makes none.
+and if the signatures share six values or more (at similarity 0.8 fewer are
+shared with a chance of about 0.004); pairs are made by two shared values at once,
+a band and another of the least five, so a shingle that many unlike lines have makes none.
 So a line that stands in a third of all documents costs one row for each, and
 near copies of one line are compared with it, not with each other.
 
@@ -28,9 +28,10 @@ from logvane.llm.components import connected
 from logvane.session import materialize
 
 SHINGLE = 16
-SKETCH = 8
+SKETCH = 12
 BANDS = 4
-SHARED = 3
+SECONDS = 5
+SHARED = 6
 PERCENT = 80
 # Up to so many narrow rows (a few MB) may be broadcast; more are joined by shuffling.
 BROADCAST_ROWS = 500_000
@@ -107,8 +108,9 @@ def _links(lines: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     split = apart.where("part <> main").select("band").distinct()
     apart = apart.join(split, "band", "left_semi").drop("low").join(lines.select("key", "least"), "key")
     # The second value; a line of one shingle has none and takes the first again.
-    second = F.when(F.size("least") > 1, F.array_remove("least", F.col("band"))).otherwise(F.col("least"))
-    apart = materialize(apart.withColumn("second", F.explode(second)))
+    few = F.slice("least", 1, SECONDS)
+    second = F.when(F.size("least") > 1, F.array_remove(few, F.col("band"))).otherwise(few)
+    apart = materialize(apart).withColumn("second", F.explode(second))
     other = apart.where("part <> main").select(
         "band",
         "second",
