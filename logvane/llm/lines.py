@@ -1,7 +1,7 @@
 """Fuzzy line deduplication: MinHash bands, exact Jaccard similarity, distributed union-find.
 
-A line's shingles are the sixteen characters from the start of each of its
-words. The signature is a bottom-k MinHash, the k = 12 least shingle hashes, and
+A line's shingles are the sixteen characters from each of its positions, so
+each character is in some; a shorter line is one shingle. The signature is a bottom-k MinHash, the k = 12 least shingle hashes, and
 each of the first four is a band: two lines at similarity 0.8 or more share
 none of them with a chance of about 0.2^4. Lines that meet in a band are compared by their
 whole shingle sets. Equal lines are one line from the start.
@@ -36,13 +36,13 @@ PERCENT = 80
 # Up to so many narrow rows (a few MB) may be broadcast; more are joined by shuffling.
 BROADCAST_ROWS = 500_000
 
-# A position behind white space or the start; what stands from there is looked at, not consumed.
-_AT_WORDS = r"(?s)(?<!\S)(?=(\S.{0,%d}))" % (SHINGLE - 1)
+# Every character and those behind it, which are looked at, not consumed; a shorter line is one shingle.
+_AT_EACH = r"(?s)(?=(.{%d}|^.{1,%d}\z))." % (SHINGLE, SHINGLE - 1)
 
 
 def shingles(line: Column) -> Column:
     """Distinct hashes of a line's shingles."""
-    found = F.regexp_extract_all(line, F.lit(_AT_WORDS), F.lit(1))
+    found = F.regexp_extract_all(line, F.lit(_AT_EACH), F.lit(1))
     return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
 
 
