@@ -1,21 +1,23 @@
 """Fuzzy line deduplication: MinHash bands, exact Jaccard similarity, distributed union-find.
 
-A line's shingles are the sixteen characters from each of its positions, so
-each character is in some; a shorter line is one shingle. The signature is a bottom-k MinHash, the k = 12 least shingle hashes, and
-each of the first four is a band: two lines at similarity 0.8 or more share
-none of them with a chance of about 0.2^4. Lines that meet in a band are compared by their
-whole shingle sets. Equal lines are one line from the start.
+A line's shingles are the five characters from each of its positions, so each
+character is in some; a shorter line is one shingle. Their hashes lie on a
+circle with 14 fixed points on it, and each band is the five hashes that follow
+one point: two lines at similarity 0.8 share none with a chance of about
+(1 - 0.8^5)^14 = 0.004, and lines that share only the commonest shingles hardly
+ever share one. The k = 12 least hashes are a bottom-k sketch: pairs that share
+less than six of them are left out (at similarity 0.8 a chance of about 0.004).
+The others are compared by their whole shingle sets. Equal lines are one line
+from the start.
 
 In a band each line first meets the least one only; bands whose lines are
-still in different components are then paired in full, if the sizes allow it
-and if the signatures share six values or more (at similarity 0.8 fewer are
-shared with a chance of about 0.004); pairs are made by two shared values at once,
-a band and another of the least five, so a shingle that many unlike lines have makes none.
-So a line that stands in a third of all documents costs one row for each, and
-near copies of one line are compared with it, not with each other.
-
-Everything is DataFrame functions. What leaves a text is a narrow row for each
-line, written once; line texts are read again only for lines that met another.
+still in different components are then paired in full, if the sizes and the
+sketches allow it. So a line that stands in a third of all documents costs one
+row for each, and near copies of one line are compared with it, not with each
+other.
+
+Everything is DataFrame functions. Each different line leaves one narrow row,
+written once; line texts are read again only for lines of a pair to compare.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from logvane.llm.common import id_and_text
 from logvane.llm.components import connected
 from logvane.session import materialize
 
-SHINGLE = 16
+SHINGLE = 5
 SKETCH = 12
-BANDS = 4
-SECONDS = 5
+BANDS = 14
+IN_BAND = 5
 SHARED = 6
 PERCENT = 80
 # Up to so many narrow rows (a few MB) may be broadcast; more are joined by shuffling.
@@ -46,6 +48,37 @@ def shingles(line: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
 
 
+_STEP = 2**64 // BANDS
+_POINTS = [-(2**63) + _STEP // 2 + _STEP * i for i in range(BANDS)]
+
+
+def _points() -> Column:
+    return F.array(*[F.lit(p) for p in _POINTS])
+
+
+def _circle(ordered: Column) -> Column:
+    """Hashes and fixed points in order; behind the last one comes the first."""
+    return F.sort_array(F.concat(ordered, _points()))
+
+
+def _high(value: Column) -> Column:
+    return F.shiftright(value, 32).cast("int")
+
+
+def _bands(circle: Column) -> Column:
+    """For each fixed point a hash of the ``IN_BAND`` values behind it."""
+    places = F.array(*[F.array_position(circle, F.lit(p)).cast("int") for p in _POINTS])
+    room = BANDS + IN_BAND
+
+    # A lambda keeps the generated code small enough to be compiled.
+    def band(at: Column, i: Column) -> Column:
+        behind = F.concat(F.slice(circle, at + 1, F.lit(room)), F.slice(circle, 1, room))
+        run = F.slice(F.array_except(behind, _points()), 1, IN_BAND)
+        return _high(F.xxhash64(i, F.sort_array(run)))
+
+    return F.transform(places, band)
+
+
 def _small(side: DataFrame) -> DataFrame:
     """A written narrow side, broadcast if counting shows that it is small."""
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
@@ -80,61 +113,60 @@ def _sizes_fit(percent: int) -> Column:
     return 100 * small >= percent * large
 
 
+def _alike(percent: int) -> Column:
+    """Whether sizes and sketches leave room for a similarity of ``percent``."""
+    shared = F.size(F.array_intersect("least", "other_least"))
+    return _sizes_fit(percent) & (shared >= F.least(F.lit(SHARED), F.col("n"), F.col("other_n")))
+
+
+def _others(lines: DataFrame) -> DataFrame:
+    return lines.select(
+        F.col("key").alias("other"), F.col("n").alias("other_n"), F.col("least").alias("other_least")
+    )
+
+
+def _fitting(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The pairs (key, other) that may be similar, as (a, b), a below b."""
+    sketches = lines.select("key", "n", "least")
+    return materialize(
+        pairs.distinct()
+        .join(sketches, "key")
+        .join(_others(lines), "other")
+        .where(_alike(percent))
+        .select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
+    )
+
+
 def _links(lines: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Verified links between the hashes of different lines."""
-    bands = lines.select("key", "n", F.explode(F.slice("least", 1, BANDS)).alias("band"))
+    bands = lines.select("key", F.explode("bands").alias("band"))
     meeting = (
         bands.groupBy("band")
         .agg(F.min("key").alias("low"), F.max("key").alias("high"))
         .where("low <> high")
         .select("band", "low")
     )
-    met = materialize(bands.join(meeting, "band").distinct())
-    lowest = met.where("key = low").select("band", F.col("n").alias("other_n"))
-    stars = materialize(
-        met.where("key <> low")
-        .join(lowest, "band")
-        .where(_sizes_fit(percent))
-        .select(F.col("low").alias("a"), F.col("key").alias("b"))
-        .distinct()
+    met = materialize(bands.join(_small(materialize(meeting)), "band").distinct())
+    stars = _fitting(
+        met.where("key <> low").select("key", F.col("low").alias("other")), lines, percent
     )
     first = materialize(_similar(stars, rows, percent))
     parts = connected(first)
     part = met.join(parts.withColumnRenamed("node", "key"), "key", "left").select(
-        "band", "key", "n", "low", F.coalesce("component", "key").alias("part")
+        "band", "key", "low", F.coalesce("component", "key").alias("part")
     )
     mains = part.where("key = low").select("band", F.col("part").alias("main"))
     apart = part.join(mains, "band")
     split = apart.where("part <> main").select("band").distinct()
-    apart = apart.join(split, "band", "left_semi").drop("low").join(lines.select("key", "least"), "key")
-    # The second value; a line of one shingle has none and takes the first again.
-    few = F.slice("least", 1, SECONDS)
-    second = F.when(F.size("least") > 1, F.array_remove(few, F.col("band"))).otherwise(few)
-    apart = materialize(apart).withColumn("second", F.explode(second))
+    apart = materialize(apart.join(split, "band", "left_semi"))
     other = apart.where("part <> main").select(
-        "band",
-        "second",
-        F.col("least").alias("other_least"),
-        F.col("key").alias("other"),
-        F.col("n").alias("other_n"),
-        F.col("part").alias("other_part"),
+        "band", F.col("key").alias("other"), F.col("part").alias("other_part")
     )
     one_way = (F.col("part") == F.col("main")) | (F.col("key") < F.col("other"))
-    shared = F.array_intersect("least", "other_least")
-    enough = F.size(shared) >= F.least(F.lit(SHARED), F.col("n"), F.col("other_n"))
-    # Of all the pairs of values that two lines share, the least two make the pair; the least
-    # shared value of lines that meet in a band is a band of both.
-    after = F.get(shared, F.least(F.size(shared) - 1, F.lit(1)))
-    here = (F.get(shared, 0) == F.col("band")) & (after == F.col("second"))
-    apart_differ = F.col("part") != F.col("other_part")
-    rest = materialize(
-        apart.join(other, ["band", "second"])
-        .where(apart_differ & one_way & _sizes_fit(percent) & enough & here)
-        .select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    return first.union(_similar(rest, rows, percent))
+    # All pairs with the least line have been looked at.
+    pairs = apart.where("key <> low").join(other, "band").where((F.col("part") != F.col("other_part")) & one_way)
+    rest = _fitting(pairs.select("key", "other"), lines, percent)
+    return first.union(_similar(rest.join(stars, ["a", "b"], "left_anti"), rows, percent))
 
 
 def _row(docs: DataFrame, id_col: str, text_col: str) -> Column:
@@ -147,20 +179,26 @@ def _removed(rows: DataFrame, percent: int) -> DataFrame:
     """row and the places of its lines that go, for documents that lose any."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be in 1..100")
-    found = shingles(F.col("line"))
-    occurrences = materialize(
-        _lines_of(rows)
-        .select("row", "place", "key", F.sort_array(found).alias("all"))
-        .select("row", "place", "key", F.size("all").alias("n"), F.slice("all", 1, SKETCH).alias("least"))
-    )
+    occurrences = _lines_of(rows)
     at = F.struct("row", "place")
+    ordered = occurrences.select(
+        "row", "place", "key", F.sort_array(shingles(F.col("line"))).alias("all")
+    ).withColumn("circle", _circle(F.col("all")))
+    sketched = ordered.select(
+        "row",
+        "place",
+        "key",
+        F.size("all").alias("n"),
+        F.transform(F.slice("all", 1, SKETCH), _high).alias("least"),
+        _bands(F.col("circle")).alias("bands"),
+    )
     firsts = materialize(
-        occurrences.groupBy("key").agg(
-            F.min(at).alias("at"), F.count("*").alias("times"),
-            F.first("n").alias("n"), F.first("least").alias("least"),
+        sketched.groupBy("key").agg(
+            F.min(at).alias("at"), F.count("*").alias("times"), F.first("n").alias("n"),
+            F.first("least").alias("least"), F.first("bands").alias("bands"),
         )
     )
-    parts = connected(_links(firsts.select("key", "n", "least"), rows, percent))
+    parts = connected(_links(firsts.select("key", "n", "least", "bands"), rows, percent))
     # Lines that stand once and are linked to nothing need no further look.
     touched = firsts.join(parts.withColumnRenamed("node", "key"), "key", "left").select(
         "key", "at", "times", F.coalesce("component", "key").alias("part"), "component"
