@@ -6,11 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvane.llm import bpe, fingerprints, jaccard, language, lines, packing, quality, reputation, rules, substrings
+from logvane.llm import (
+    alignment,
+    bpe,
+    fingerprints,
+    jaccard,
+    language,
+    lexical,
+    lines,
+    packing,
+    quality,
+    reputation,
+    rules,
+    secret_scan,
+    substrings,
+)
 from logvane.llm.common import documents, is_held_out
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 URL_RULES = (
     ("block", "net/"),
     ("allow", "example.net/en/"),
@@ -79,6 +94,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), BYTE_BPE)
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return secret_scan.scan(docs, secret_scan.fit(docs))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical.search(lexical.forward(documents(spark, sf_dir), items), items, k=10)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), BYTE_BPE, PIECE_BPE)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_jaccard": op2_jaccard,
@@ -90,6 +119,9 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_packing": op9_packing,
     "op10_bpe": op10_bpe,
+    "op11_secrets": op11_secrets,
+    "op12_search": op12_search,
+    "op13_alignment": op13_alignment,
 }
 
 # The same rules and the same shrinkage, level by level.
@@ -209,4 +241,36 @@ SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed
 FROM bytes LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op2_jaccard": _OP2, "op6_reputation": _OP6, "op8_substrings": _OP8}
+# Every term of every document and item; integers divide rounding down.
+_OP12 = r"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+sizes AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+totals AS (SELECT count(*) AS total_docs, sum(n)::BIGINT AS total_terms FROM sizes),
+found AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * total_docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w
+  FROM found, totals GROUP BY term, total_docs),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+scores AS (
+  SELECT item_id, doc_id, sum(
+    w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * total_docs) // total_terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN found USING (term) JOIN sizes USING (doc_id), totals
+  GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, doc_id, score,
+         row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+  FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLE: dict[str, str] = {
+    "op2_jaccard": _OP2, "op6_reputation": _OP6, "op8_substrings": _OP8, "op12_search": _OP12,
+}
