@@ -11,6 +11,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logvane.functions.coerce import finite
 from logvane.functions.severity import severity, severity_weight, technique, threat_label
 from logvane.operators.ordering import CHUNK_ROWS, trailing_mean
 
@@ -48,8 +49,8 @@ def top_categories(logs: DataFrame, count: int = TOP_GROUPS) -> DataFrame:
 def mean_alert_score(logs: DataFrame) -> DataFrame:
     """Mean score of the scored alerts, 2 decimals; 0 without any."""
     return logs.where("is_alert").agg(
-        F.coalesce(F.round(F.avg("anomaly_score"), 2), F.lit(0.0)).alias("mean_score"),
-        F.count("anomaly_score").alias("scored_alerts"),
+        F.coalesce(F.round(F.avg(finite(F.col("anomaly_score"))), 2), F.lit(0.0)).alias("mean_score"),
+        F.count(finite(F.col("anomaly_score"))).alias("scored_alerts"),
     )
 
 
@@ -248,15 +249,19 @@ def logs_in_trailing_minute(
 
 
 def logs_per_minute(logs: DataFrame, chunk_buckets: int = 1200) -> DataFrame:
-    """Logs in the minute ending with each 3-second bucket that holds logs.
-
-    Buckets are counted first. Each hour of buckets is then one window
-    partition that carries in the 19 buckets before it.
-    """
-    width = RATE_SECONDS // BUCKET_SECONDS
+    """Logs in the minute ending with each 3-second bucket that holds logs."""
     counts = logs.groupBy(time_bucket(F.col("created_at")).alias("bucket")).agg(
         F.count("*").alias("logs")
     )
+    return trailing_rate(counts, chunk_buckets)
+
+
+def trailing_rate(counts: DataFrame, chunk_buckets: int = 1200) -> DataFrame:
+    """``counts`` (bucket, logs) with the logs of the minute that ends with each bucket.
+
+    Each hour of buckets is one window partition that carries in the 19 buckets before it.
+    """
+    width = RATE_SECONDS // BUCKET_SECONDS
     own = F.floor(F.col("bucket") / chunk_buckets).cast("bigint")
     carried = F.pmod("bucket", F.lit(chunk_buckets)) >= chunk_buckets - (width - 1)
     chunked = counts.withColumn("_own", own).withColumn(
@@ -282,7 +287,7 @@ def kpi_history(
     newest = newest_instant(logs, now)
     last = (newest or 0) // BUCKET_MICROS
     bucket = time_bucket(F.col("created_at"))
-    scored_alert = F.when(F.col("is_alert"), F.col("anomaly_score"))
+    scored_alert = F.when(F.col("is_alert"), finite(F.col("anomaly_score")))
     tier = severity(F.col("anomaly_score"), F.col("is_alert"))
     grouped = (
         logs.where(F.col("created_at") < _instant((last + 1) * BUCKET_MICROS))

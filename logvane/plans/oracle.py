@@ -384,8 +384,11 @@ WHERE created_at > (SELECT max(created_at) FROM logs) - INTERVAL 60 SECOND""",
     "log_table_round_trip": _with(LOGS) + f"SELECT {SHOWN} FROM tiered",
     "two_writers_one_table": _with(LOGS) + """SELECT event_type, 2 * count(*) AS logs,
   2 * count(*) AS ids FROM logs GROUP BY event_type""",
-    "manifest_check": """SELECT * FROM (VALUES ('nation.parquet', 'ok'), ('region.parquet', 'modified'),
-  ('part.parquet', 'unrecorded'), ('gone.parquet', 'missing')) AS t(name, status)""",
+    # The same files at every scale factor.
+    "manifest_check": """SELECT name, CASE name WHEN 'region.parquet' THEN 'modified'
+  WHEN 'part.parquet' THEN 'unrecorded' WHEN 'gone.parquet' THEN 'missing' ELSE 'ok' END AS status
+FROM (SELECT parse_filename(file) AS name FROM glob('/root/testdata/sf0.01/*.parquet')
+  UNION ALL SELECT 'gone.parquet')""",
     "assigned_ids": """SELECT count(*) AS logs, count(*) AS ids, 0 AS first_id,
   count(*) - 1 AS last_id FROM events""",
     "category_counts": _with(LOGS) + """

@@ -141,6 +141,48 @@ def flows(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFra
     )
 
 
+def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as connections of one day: suppliers are sources, parts are ports."""
+    return connections_of(read_table(spark, sf_dir, "lineitem"))
+
+
+def connections_of(lineitem: DataFrame) -> DataFrame:
+    supplier, part = F.col("l_suppkey"), F.col("l_partkey")
+    second = F.col("l_orderkey") * 31 + F.col("l_linenumber").cast("bigint") * 7
+    day = F.lit(1_704_067_200)  # the first second of 2024
+    return lineitem.select(
+        F.concat_ws(
+            ".", F.lit("10.9"), F.expr("l_suppkey div 256 % 256").cast("string"), (supplier % 256).cast("string")
+        ).alias("source_ip"),
+        F.concat(F.lit("192.168.0."), (part * 7 % 200).cast("string")).alias("destination_ip"),
+        (part % 1024).alias("port"),
+        F.timestamp_seconds(day + second % 86_400).alias("event_time"),
+    )
+
+
+def owned_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``customer`` as owners of nested address ranges around the logs' addresses, some of them equal."""
+    key = F.col("c_custkey")
+    length = F.when(key % 97 == 0, key % 20).otherwise(F.lit(20) + key * 7 % 13)
+    base = F.concat_ws(
+        ".", F.lit("10.0"), F.expr("c_custkey * 37 % 512 div 256").cast("string"), (key * 37 % 256).cast("string")
+    )
+    return read_table(spark, sf_dir, "customer").select(
+        F.concat(base, F.lit("/"), length.cast("string")).alias("prefix"), F.col("c_name").alias("owner")
+    )
+
+
+def verdict_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as analysts' verdicts on logs; many logs have several."""
+    status = F.col("o_orderstatus")
+    return read_table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") % 9000).alias("id"),
+        _choose([(status == "F", "false_positive"), (status == "O", "confirmed")], "unclear").alias("verdict"),
+        F.col("o_custkey").alias("analyst"),
+        F.col("o_orderdate").cast("timestamp").alias("decided_at"),
+    )
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages_of(spread(read_table(spark, sf_dir, "events"), "event_id"))
 

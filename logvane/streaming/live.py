@@ -191,7 +191,7 @@ def stream_categories(scored: DataFrame) -> DataFrame:
     return (
         scored.where("is_alert")
         .groupBy(kind.alias("event_type"))
-        .agg(F.count("*").alias("alerts"), F.avg("anomaly_score").alias("mean_score"))
+        .agg(F.count("*").alias("alerts"), F.avg(finite(F.col("anomaly_score"))).alias("mean_score"))
         .withColumn("technique", technique(F.col("event_type")))
     )
 
