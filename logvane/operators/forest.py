@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logvane.functions.hashing import unit_interval
-from logvane.operators.quantiles import exact_quantiles
+from logvane.operators.quantiles import bracket, exact_quantiles
 from logvane.session import materialize
 
 MIN_ROWS = 100
@@ -55,48 +55,73 @@ def depth_limit(subsample: int) -> int:
     return math.ceil(math.log2(max(subsample, 2)))
 
 
-def draw_subsamples(
-    df: DataFrame, ids: list[str], rows: int, trees: int, subsample: int, seed: int
+def _draw(
+    keyed: DataFrame, trees: list[int], chance: float, wanted: int, seed: int
 ) -> DataFrame:
-    """``min(subsample, rows)`` rows for every tree, without replacement.
+    """Every (row, tree) pair by an independent draw; at most ``wanted`` rows of each tree stay.
 
-    Every (row, tree) pair is an independent draw with probability p, about
-    twice what is needed, and the smallest hashes of each tree are kept. The
-    first tree of a row follows a geometric law, so one hash per row decides
-    whether it is drawn at all; only the few drawn rows look at other trees.
+    The first of the trees that a row meets follows a geometric law, so one
+    hash per row decides whether it is drawn at all; only the few drawn rows
+    look at other trees.
     """
-    wanted = min(subsample, rows)
-    chance = 1.0 if rows <= 2 * subsample else 2.0 * subsample / rows
-    row_id = F.xxhash64(*[F.col(f"`{c}`") for c in ids])
-    keyed = df.select(row_id.alias("row_id"), "scaled")
     if chance < 1.0:
-        miss_all = math.exp(trees * math.log1p(-chance))
+        miss_all = math.exp(len(trees) * math.log1p(-chance))
         draw = unit_interval(seed, F.col("row_id"))
         first = F.floor(F.log1p(-F.col("draw")) / F.lit(math.log1p(-chance))).cast("int")
         keyed = (
             keyed.withColumn("draw", draw)
             .where(F.col("draw") < F.lit(1.0 - miss_all))
-            .withColumn("first", F.least(first, F.lit(trees - 1)))
+            .withColumn("first", F.least(first, F.lit(len(trees) - 1)))
         )
     else:
         keyed = keyed.withColumn("first", F.lit(0))
     later = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
+        F.sequence(F.lit(0), F.lit(len(trees) - 1)),
         lambda t: (t == F.col("first"))
         | (
             (t > F.col("first"))
             & (unit_interval(seed + 1, t, F.col("row_id")) < F.lit(chance))
         ),
     )
-    drawn = keyed.select(
-        "row_id", "scaled", F.explode(later).alias("tree")
-    ).withColumn("pick", F.xxhash64(F.lit(seed + 2), "tree", "row_id"))
-    order = Window.partitionBy("tree").orderBy("pick", "row_id", "scaled")
-    return (
-        drawn.withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= wanted)
-        .select("tree", "place", "scaled")
+    tree = F.element_at(F.lit(trees), F.col("turn") + 1)
+    drawn = (
+        keyed.select("row_id", "scaled", F.explode(later).alias("turn"))
+        .select("row_id", "scaled", tree.alias("tree"))
+        .withColumn("pick", F.xxhash64(F.lit(seed + 2), "tree", "row_id"))
     )
+    order = Window.partitionBy("tree").orderBy("pick", "row_id", "scaled")
+    placed = drawn.withColumn("place", F.row_number().over(order))
+    return placed.where(F.col("place") <= wanted).select("tree", "place", "scaled")
+
+
+def draw_subsamples(
+    df: DataFrame, ids: list[str], rows: int, trees: int, subsample: int, seed: int
+) -> DataFrame:
+    """``min(subsample, rows)`` rows for every tree, without replacement.
+
+    A pair is drawn with about twice the chance needed, and the smallest hashes
+    of each tree are kept. A tree that drew too few rows is drawn anew with
+    double the chance and hashes of its own, until all trees are full; at a chance of one
+    every row is drawn. All of it depends on hashes and counts alone, so the
+    trees are the same under any partitioning.
+    """
+    wanted = min(subsample, rows)
+    chance = 1.0 if rows <= 2 * subsample else 2.0 * subsample / rows
+    row_id = F.xxhash64(*[F.col(f"`{c}`") for c in ids])
+    keyed = df.select(row_id.alias("row_id"), "scaled")
+    short, full, turn = list(range(trees)), None, 0
+    while short:
+        # At most subsample rows of each tree; written, so that the count and the trees see one draw.
+        drawn = materialize(_draw(keyed, short, chance, wanted, seed + 1000 * turn))
+        counts = drawn.groupBy("tree").count().where(F.col("count") == wanted).collect()
+        done = {r["tree"] for r in counts}
+        kept = drawn.where(F.col("tree").isin(sorted(done))) if len(done) < len(short) else drawn
+        full = kept if full is None else full.unionByName(kept)
+        short = [t for t in short if t not in done]
+        if short and chance >= 1.0:
+            raise RuntimeError("a tree drew too few rows; are the id columns unique?")
+        chance, turn = min(1.0, 2 * chance), turn + 1
+    return full
 
 
 def _grow(sample: np.ndarray, tree: int, limit: int, seed: int) -> pd.DataFrame:
@@ -222,9 +247,6 @@ class IsolationForest(Estimator):
             depth_limit(wanted),
             self.seed,
         ).toPandas()  # at most trees * 2 * subsample rows
-        roots = nodes[nodes["node"] == 0]
-        if len(roots) != self.trees or (roots["rows"] != wanted).any():
-            raise RuntimeError("a tree drew too few rows; are the id columns unique?")
         bare = IsolationForestModel(
             nodes,
             subsample=wanted,
@@ -234,11 +256,11 @@ class IsolationForest(Estimator):
             feature_names=self.feature_names,
         )
         scores = materialize(train.select(bare.normality("scaled").alias("normality")))
-        low, high, deviation = scores.agg(
-            F.min("normality"), F.max("normality"), F.stddev_pop("normality")
+        deviation, around = scores.agg(
+            F.stddev_pop("normality"), bracket("normality", self.contamination)
         ).first()
         offset = exact_quantiles(
-            scores, ["normality"], self.contamination, {"normality": (rows, low, high)}
+            scores, ["normality"], self.contamination, {"normality": rows}, brackets={"normality": tuple(around)}
         )["normality"]
         model = bare.calibrated(offset, deviation if deviation > 0 else 1.0)
         flagged = scores.agg(F.count_if(model.decision(F.col("normality")) < 0)).first()[0]

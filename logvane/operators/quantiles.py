@@ -1,192 +1,181 @@
-"""Exact order statistics in bounded memory.
+"""Exact order statistics in bounded memory, bracketed by mergeable sketches.
 
 Spark's exact ``percentile`` keeps every distinct value in one aggregation
-buffer. Here each pass counts values per histogram bin (map-side combined, at
-most ``BINS`` rows per open range), keeps the bin that holds the wanted rank
-and repeats inside it. A range is ranked outright once it holds few rows, and a
-range of one repeated value is finished at once, however many rows carry it.
+buffer. Here one wide pass of quantile sketches (``percentile_approx``, all
+columns side by side) gives two values around each wanted rank. A second wide
+pass counts the rows below and at these values, which proves the bracket, and
+collects the few rows strictly between them, whose number the sketches bound. A
+value carried by a third of all rows is an end of its bracket and is never
+collected. If a bracket would still hold too many rows, it is sketched again.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BINS = 4096
-RANKED_ROWS = 200_000
+# A sketch's rank error is at most one part in this many.
+ACCURACY = 10_000
+# How far, as a share of the rows, a bracket reaches beyond the wanted rank.
+REACH = 2 / ACCURACY
+# Rows that one column's bracket may hold when it is collected.
+RANKED_ROWS = 20_000
+# A first look at rows that a caller's own pass can include: ends around one probability for each column.
+Brackets = dict[str, tuple[float, float]]
 
 
 @dataclass(frozen=True)
-class _Range:
-    """Values of one column between two bounds, and how many lie below them."""
+class _Open:
+    """The rows strictly between two values (or all), and which neighbouring ranks of them are wanted."""
 
     column: str
-    low: float
-    high: float
-    below: int
+    first: int
+    last: int
     rows: int
+    low: float | None = None
+    high: float | None = None
+    reach: float = REACH
 
+    def inside(self) -> Column:
+        """The value, or null outside the range."""
+        value = F.col(f"`{self.column}`")
+        if self.low is not None:
+            value = F.when(value > F.lit(self.low), value)
+        if self.high is not None:
+            value = F.when(F.col(f"`{self.column}`") < F.lit(self.high), value)
+        return value
 
-def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(slot, value) for every value, the slot being the column's place."""
-    values = F.array(*[F.col(f"`{c}`") for c in columns])
-    return df.select(F.posexplode(values).alias("slot", "value"))
+    def ends(self) -> tuple[float, float]:
+        beyond = self.reach * self.rows + 1
+        return max(0.0, (self.first - beyond) / self.rows), min(1.0, (self.last + 1 + beyond) / self.rows)
 
+    def most_between(self, known: bool) -> float:
+        """How many rows the bracket can have strictly inside: its share, and the sketch's error at both ends."""
+        low, high = self.ends()
+        share = 4 * REACH if known else high - low
+        return (share + 2 / ACCURACY) * self.rows + 2
 
-def _per_slot(values: Sequence[float]) -> Column:
-    """A constant chosen by slot: one small expression for all columns."""
-    return F.element_at(F.lit(list(values)), F.col("slot") + 1)
 
+def _neighbours(ranks: Sequence[int]) -> list[list[int]]:
+    """Ranks in runs without a gap: one bracket serves a run."""
+    runs: list[list[int]] = []
+    for rank in sorted(set(ranks)):
+        if runs and rank == runs[-1][-1] + 1:
+            runs[-1].append(rank)
+        else:
+            runs.append([rank])
+    return runs
 
-def _inside(df: DataFrame, ranges: Sequence[_Range]) -> DataFrame:
-    """The values that lie in the range of their slot."""
-    return long_values(df, [r.column for r in ranges]).where(
-        F.col("value").between(
-            _per_slot([r.low for r in ranges]), _per_slot([r.high for r in ranges])
-        )
-    )
 
+def _sketch(value: Column, low: float, high: float) -> Column:
+    return F.percentile_approx(value, [low, high], ACCURACY)
 
-def _squeezed(value: float) -> float:
-    return math.copysign(math.log1p(abs(value)), value)
 
+def bracket(column: str, probability: float) -> Column:
+    """An aggregate that a caller's pass over ``column`` can include; its array goes to ``exact_quantiles``."""
+    reach = 2 * REACH
+    return _sketch(F.col(f"`{column}`"), max(0.0, probability - reach), min(1.0, probability + reach))
 
-def _scaling(span: _Range, squeeze: bool) -> tuple[float, float] | None:
-    """(start, factor) of a range's bins, or None if it is too narrow to divide."""
-    low, high = span.low, span.high
-    if squeeze:
-        low, high = _squeezed(low), _squeezed(high)
-    half = high / 2 - low / 2
-    if half <= 0 or math.isinf(BINS / half):
-        return None
-    return low / 2, BINS / half
 
+def row_counts(df: DataFrame, columns: Iterable[str]) -> dict[str, int]:
+    """Values that are not null, in one pass."""
+    columns = list(columns)
+    row = df.agg(*[F.count(f"`{c}`") for c in columns]).first()
+    return dict(zip(columns, row))
 
-def _bin(ranges: Sequence[_Range], squeeze: bool) -> Column:
-    """Bin number of a value: monotone, so bins are in value order.
 
-    The squeezed scale gives heavy tails few bins.
-    """
-    scalings = [_scaling(r, squeeze) for r in ranges]
-    value = F.col("value")
-    if squeeze:
-        value = F.signum(value) * F.log1p(F.abs(value))
-    place = (value / 2 - _per_slot([s for s, _ in scalings])) * _per_slot(
-        [f for _, f in scalings]
-    )
-    return F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(place).cast("int")))
-
-
-def _divide(df: DataFrame, ranges: Sequence[_Range], squeeze: bool) -> dict[_Range, list]:
-    """Histogram of each range: [(rows, smallest, largest)] in value order."""
-    bins = (
-        _inside(df, ranges)
-        .groupBy("slot", _bin(ranges, squeeze).alias("bin"))
-        .agg(F.count("*").alias("rows"), F.min("value"), F.max("value"))
-        .collect()  # at most BINS rows per range
-    )
-    bins.sort(key=lambda row: (row["slot"], row["bin"]))
-    found: dict[_Range, list] = {r: [] for r in ranges}
-    for slot, _, rows, smallest, largest in bins:
-        found[ranges[slot]].append((rows, smallest, largest))
-    return found
-
-
-def _rank_inside(
-    df: DataFrame, targets: dict[tuple[str, int], _Range]
-) -> dict[tuple[str, int], float]:
-    """Rank the few rows of nearly finished ranges and read the wanted ones."""
-    ranges = sorted(set(targets.values()), key=lambda r: (r.column, r.low))
-    number = {r: i for i, r in enumerate(ranges)}
-    order = Window.partitionBy("slot").orderBy("value")
-    upto = (
-        _inside(df, ranges)
-        .groupBy("slot", "value")
-        .agg(F.count("*").alias("rows"))
-        .withColumn("upto", F.sum("rows").over(order))
-    )
-    wanted = None
-    for (_, rank), r in targets.items():
-        place = rank - r.below
-        this = (
-            (F.col("slot") == number[r])
-            & (F.col("upto") > place)
-            & (F.col("upto") - F.col("rows") <= place)
-        )
-        wanted = this if wanted is None else wanted | this
-    rows = upto.where(wanted).collect()  # one row per target
-    answer = {}
-    for (column, rank), r in targets.items():
-        place = rank - r.below
-        for row in rows:
-            if row["slot"] == number[r] and row["upto"] - row["rows"] <= place < row["upto"]:
-                answer[column, rank] = row["value"]
-    return answer
+def _sketched(df: DataFrame, spans: Sequence[_Open]) -> list[tuple[float, float]]:
+    row = df.agg(*[_sketch(s.inside(), *s.ends()).alias(f"s{i}") for i, s in enumerate(spans)]).first()
+    return [tuple(row[i]) for i in range(len(spans))]
 
 
-def column_extent(df: DataFrame, columns: Iterable[str]) -> dict[str, tuple[int, float, float]]:
-    """Row count, minimum and maximum of each column in one pass."""
-    columns = list(columns)
-    rows = (
-        long_values(df, columns)
-        .groupBy("slot")
-        .agg(F.count("value"), F.min("value"), F.max("value"))
-        .collect()  # one row per column
-    )
-    found = {columns[slot]: (count, low, high) for slot, count, low, high in rows}
-    return {c: found.get(c, (0, None, None)) for c in columns}
+def _collected(df: DataFrame, spans: Sequence[_Open]) -> list[list[float]]:
+    """The values of each range in order; the caller has bounded how many."""
+    lists = [F.sort_array(F.collect_list(s.inside())).alias(f"l{i}") for i, s in enumerate(spans)]
+    return [list(x) for x in df.agg(*lists).first()]
+
+
+def _proved(
+    df: DataFrame, spans: Sequence[_Open], ends: Sequence[tuple[float, float]], collect: Sequence[bool]
+) -> list[tuple]:
+    """Rows below and at both ends, and the values strictly between where they are to be collected."""
+    wanted = []
+    for i, (span, (low, high), listed) in enumerate(zip(spans, ends, collect)):
+        value = span.inside()
+        wanted += [
+            F.count_if(value < F.lit(low)).alias(f"a{i}"),
+            F.count_if(value <= F.lit(low)).alias(f"b{i}"),
+            F.count_if(value < F.lit(high)).alias(f"c{i}"),
+            F.count_if(value <= F.lit(high)).alias(f"d{i}"),
+        ]
+        between = F.when((value > F.lit(low)) & (value < F.lit(high)), value)
+        wanted.append((F.sort_array(F.collect_list(between)) if listed else F.lit(None)).alias(f"e{i}"))
+    row = df.agg(*wanted).first()
+    return [tuple(row[5 * i : 5 * i + 5]) for i in range(len(spans))]
 
 
 def order_statistics(
     df: DataFrame,
     ranks: dict[str, Sequence[int]],
-    extent: dict[str, tuple[int, float, float]] | None = None,
+    rows: dict[str, int] | None = None,
     ranked_rows: int = RANKED_ROWS,
+    brackets: Brackets | None = None,
 ) -> dict[tuple[str, int], float]:
     """Value at each 0-based ascending rank of each column.
 
     Columns must be doubles without NaN or infinities; nulls are ignored. The
-    frame is read once per pass, only these columns: pass written data.
+    frame is read two or three times, only these columns: pass written data.
+    ``rows`` (values of each column) and ``brackets`` save passes if known.
     """
-    extent = extent or column_extent(df, ranks)
+    rows = rows or row_counts(df, ranks)
     answer: dict[tuple[str, int], float] = {}
-    open_targets: dict[tuple[str, int], _Range] = {}
+    # Each range with the rank among all rows that its own rank 0 has.
+    waiting: list[tuple[_Open, int]] = []
     for column, wanted in ranks.items():
-        rows, low, high = extent[column]
         for rank in wanted:
-            if not 0 <= rank < rows:
-                raise ValueError(f"rank {rank} outside the {rows} values of {column!r}")
-            open_targets[column, rank] = _Range(column, low, high, 0, rows)
-
-    squeeze = True
-    small: dict[tuple[str, int], _Range] = {}
-    while open_targets:
-        pending: dict[tuple[str, int], _Range] = {}
-        for target, r in open_targets.items():
-            if r.low == r.high:
-                answer[target] = r.low
-            elif r.rows <= ranked_rows or _scaling(r, squeeze) is None:
-                small[target] = r
-            else:
-                pending[target] = r
-        if not pending:
+            if not 0 <= rank < rows[column]:
+                raise ValueError(f"rank {rank} outside the {rows[column]} values of {column!r}")
+        waiting += [(_Open(column, run[0], run[-1], rows[column]), 0) for run in _neighbours(wanted)]
+    known = brackets or {}
+    while waiting:
+        small = [x for x in waiting if x[0].rows <= ranked_rows]
+        if small:
+            for (span, below), values in zip(small, _collected(df, [s for s, _ in small])):
+                answer.update(((span.column, below + r), values[r]) for r in range(span.first, span.last + 1))
+        waiting = [x for x in waiting if x[0].rows > ranked_rows]
+        if not waiting:
             break
-        bins = _divide(df, sorted(set(pending.values()), key=lambda r: (r.column, r.low)), squeeze)
-        open_targets = {}
-        for (column, rank), r in pending.items():
-            below = r.below
-            for rows, low, high in bins[r]:
-                if rank < below + rows:
-                    open_targets[column, rank] = _Range(column, low, high, below, rows)
-                    break
-                below += rows
-        squeeze = False
-    if small:
-        answer.update(_rank_inside(df, small))
+        spans = [s for s, _ in waiting]
+        blind = [s for s in spans if s.column not in known]
+        found = iter(_sketched(df, blind) if blind else [])
+        ends = [known[s.column] if s.column in known else next(found) for s in spans]
+        collect = [s.most_between(s.column in known) <= ranked_rows for s in spans]
+        proofs = _proved(df, spans, ends, collect)
+        known, still = {}, []
+        for (span, below), (low, high), proof in zip(waiting, ends, proofs):
+            below_low, upto_low, below_high, upto_high, values = proof
+            between, missed = [], []
+            for rank in range(span.first, span.last + 1):
+                if below_low <= rank < upto_low:
+                    answer[span.column, below + rank] = low
+                elif below_high <= rank < upto_high:
+                    answer[span.column, below + rank] = high
+                elif not upto_low <= rank < below_high:
+                    missed.append(rank)
+                elif values is not None:
+                    answer[span.column, below + rank] = values[rank - upto_low]
+                else:
+                    between.append(rank - upto_low)
+            if between:
+                inner = _Open(span.column, between[0], between[-1], below_high - upto_low, low, high)
+                still.append((inner, below + upto_low))
+            # Where the bracket missed a rank, look again and further around it.
+            still += [(replace(span, first=r, last=r, reach=4 * span.reach), below) for r in missed]
+        waiting = still
     return answer
 
 
@@ -194,21 +183,21 @@ def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probability: float,
-    extent: dict[str, tuple[int, float, float]] | None = None,
+    rows: dict[str, int] | None = None,
     ranked_rows: int = RANKED_ROWS,
+    brackets: Brackets | None = None,
 ) -> dict[str, float]:
     """Exact quantile of each column, interpolated linearly between neighbours."""
-    extent = extent or column_extent(df, columns)
+    rows = rows or row_counts(df, columns)
     ranks, share = {}, {}
     for column in columns:
-        rows = extent[column][0]
-        if rows == 0:
+        if rows[column] == 0:
             raise ValueError(f"no values in column {column!r}")
-        position = (rows - 1) * probability
+        position = (rows[column] - 1) * probability
         lower = math.floor(position)
         share[column] = position - lower
-        ranks[column] = sorted({lower, min(lower + 1, rows - 1)})
-    values = order_statistics(df, ranks, extent, ranked_rows)
+        ranks[column] = sorted({lower, min(lower + 1, rows[column] - 1)})
+    values = order_statistics(df, ranks, rows, ranked_rows, brackets)
     result = {}
     for column in columns:
         lower, upper = (values[column, r] for r in (ranks[column][0], ranks[column][-1]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logvane.functions.coerce import column_number, finite, read_number
-from logvane.operators.quantiles import exact_quantiles, long_values
+from logvane.operators.quantiles import bracket, exact_quantiles
 from logvane.schema import FEATURE_COLUMNS
 from logvane.session import materialize
 
@@ -68,36 +68,32 @@ class BaselineScaler(Estimator):
         self.columns = list(columns)
 
     def _fit(self, dataset: DataFrame) -> BaselineScalerModel:
-        # Written once as plain columns: the passes below stay small enough to
-        # be compiled, whatever plan the rows come from.
+        # Written once as plain columns, and read twice: all columns side by side, no row multiplied.
         clean = materialize(clean_rows(dataset, self.columns))
-        summary = (
-            long_values(clean, self.columns)
-            .groupBy("slot")
-            .agg(
-                F.count("value").alias("rows"),
-                F.avg("value").alias("mean"),
-                F.stddev_pop("value").alias("deviation"),
-                F.min("value").alias("low"),
-                F.max("value").alias("high"),
-            )
-            .collect()  # one row per feature
-        )
-        stats = {self.columns[row["slot"]]: row for row in summary}
-        rows = summary[0]["rows"] if summary else 0
+        wanted = [F.count("*")]
+        for c in self.columns:
+            value = F.col(f"`{c}`")
+            wanted += [F.avg(value), F.stddev_pop(value), bracket(c, 0.5)]
+        rows, *figures = clean.agg(*wanted).first()
         if rows < MIN_ROWS:
             raise ValueError(
                 f"only {rows} clean rows; at least {MIN_ROWS} are needed to fit a scaler"
             )
-        extent = {c: (rows, row["low"], row["high"]) for c, row in stats.items()}
-        medians = exact_quantiles(clean, self.columns, 0.5, extent)
+        stats = {c: figures[3 * i : 3 * i + 3] for i, c in enumerate(self.columns)}
+        medians = exact_quantiles(
+            clean,
+            self.columns,
+            0.5,
+            dict.fromkeys(self.columns, rows),
+            brackets={c: tuple(around) for c, (_, _, around) in stats.items()},
+        )
         return BaselineScalerModel(
             [
                 FeatureParams(
                     c,
                     medians[c],
-                    stats[c]["mean"],
-                    stats[c]["deviation"] if stats[c]["deviation"] > 0 else 1.0,
+                    stats[c][0],
+                    stats[c][1] if stats[c][1] > 0 else 1.0,
                 )
                 for c in self.columns
             ],

@@ -40,13 +40,13 @@ def tune_threshold(
     ``scores`` is read several times: pass a materialized frame.
     """
     benign = scores.where(F.col(label) == 0).select(F.col(score).alias("score"))
-    rows, low, high = benign.agg(F.count("score"), F.min("score"), F.max("score")).first()
+    rows = benign.agg(F.count("score")).first()[0]
     allowed = allowed_false_positives(rows, budget) if rows else 0
     barrier = -math.inf
     if allowed < rows:
         rank = rows - allowed - 1
         barrier = order_statistics(
-            benign, {"score": [rank]}, {"score": (rows, low, high)}, ranked_rows
+            benign, {"score": [rank]}, {"score": rows}, ranked_rows
         )["score", rank]
     best = scores.where((F.col(label) == 1) & (F.col(score) > F.lit(barrier))).agg(
         F.min(score)

@@ -88,12 +88,13 @@ def parse_messages(messages: DataFrame, value: str = "value") -> DataFrame:
 
     Adds the typed fields and ``reasons`` (empty for a valid message). Client
     messages may not carry unknown keys: ``is_alert`` and ``anomaly_score``
-    come from the detector alone.
+    come from the detector alone. Of a repeated key the last value counts.
 
     Filter on ``reasons`` only after storing or caching the result: Spark
     would push the filter below the parsing and repeat it there.
     """
     kept = messages.columns
+    messages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     document = messages.withColumns(
         {"_message": F.try_parse_json(value), "_keys": F.json_object_keys(value)}
     )

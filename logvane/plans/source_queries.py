@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -9,11 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logvane.operators import address_ranges, attribution, feedback, incidents, source_features, triage
-from logvane.plans.catalog import _event_stream, _shown, fixed_forest, micros
-from logvane.plans.oracle import _THREAT_LABEL, FLOWS, LOGS, SHOWN, _mean_path, _SOURCE_STATE, _TECHNIQUE, _with
+from logvane.plans import oracle
+from logvane.plans.catalog import _event_stream, _shown, fixed_detector, fixed_forest, micros
+from logvane.plans.oracle import (
+    _SOURCE_STATE,
+    _TECHNIQUE,
+    _THREAT_LABEL,
+    FLOWS,
+    FOREST,
+    LOGS,
+    MESSAGES,
+    SHOWN,
+    _mean_path,
+    _with,
+)
 from logvane.schema import FEATURE_COLUMNS
 from logvane.session import materialize, scratch_path
 from logvane.sources import driver_tables as tables
+from logvane.sources.log_table import LogTable
+from logvane.sources.release import load_verified, save_model, write_card
 from logvane.streaming import board, buckets, live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -262,6 +277,70 @@ def fixed_forest_attribution(spark, sf_dir):
     )
 
 
+# --- release and scored stream -------------------------------------------
+
+
+@query(oracle.ORACLE["fixed_forest_scores"])
+def released_forest_scores(spark, sf_dir):
+    """The small forest saved with its card, verified by hash, loaded and applied."""
+    path = scratch_path(spark)
+    save_model(spark, fixed_detector(), path)
+    write_card(spark, path, {"artifact_version": "fixed"})
+    forest = load_verified(spark, path)[0].forest
+    raw = [F.col(f"`{c}`") for c in FEATURE_COLUMNS]
+    flows = tables.flows(spark, sf_dir, spread_out=True)
+    scored = flows.select("flow_id", forest.decision(forest.normality(raw)).alias("decision"))
+    score = forest.anomaly_score(F.col("decision"))
+    return scored.select(
+        "flow_id",
+        F.round("decision", 9).alias("decision"),
+        F.round(score, 9).alias("anomaly_score"),
+        (F.col("decision") < 0).cast("int").alias("is_outlier"),
+        (score >= forest.threshold).alias("is_alert"),
+    )
+
+
+# What the detector sees of a message: two features, 1 for the others.
+_MESSAGE_FEATURES = ", ".join(
+    {"Flow Duration": "k::DOUBLE", "Total Fwd Packets": "3.0::DOUBLE"}.get(c, "1.0::DOUBLE") + f' AS "{c}"'
+    for c in FEATURE_COLUMNS
+)
+
+
+@query(_with(
+    MESSAGES,
+    f"seen AS (SELECT judged.id, ip, kind, k_features, k <> 11 AS has, {_MESSAGE_FEATURES} FROM judged "
+    "JOIN (SELECT id, k FROM numbered) AS n USING (id) WHERE reasons = '')",
+    FOREST.replace("FROM labelled", "FROM seen"),
+    "scored AS (SELECT *, 1.0 / (1.0 + exp(decision * 80.0::DOUBLE)) AS score FROM forest)",
+) + """SELECT id, ip AS source_ip, kind AS event_type, CASE WHEN has THEN round(score, 9) END AS anomaly_score,
+  has AND score >= 0.6 AS is_alert, 'log' AS published,
+  CASE WHEN NOT has OR score < 0.6 THEN NULL WHEN score < 0.75 THEN 'high' ELSE 'critical' END AS severity
+FROM scored""")
+def stream_detector_logs(spark, sf_dir):
+    """Messages through the scoring ingest stream; what it stores beside what it publishes."""
+    folder = scratch_path(spark)
+    table = LogTable(spark, f"scored_{uuid.uuid4().hex}", f"{folder}/table")
+    live.start_ingest(
+        _event_stream(spark, sf_dir, tables.messages_of),
+        table,
+        fixed_detector(),
+        f"{folder}/checkpoint",
+        f"{folder}/quarantine",
+        f"{folder}/published",
+        available_now=True,
+    ).awaitTermination()
+    frames = spark.read.text(f"{folder}/published").select(
+        F.get_json_object("value", "$.type").alias("published"),
+        F.get_json_object("value", "$.data.id").cast("bigint").alias("id"),
+        F.get_json_object("value", "$.data.severity").alias("severity"),
+    )
+    stored = table.read().select(
+        "id", "source_ip", "event_type", F.round("anomaly_score", 9).alias("anomaly_score"), "is_alert"
+    )
+    return stored.join(frames, "id", "full_outer")
+
+
 # --- running state -------------------------------------------------------
 
 

@@ -78,8 +78,9 @@ class LogTable:
     def append(self, logs: DataFrame, load: int, writer: str = BULK_WRITER) -> DataFrame:
         """Store scored logs; ids and ``created_at`` are filled in if absent.
 
-        Gives back the stored rows, read from where they were prepared and not
-        from the table.
+        A load written again replaces all its logs, also those that it stored
+        on another day. Gives back the stored rows as they were prepared, with
+        the times and ids that the table has.
         """
         if "created_at" not in logs.columns:
             logs = logs.withColumn("created_at", F.current_timestamp())
@@ -95,13 +96,32 @@ class LogTable:
             F.lit(writer).alias("writer"),
             F.lit(load).cast("bigint").alias("load"),
         )
+        stored = materialize(stored)
         (
             stored.sortWithinPartitions("ingest_date", "anomaly_score")
             .write.mode("overwrite")
             .insertInto(self.name)
         )
+        self._drop_other_days(stored, load, writer)
         return stored
 
+    def _drop_other_days(self, stored: DataFrame, load: int, writer: str) -> None:
+        """Take out what an earlier run of the load stored on days that it no longer has.
+
+        The table forgets those partitions; their files are left to the folder's clean-up.
+        """
+        name = writer.replace("'", "\\'")
+        spec = f"writer = '{name}', load = {load}"
+        listed = self.spark.sql(f"SHOW PARTITIONS {self.name} PARTITION ({spec})")
+        day = F.regexp_extract("partition", r"ingest_date=([^/]+)", 1)
+        # One row for each day that the load has, few.
+        before = {r["day"] for r in listed.select(day.alias("day")).collect()}
+        now = {str(r["ingest_date"]) for r in stored.select("ingest_date").distinct().collect()}
+        for other in sorted(before - now):
+            self.spark.sql(
+                f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (ingest_date = '{other}', {spec})"
+            )
+
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,7 +88,7 @@ def start_ingest(
     reads the written copy of the one before.
     """
     table.create_if_absent()
-    name = writer_name or f"stream-{zlib.crc32(checkpoint.encode()):08x}"
+    name = writer_name or f"stream-{hashlib.sha256(checkpoint.encode()).hexdigest()[:32]}"
 
     def replace(frame: DataFrame, path: str, batch: int, fmt: str) -> None:
         (
