@@ -11,8 +11,10 @@ all others are scored in full; a term whose own and later terms' largest
 impacts together can't reach that score ends the query. Nothing is skipped that
 could be in the result.
 
-A segment is one row; a frequent term is many short lists, one in each segment,
-so nothing grows with a term's frequency. Queries come in blocks of bounded size.
+A task builds its segments one after the other and takes all queries through
+each, keeping the best so far; only these leave it. A frequent term is many
+short lists, one in each segment, so nothing grows with a term's frequency.
+Queries come in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from logvane.llm.common import id_and_text, mix, slices
 from logvane.session import materialize
@@ -33,8 +37,8 @@ from logvane.session import materialize
 # Runs of digits, ASCII letters and everything beyond ASCII, as UTF-8 bytes.
 _TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 # Documents and postings of a segment, documents of a block, and dimensions of the projected vectors.
-SEGMENT_DOCS = 2048
-SEGMENT_POSTINGS = 1 << 19
+SEGMENT_DOCS = 1024
+SEGMENT_POSTINGS = 1 << 18
 BLOCK_DOCS = 64
 PROJECTED = 64
 # Impacts are below 10^6; a summary keeps them in steps of this, rounded up.
@@ -128,35 +132,34 @@ def _impacts(index: DataFrame, total_docs: int, total_terms: int) -> DataFrame:
 
 
 class Segment:
-    """An index of a bounded number of documents, with dense impacts over the terms they have."""
+    """An index of a bounded number of documents: dense impacts, and each term's blocks with their summaries."""
 
     def __init__(self, owners: list, terms: list[np.ndarray], impacts: list[np.ndarray]) -> None:
         self.owners = owners
-        used, at = np.unique(np.concatenate(terms), return_inverse=True)
-        self.terms = used
+        self.terms, at = np.unique(np.concatenate(terms), return_inverse=True)
         row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-        self.impact = np.zeros((len(terms), len(used)), np.int32)
+        self.impact = np.zeros((len(terms), len(self.terms)), np.int32)
         self.impact[row, at] = np.concatenate(impacts)
-
-    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each block its term, documents (concatenated, with their starts) and summary."""
+        self.largest = self.impact.max(axis=0).astype(np.int64)
         near = self._projected()
-        term, members, sizes, summaries = [], [], [], []
+        members: list[np.ndarray] = []
+        # Blocks stand in order of their terms; ``first`` is each term's first block.
+        self.first = np.zeros(len(self.terms) + 1, np.int64)
         for t in range(len(self.terms)):
-            for own in self._clusters(np.flatnonzero(self.impact[:, t]), near):
-                term.append(t)
-                members.append(own)
-                sizes.append(len(own))
-                # Rounded up, so that the summary never lies below a member.
-                summaries.append(-(-self.impact[own].max(axis=0) // STEP))
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        return np.array(term), np.concatenate(members), starts, np.array(summaries, np.uint8)
+            members += self._clusters(np.flatnonzero(self.impact[:, t]), near)
+            self.first[t + 1] = len(members)
+        self.starts = np.concatenate([[0], np.cumsum([len(own) for own in members])])
+        self.docs = np.concatenate(members)
+        self.summary = np.empty((len(members), len(self.terms)), np.uint8)
+        for b, own in enumerate(members):
+            # Rounded up, so that the summary never lies below a member.
+            self.summary[b] = -(-self.impact[own].max(axis=0) // STEP)
 
     def _projected(self) -> np.ndarray:
         """Unit vectors of fewer dimensions: signs that depend on a term alone keep angles roughly."""
         seeds = mix(self.terms.astype(np.uint64)[:, None] * np.uint64(PROJECTED) + np.arange(PROJECTED, dtype=np.uint64))
         signs = np.where(seeds & np.uint64(1), 1, -1).astype(np.float32)
-        near = self.impact.astype(np.float32) @ signs
+        near = np.concatenate([self.impact[i : i + 128].astype(np.float32) @ signs for i in range(0, len(self.impact), 128)])
         return near / np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-9)
 
     def _clusters(self, own: np.ndarray, near: np.ndarray) -> list[np.ndarray]:
@@ -171,74 +174,25 @@ class Segment:
         return np.split(own[order], cuts)
 
 
-_SEGMENT = (
-    "owners array<{key}>, terms binary, impact_row binary, impact_term binary, impact binary, "
-    "block_term binary, block_docs binary, block_start binary, summary binary"
-)
-_NAMES = [
-    "owners", "terms", "impact_row", "impact_term", "impact", "block_term", "block_docs", "block_start", "summary",
-]
-
-
-def _segments(impacts: DataFrame) -> DataFrame:
-    """Rows of whole segments: forward index, blocks and summaries."""
-    key = impacts.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        press = zstandard.ZstdCompressor(level=1).compress
-        kind, owners, terms, impacts, held = pa.null(), [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            segment = Segment(owners, terms, impacts)
-            row, term = np.nonzero(segment.impact)
-            block_term, docs, starts, summary = segment.blocks()
-            raw = [
-                segment.terms.astype("<i4"), row.astype("<i4"), term.astype("<i4"),
-                segment.impact[row, term], block_term.astype("<i4"), docs.astype("<i4"),
-                starts.astype("<i4"), summary,
-            ]
-            columns = [pa.array([owners], pa.list_(kind))]
-            columns += [pa.array([press(x.tobytes())], pa.binary()) for x in raw]
-            return pa.RecordBatch.from_arrays(columns, _NAMES)
-
-        for batch in batches:
-            kind = batch.column(0).type
-            for owner, own, impact in zip(*(c.to_pylist() for c in batch.columns)):
-                if not own:
-                    continue  # no query has a term of it
-                owners.append(owner)
-                terms.append(np.array(own, np.int32))
-                impacts.append(np.array(impact, np.int32))
-                held += len(own)
-                if len(owners) >= SEGMENT_DOCS or held >= SEGMENT_POSTINGS:
-                    yield flush()
-                    owners, terms, impacts, held = [], [], [], 0
-        if owners:
-            yield flush()
-
-    return impacts.mapInArrow(run, _SEGMENT.format(key=key))
-
-
-class LoadedSegment:
-    """A segment as read back: dense impacts and blocks by term."""
-
-    def __init__(self, owners: list, raw: list[bytes]) -> None:
-        import zstandard
-
-        press = zstandard.ZstdDecompressor()
-        terms, row, term, impact, block_term, docs, starts = (
-            np.frombuffer(press.decompress(x), "<i4") for x in raw[:-1]
-        )
-        self.owners, self.terms = owners, terms
-        self.impact = np.zeros((len(owners), len(terms)), np.int32)
-        self.impact[row, term] = impact
-        self.largest = self.impact.max(axis=0).astype(np.int64)
-        self.docs, self.starts = docs, starts
-        self.summary = np.frombuffer(press.decompress(raw[-1]), np.uint8).reshape(-1, len(terms))
-        # Blocks stand in order of their terms.
-        self.first = np.searchsorted(block_term, np.arange(len(terms) + 1))
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
+    """Segments of a task's documents (doc_id, terms, impacts), one at a time."""
+    owners, terms, impacts, held = [], [], [], 0
+    for batch in batches:
+        # Both lists' flat values, and where each document's begin: no number becomes an object.
+        flat = [c.flatten().to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+        sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        stops = np.cumsum(sizes)
+        for i in np.flatnonzero(sizes):  # no query has a term of the others
+            own = slice(int(stops[i] - sizes[i]), int(stops[i]))
+            owners.append(batch.column(0)[int(i)].as_py())
+            terms.append(flat[0][own].astype(np.int32))
+            impacts.append(flat[1][own].astype(np.int32))
+            held += int(sizes[i])
+            if len(owners) >= SEGMENT_DOCS or held >= SEGMENT_POSTINGS:
+                yield Segment(owners, terms, impacts)
+                owners, terms, impacts, held = [], [], [], 0
+    if owners:
+        yield Segment(owners, terms, impacts)
 
 
 class Best:
@@ -273,7 +227,7 @@ class _Reverse:
         return self.key == other.key
 
 
-def search_segment(segment: LoadedSegment, terms: np.ndarray, weights: np.ndarray, best: Best) -> int:
+def search_segment(segment: Segment, terms: np.ndarray, weights: np.ndarray, best: Best) -> int:
     """Offer ``best`` the segment's documents that may be among them; the number of blocks skipped."""
     at = np.searchsorted(segment.terms, terms)
     here = at < len(segment.terms)
@@ -307,7 +261,7 @@ def search_segment(segment: LoadedSegment, terms: np.ndarray, weights: np.ndarra
 
 
 def _score(
-    segment: LoadedSegment, blocks: np.ndarray, at: np.ndarray, weights: np.ndarray, seen: np.ndarray, best: Best
+    segment: Segment, blocks: np.ndarray, at: np.ndarray, weights: np.ndarray, seen: np.ndarray, best: Best
 ) -> None:
     """Score the documents of blocks in full, each once for a query."""
     own = np.concatenate([segment.docs[segment.starts[b] : segment.starts[b + 1]] for b in blocks])
@@ -374,25 +328,22 @@ def _search_block(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         item: (np.array(sorted(own), np.int32), np.array([weights[t] for t in sorted(own)], np.int64))
         for item, own in queries.items()
     }
-    segments = materialize(_segments(_impacts(index, total_docs, max(1, total_terms))))
+    impacts = _impacts(index, total_docs, max(1, total_terms))
     shared = index.sparkSession.sparkContext.broadcast(asked_for)
     item = asked.schema["doc_id"].dataType.simpleString()
+    owner_type = to_arrow_type(index.schema["doc_id"].dataType)
     doc = index.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, kind = {i: Best(k) for i in shared.value}, pa.null()
-        for batch in batches:
-            kind = batch.column(0).type.value_type
-            for at in range(batch.num_rows):
-                row = [c[at].as_py() for c in batch.columns]
-                segment = LoadedSegment(row[0], row[1:])
-                for i, (terms, weights) in shared.value.items():
-                    search_segment(segment, terms, weights, best[i])
+        best = {i: Best(k) for i in shared.value}
+        for segment in _segments(batches):
+            for i, (terms, weights) in shared.value.items():
+                search_segment(segment, terms, weights, best[i])
         rows = [(i, owner, score) for i, b in best.items() for score, _, owner in b.rows]
         if rows:
             ids, owners, scores = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(owners, kind), pa.array(scores, pa.int64())], ["item", "doc_id", "score"]
+                [pa.array(ids), pa.array(owners, owner_type), pa.array(scores, pa.int64())], ["item", "doc_id", "score"]
             )
 
-    return segments.mapInArrow(run, f"item {item}, doc_id {doc}, score long")
+    return impacts.mapInArrow(run, f"item {item}, doc_id {doc}, score long")

@@ -88,11 +88,12 @@ def segment():
 
 
 def test_blocks_bound_their_documents(segment):
-    term, docs, starts, summary = segment.blocks()
+    docs, starts, summary = segment.docs, segment.starts, segment.summary
     for t in range(len(segment.terms)):
-        own = np.concatenate([docs[starts[b] : starts[b + 1]] for b in np.flatnonzero(term == t)])
+        blocks = range(segment.first[t], segment.first[t + 1])
+        own = np.concatenate([docs[starts[b] : starts[b + 1]] for b in blocks])
         assert sorted(own) == np.flatnonzero(segment.impact[:, t]).tolist()
-    for b in range(len(term)):
+    for b in range(len(summary)):
         own = docs[starts[b] : starts[b + 1]]
         assert (summary[b].astype(int) * lexical.STEP >= segment.impact[own].max(axis=0)).all()
 
@@ -106,20 +107,15 @@ def test_clusters_keep_similar_documents_together(segment):
     assert pure > 0.8
 
 
-def test_blocks_are_skipped(spark, monkeypatch):
+def test_blocks_are_skipped(monkeypatch):
     """Documents far below the best ones are never scored, and the result is the same."""
     monkeypatch.setattr(lexical, "BLOCK_DOCS", 8)
     draw = np.random.default_rng(1)
-    terms = [np.array([0, 1 + i % 8]) for i in range(800)]
+    terms = [np.array([0, 1 + i % 8], np.int32) for i in range(800)]
     impacts = [draw.integers(1, 90_000, 2) * (10 if i % 8 == 0 else 1) for i in range(800)]
     made = lexical.Segment(list(range(800)), terms, impacts)
-    raw = lexical._segments(
-        spark.createDataFrame([(i, t.tolist(), m.tolist()) for i, (t, m) in enumerate(zip(terms, impacts))],
-                              "doc_id long, terms array<int>, impacts array<long>").coalesce(1)
-    ).collect()[0]
-    loaded = lexical.LoadedSegment(raw["owners"], [bytes(x) for x in raw[1:]])
     best = lexical.Best(5)
-    skipped = lexical.search_segment(loaded, np.array([0, 1], np.int32), np.array([10, 3]), best)
+    skipped = lexical.search_segment(made, np.array([0, 1], np.int32), np.array([10, 3]), best)
     score = made.impact[:, 0].astype(int) * 10 + made.impact[:, 1].astype(int) * 3
     assert sorted(s for s, _, _ in best.rows) == sorted(score)[-5:]
     assert skipped > 20
