@@ -81,6 +81,23 @@ def span_hash(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarr
     return mix((sums[stop] - sums[start]) * POWERS.down[start] + (stop - start).astype(np.uint64))
 
 
+# Functions that keep something large in a Python worker, which Spark uses again for other operators.
+_KEEPERS: list = []
+
+
+def keeper(function):
+    """Mark a cached function whose cache ``keep_only`` may drop."""
+    _KEEPERS.append(function)
+    return function
+
+
+def keep_only(*used) -> None:
+    """Drop what other operators have left in this worker."""
+    for function in _KEEPERS:
+        if function not in used and function.cache_info().currsize:
+            function.cache_clear()
+
+
 def texts_of(batches: Iterator) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts (null: empty) of each Arrow batch."""
     for batch in batches:

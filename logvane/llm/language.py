@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logvane.llm.common import id_and_text, texts_of
+from logvane.llm.common import id_and_text, keep_only, slices, texts_of
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -49,21 +49,28 @@ class Letters:
 
 
 def subwords(text: str) -> Iterator[np.ndarray]:
-    """Bucket numbers of a text's n-grams, in blocks; runs of other signs count as one space."""
+    """Bucket numbers of a text's n-grams, block by block; runs of other signs count as one space.
+
+    The last signs of a block are carried into the next, so no n-gram is lost or made at its edge.
+    """
     spread = np.uint32(0x9E3779B1)
+    carried = np.zeros(0, np.uint32)
     for at in range(0, len(text), BLOCK):
-        part = " " + text[at : at + BLOCK].lower() + " "
+        part = text[at : at + BLOCK].lower()
+        part = (" " if at == 0 else "") + part + (" " if at + BLOCK >= len(text) else "")
         points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")
-        points = np.where(Letters.of(points), points, np.uint32(32))
+        points = np.concatenate([carried, np.where(Letters.of(points), points, np.uint32(32))])
         points = points[np.append(True, (points[1:] != 32) | (points[:-1] != 32))]
-        if len(points) < 3:
-            continue
+        old = len(carried)
         state = points * spread
         for n in range(2, max(SIZES) + 1):
             state = (state[:-1] ^ (state[:-1] >> np.uint32(15))) * spread + points[n - 1 :]
-            if n in SIZES:
-                grams = (state ^ (state >> np.uint32(13))) * np.uint32(0x85EBCA6B)
+            if n in SIZES and len(state):
+                # N-grams that end in the carried signs were given before.
+                fresh = state[max(0, old - n + 1) :]
+                grams = (fresh ^ (fresh >> np.uint32(13))) * np.uint32(0x85EBCA6B)
                 yield (grams >> np.uint32(32 - 16)).astype(np.intp) % BUCKETS
+        carried = points[-(max(SIZES) - 1) :]
 
 
 def sampled_subwords(text: str, most: int) -> list[int]:
@@ -181,7 +188,7 @@ def fit(
     """Learn from rows where ``learn`` holds and the language is known.
 
     The sample holds about ``rows_per_language`` rows of each language, chosen
-    by a hash of id and text, and ``grams_per_row`` subwords of each: its size
+    by a hash of the id and the text's length, and ``grams_per_row`` subwords of each: its size
     depends on the number of languages alone. Rows without a letter teach nothing.
     """
     names = {"doc_id": id_col, "text": text_col, "lang": lang_col}
@@ -196,7 +203,8 @@ def fit(
     draw = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        keep_only()
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             grams = [sampled_subwords(t, grams_per_row) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -227,7 +235,8 @@ def identify(
     kinds = pa.string(), pa.float64(), pa.bool_()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in texts_of(batches):
+        keep_only()
+        for ids, texts in texts_of(slices(batches)):
             lang, score, rejected = zip(*map(shared.value.predict, texts)) if texts else ((),) * 3
             yield pa.RecordBatch.from_arrays(
                 [ids, *map(pa.array, (lang, score, rejected), kinds)],
@@ -240,12 +249,17 @@ def identify(
 
 
 def known_only(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows that ``identify`` would not reject, with all their columns."""
+    """The rows that ``identify`` would not reject, with all their columns.
+
+    Null texts and texts without a letter go; repeated rows and null ids are
+    judged like others; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        keep_only()
+        for batch in slices(batches):
             texts = batch.column(place).to_pylist()
             yield batch.filter(pa.array([not shared.value.predict(t or "")[2] for t in texts], pa.bool_()))
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logvane.llm.common import id_and_text, texts_of
+from logvane.llm.common import id_and_text, keeper, texts_of
 
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 128
@@ -120,6 +120,7 @@ def _slices(strings: list[str], size: int = 2000) -> list[list[str]]:
     return [strings[at : at + size] for at in range(0, len(strings), size)]
 
 
+@keeper
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)

@@ -11,6 +11,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from logvane.llm.common import keeper
+
 _SPACE = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>").fullmatch
 # Runs of white space or of anything else this long go to the tokenizers library, which needs no recursion for them.
@@ -134,6 +136,7 @@ def _marks(places: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+@keeper
 @lru_cache(maxsize=1)
 def encoder(path_a: str, path_b: str) -> PairEncoder:
     return PairEncoder(path_a, path_b)
