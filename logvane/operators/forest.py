@@ -201,6 +201,14 @@ def mean_depths(forest: dict[str, np.ndarray], columns: np.ndarray) -> np.ndarra
     return total / len(forest["path"])
 
 
+def largest_places(columns: np.ndarray, count: int) -> np.ndarray:
+    """Per row the places of the largest absolute values, largest first; equal ones stay in feature order.
+
+    ``columns`` is features x rows, the result rows x ``count``.
+    """
+    return np.argsort(-np.abs(columns.T), axis=1, kind="stable")[:, :count].astype(np.int32)
+
+
 class IsolationForest(Estimator):
     """Fits on scaled, benign rows carrying ``scaled`` and unique id columns.
 
@@ -229,14 +237,19 @@ class IsolationForest(Estimator):
         not_finite = F.exists(
             "scaled", lambda v: v.isNull() | ~(F.abs(v) < F.lit(float("inf")))
         )
-        rows, bad, narrowest, widest = train.agg(
+        row_id = F.xxhash64(*[F.col(f"`{c}`") for c in self.ids])
+        rows, different, bad, narrowest, widest = train.agg(
             F.count("*"),
+            F.approx_count_distinct(row_id),
             F.count_if(not_finite),
             F.min(F.size("scaled")),
             F.max(F.size("scaled")),
         ).first()
         if rows < MIN_ROWS:
             raise ValueError(f"only {rows} rows; at least {MIN_ROWS} are needed to fit a forest")
+        # Far more than the estimate's error: rows that share an id would be drawn together.
+        if different < 0.75 * rows:
+            raise RuntimeError(f"about {different} different ids for {rows} rows; are the id columns unique?")
         if bad:
             raise ValueError(f"{bad} rows hold infinite or missing features")
         if narrowest != widest:
@@ -351,31 +364,32 @@ class IsolationForestModel(Model):
         # Marked so that filters on the score do not score every row twice.
         return score.asNondeterministic()(*scaled)
 
-    def ranked_normality(self, scaled: list[Column], count: int) -> Column:
+    def ranked_normality(self, scaled: list[Column], count: int, scorable: Column | None = None) -> Column:
         """``normality`` with the places of the ``count`` largest absolute inputs.
 
         The inputs are in the workers for scoring anyway, and ordering a batch
-        there is far cheaper than sorting one small array per row.
+        there is far cheaper than sorting one small array per row. Rows that
+        are not ``scorable`` take no walk; their normality is 0.
         """
         self._check_width(scaled)
         count = min(count, self.n_features)
         packed = self._packed()
         expected = mean_path(self.subsample)
-        names = ["normality", *[f"place_{i}" for i in range(count)]]
 
-        @F.pandas_udf("normality double, " + ", ".join(f"{n} int" for n in names[1:]))
+        @F.pandas_udf("normality double, places array<int>")
         def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
             forest = packed.value
-            for columns in batches:
+            for wanted, *columns in batches:
                 values = np.stack([c.to_numpy(dtype=float) for c in columns])
-                normality = -np.exp2(-mean_depths(forest, values) / expected)
-                # Stable: equal inputs stay in feature order.
-                order = np.argsort(-np.abs(values.T), axis=1, kind="stable")[:, :count]
-                result = {names[0]: normality}
-                result.update(zip(names[1:], order.T.astype(np.int32)))
-                yield pd.DataFrame(result)
-
-        return score.asNondeterministic()(*scaled)
+                at = np.flatnonzero(wanted.to_numpy(dtype=bool))
+                normality = np.zeros(values.shape[1])
+                normality[at] = -np.exp2(-mean_depths(forest, values[:, at]) / expected)
+                places = np.zeros((values.shape[1], count), np.int32)
+                places[at] = largest_places(values[:, at], count)
+                yield pd.DataFrame({"normality": normality, "places": list(places)})
+
+        wanted = F.lit(True) if scorable is None else scorable
+        return score.asNondeterministic()(wanted, *scaled)
 
     def _check_width(self, scaled: list[Column]) -> None:
         if len(scaled) != self.n_features:

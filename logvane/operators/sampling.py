@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logvane.functions.coerce import clean_label
 from logvane.functions.hashing import digest_below, row_digest
 from logvane.schema import BENIGN_LABEL, LABEL_COLUMN
-from logvane.session import broadcast_if_small
+from logvane.session import broadcast_if_small, materialize
 
 # Base share, wanted rows per attack label, seed, training share.
 SAMPLE_FRACTION = 0.02
@@ -129,6 +129,9 @@ def stratified_sample(
     label = F.coalesce(clean_label(F.col(LABEL_COLUMN)), F.lit(""))
     hashed = df.withColumn("_label", label).withColumn("_digest", row_digest(seed, ids))
     narrow = hashed.select(*strata, "_digest")
+    if exact:
+        # Hashed once; the passes read this copy.
+        narrow = materialize(narrow)
 
     if not exact:
         fraction = sampling_fraction(F.col("_label"), F.col("_rows"))

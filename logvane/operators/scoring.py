@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logvane.operators.forest import IsolationForestModel, classify
+from logvane.operators.forest import IsolationForestModel, classify, largest_places
 from logvane.operators.scaler import BaselineScalerModel
 from logvane.schema import TOP_FEATURE_TYPE
 
@@ -30,50 +33,55 @@ class Detector:
             )
 
 
-def top_deviations(names: list[str], scaled: list[Column], count: int = TOP_FEATURES) -> Column:
-    """Largest absolute standard scores first; ties keep feature order."""
-    entries = [
-        F.struct(
-            (-F.abs(z)).alias("key"),
-            F.lit(i).alias("position"),
-            F.lit(name).alias("feature"),
-            F.round(z, 2).alias("deviation"),
-        )
-        for i, (name, z) in enumerate(zip(names, scaled))
-    ]
-    ranked = F.slice(F.sort_array(F.array(*entries)), 1, count)
+def _named(names: list[str], places: Column, deviations: Column) -> Column:
+    """(feature, deviation) of the given places, rounded."""
     return F.transform(
-        ranked,
-        lambda e: F.struct(e["feature"].alias("feature"), e["deviation"].alias("deviation")),
+        places,
+        lambda place: F.struct(
+            F.element_at(F.lit(names), place + 1).alias("feature"),
+            F.round(F.element_at(deviations, place + 1), 2).alias("deviation"),
+        ),
     )
 
 
-def score_feature_maps(df: DataFrame, detector: Detector, features: str = "features") -> DataFrame:
+def with_top_deviations(
+    df: DataFrame, names: list[str], scaled: list[Column], count: int = TOP_FEATURES
+) -> DataFrame:
+    """Add ``top_features``: the largest absolute standard scores first; ties keep feature order."""
+    count = min(count, len(names))
+
+    @F.pandas_udf("array<int>")
+    def ranked(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            values = np.stack([c.to_numpy(dtype=float) for c in columns])
+            yield pd.Series(list(largest_places(values, count)))
+
+    held = df.withColumn("_z", F.array(*scaled))
+    places = ranked(*[F.col("_z")[i] for i in range(len(names))])
+    placed = held.withColumn("_places", places)
+    return placed.withColumn("top_features", _named(names, F.col("_places"), F.col("_z"))).drop("_z", "_places")
+
+
+def score_feature_maps(
+    df: DataFrame, detector: Detector, features: str = "features", scorable: Column | None = None
+) -> DataFrame:
     """Add ``anomaly_score``, ``is_alert`` and ``top_features`` to every row.
 
-    Keys missing from a map are imputed, unknown keys are ignored.
+    Keys missing from a map are imputed, unknown keys are ignored. What is added
+    to rows that are not ``scorable`` means nothing.
     """
     names = detector.scaler.columns
     raw = {name: F.col(features)[name] for name in names}
     scored = df.withColumn("_z", F.array(*detector.scaler.scaled(raw)))
     forest = detector.forest
-    count = min(TOP_FEATURES, len(names))
     z = [F.col("_z")[i] for i in range(len(names))]
-    scored = scored.withColumn("_score", forest.ranked_normality(z, count))
-    top = F.array(
-        *[
-            F.struct(
-                F.element_at(F.lit(names), place + 1).alias("feature"),
-                F.round(F.element_at("_z", place + 1), 2).alias("deviation"),
-            )
-            for place in (F.col(f"_score.place_{i}") for i in range(count))
-        ]
-    )
+    ranked = forest.ranked_normality(z, min(TOP_FEATURES, len(names)), scorable)
+    scored = scored.withColumn("_score", ranked)
     score = forest.anomaly_score(forest.decision(F.col("_score.normality")))
     return (
         scored.withColumn("anomaly_score", score)
         .withColumn("is_alert", classify(F.col("anomaly_score"), forest.threshold))
-        .withColumn("top_features", top)
+        .withColumn("top_features", _named(names, F.col("_score.places"), F.col("_z")))
         .drop("_z", "_score")
     )
 
@@ -92,7 +100,7 @@ def score_logs(df: DataFrame, detector: Detector | None, features: str = "featur
             }
         )
     has_features = F.coalesce(F.size(features) > 0, F.lit(False))
-    scored = score_feature_maps(df.withColumn("_has", has_features), detector, features)
+    scored = score_feature_maps(df.withColumn("_has", has_features), detector, features, F.col("_has"))
     return scored.withColumns(
         {
             "anomaly_score": F.when(F.col("_has"), F.col("anomaly_score")),

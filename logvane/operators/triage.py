@@ -106,6 +106,7 @@ def tier_counts() -> list[Column]:
 
 def stats_summary(logs: DataFrame) -> DataFrame:
     """Totals, alert rate and alerts per tier in one aggregate over one scan."""
+    # The summary's keys.
     counted = logs.agg(
         F.count("*").alias("total_logs"),
         F.count_if("is_alert").alias("total_alerts"),
@@ -133,6 +134,7 @@ def search_logs(logs: DataFrame, text: str) -> DataFrame:
     wanted = text.strip().lower()
     if not wanted:
         return shown
+    # The signs between and in place of the shown fields.
     row_text = F.concat_ws(
         " ",
         F.date_format("created_at", "HH:mm:ss"),

@@ -138,25 +138,35 @@ def quarantined_messages(parsed: DataFrame, keep: list[str]) -> DataFrame:
     return parsed.where(F.size("reasons") > 0).select(*keep, "reasons")
 
 
-def replay_summary(parsed: DataFrame, value: str = "value", shown: int = 5) -> DataFrame:
-    """Accepted and rejected counts with the first few rejections.
-
-    Only the ``shown`` smallest rejected messages are kept, never a list of all.
+def replay_summary(
+    parsed: DataFrame,
+    value: str = "value",
+    shown: int = 5,
+    arrival: str | None = None,
+    seconds: float | None = None,
+) -> DataFrame:
+    """Accepted and rejected counts with the first few rejections, and messages a second.
+
+    The first rejections are those that came first by the column ``arrival``
+    (an offset or number), without one the smallest texts; never a list of all
+    is kept. ``seconds`` is how long the replay took, null rate without it.
     """
-    judged = materialize(parsed.select(value, "reasons"))
+    kept = [value, *([arrival] if arrival else [])]
+    judged = materialize(parsed.select(*kept, "reasons"))
     failed = F.size("reasons") > 0
     counts = judged.agg(
         F.count_if(~failed).alias("success"), F.count_if(failed).alias("failed")
     )
+    error = F.concat(F.array_join("reasons", ","), F.lit(": "), F.col(value))
+    place = F.col(arrival) if arrival else error
     first = (
         judged.where(failed)
-        .select(
-            F.concat(F.array_join("reasons", ","), F.lit(": "), F.col(value)).alias("error")
-        )
-        .orderBy("error")
+        .select(place.alias("place"), error.alias("error"))
+        .orderBy("place", "error")
         .limit(shown)
-        .agg(F.array_sort(F.collect_list("error")).alias("first_errors"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "error"))), lambda x: x["error"]).alias("e"))
     )
+    rate = F.lit(None).cast("double") if seconds is None else (F.col("success") + F.col("failed")) / F.lit(seconds)
     return counts.select(
-        "success", "failed", first.scalar().alias("first_errors")
+        "success", "failed", first.scalar().alias("first_errors"), rate.alias("per_second")
     )

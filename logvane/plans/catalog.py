@@ -29,7 +29,7 @@ from logvane.operators.scaler import (
     clean_rows,
     long_deviations,
 )
-from logvane.operators.scoring import Detector, score_logs, top_deviations
+from logvane.operators.scoring import Detector, score_logs, with_top_deviations
 from logvane.operators.validation import (
     parse_messages,
     replay_summary,
@@ -551,8 +551,8 @@ def top_deviation_features(spark, sf_dir):
     flows = tables.flows(spark, sf_dir, spread_out=True)
     model = BaselineScaler().fit(_benign(flows))
     raw = {c: F.col(f"`{c}`") for c in model.columns}
-    top = top_deviations(model.columns, model.scaled(raw))
-    return flows.select("flow_id", F.posexplode(top).alias("place", "top")).select(
+    ranked = with_top_deviations(flows.select("flow_id", *raw.values()), model.columns, model.scaled(raw))
+    return ranked.select("flow_id", F.posexplode("top_features").alias("place", "top")).select(
         "flow_id", (F.col("place") + 1).alias("place"), "top.feature", "top.deviation"
     )
 

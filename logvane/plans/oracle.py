@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+from logvane.functions.severity import (
+    DEFAULT_ACTION,
+    NARRATIVE_ALERT,
+    NARRATIVE_NO_FEATURES,
+    NARRATIVE_NORMAL,
+    RECOMMENDED_ACTIONS,
+    TECHNIQUES,
+)
 from logvane.schema import FEATURE_COLUMNS
 
 LOGS = """
@@ -318,16 +326,29 @@ _TIERS = """
 _THREAT_LABEL = """CASE WHEN {0} >= 75 THEN 'CRITICAL' WHEN {0} >= 50 THEN 'HIGH'
   WHEN {0} >= 25 THEN 'ELEVATED' ELSE 'LOW' END"""
 
-_ACTIONS = """CASE severity
-  WHEN 'critical' THEN 'Isolate affected host, capture full packet detail, and escalate to Tier-2 immediately.'
-  WHEN 'high' THEN 'Review source/destination context, correlate with recent events, and prepare containment.'
-  WHEN 'medium' THEN 'Monitor for repetition; add to watchlist if pattern recurs.'
-  ELSE 'Low priority — log for baseline tuning and false-positive review.' END"""
 
-_TECHNIQUE = """CASE lower(event_type) WHEN 'portscan' THEN 'Network Service Scan'
-  WHEN 'ftp-patator' THEN 'Brute Force' WHEN 'ssh-patator' THEN 'Brute Force'
-  WHEN 'bot' THEN 'Command & Scripting' WHEN 'ddos' THEN 'Exploitation'
-  WHEN 'dos hulk' THEN 'Exploitation' WHEN 'infiltration' THEN 'Valid Accounts' END"""
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _said(sentence: str, *values: str) -> str:
+    """A sentence of the narrative with its blanks filled."""
+    parts = [_literal(x) for x in sentence.split("%s")]
+    return " || ".join(x for pair in zip(parts, [*(f"({v})" for v in values), "''"]) for x in pair)
+
+
+_ACTIONS = (
+    "CASE severity "
+    + " ".join(f"WHEN '{t}' THEN {_literal(RECOMMENDED_ACTIONS[t])}" for t in ("critical", "high", "medium"))
+    + f" ELSE {_literal(DEFAULT_ACTION)} END"
+)
+
+_TECHNIQUE = (
+    "CASE lower(event_type) "
+    + " ".join(f"WHEN '{label}' THEN {_literal(name)}" for label, name in TECHNIQUES.items())
+    + " END"
+)
 
 _TOTAL_BYTES = """
   coalesce(CASE WHEN isfinite(TRY_CAST("Total Length of Fwd Packets" AS DOUBLE))
@@ -445,18 +466,15 @@ WHERE technique IS NOT NULL GROUP BY technique""",
   SELECT *, CAST(CAST(round(coalesce(anomaly_score, 0.0), 3) AS DECIMAL(9, 3)) AS VARCHAR) AS score_text,
     regexp_replace(CAST(CAST(duration_seconds AS DECIMAL(18, 2)) AS VARCHAR), '\\.?0+$', '') AS d1
   FROM tiered)""") + """
-SELECT id, CASE WHEN is_alert THEN
-  'This traffic deviates from the benign baseline. The Isolation Forest isolated it with an '
-  || 'anomaly score of ' || score_text || '. Its largest deviations from normal are '
-  || CASE WHEN anomaly_score IS NULL THEN 'spread across several features'
+SELECT id, CASE WHEN is_alert THEN """ + _said(
+        NARRATIVE_ALERT,
+        "score_text",
+        f"""CASE WHEN anomaly_score IS NULL THEN {_literal(NARRATIVE_NO_FEATURES)}
      ELSE 'Flow Duration (+' || d1 || 'σ) and Down/Up Ratio ('
-       || CASE WHEN bytes_transferred = 0 THEN '+0' ELSE '-' || bytes_transferred END || 'σ)' END
-  || ' — the features sitting furthest from the baseline learned on benign flows. These highlight '
-  || 'where the traffic is unusual; they are an analyst signal, not the model''s internal reason '
-  || 'for isolating it. Classified ' || coalesce(nullif(event_type, ''), 'anomaly') || ' at '
-  || coalesce(severity, 'null') || ' severity.'
-  ELSE 'This flow scored ' || score_text
-    || ', within the learned benign baseline — no anomaly flagged.' END AS narrative
+       || CASE WHEN bytes_transferred = 0 THEN '+0' ELSE '-' || bytes_transferred END || 'σ)' END""",
+        "coalesce(nullif(event_type, ''), 'anomaly')",
+        "coalesce(severity, 'null')",
+    ) + " ELSE " + _said(NARRATIVE_NORMAL, "score_text") + """ END AS narrative
 FROM shown""",
     "parsed_flows": _with(FLOWS) + f"""SELECT flow_id,
   epoch_us(TIMESTAMP '2024-01-05') AS event_time_us, CAST(NULL AS VARCHAR) AS source_ip,

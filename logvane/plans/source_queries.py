@@ -9,6 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logvane.operators.validation import parse_messages, replay_summary
 from logvane.operators import address_ranges, attribution, feedback, incidents, source_features, triage
 from logvane.plans import oracle
 from logvane.plans.catalog import _event_stream, _shown, fixed_detector, fixed_forest, micros
@@ -300,6 +301,37 @@ def released_forest_scores(spark, sf_dir):
     )
 
 
+@query(_with(MESSAGES) + """SELECT count(*) FILTER (reasons = '') AS success, count(*) FILTER (reasons <> '') AS failed,
+  (SELECT string_agg(error, '; ' ORDER BY id) FROM (SELECT id, reasons || ': ' || value AS error
+     FROM judged WHERE reasons <> '' ORDER BY id LIMIT 5) AS e) AS first_errors,
+  round(count(*) / 86400.0::DOUBLE, 9) AS per_second
+FROM judged""")
+def replay_report(spark, sf_dir):
+    """A day's replay: counts, the first rejections as they came, and messages a second."""
+    parsed = parse_messages(tables.messages(spark, sf_dir))
+    report = replay_summary(parsed, arrival="id", seconds=86_400.0)
+    return report.withColumns(
+        {"first_errors": F.array_join("first_errors", "; "), "per_second": F.round("per_second", 9)}
+    )
+
+
+@query(_with(LOGS) + "SELECT event_type, count(*) AS logs, count(DISTINCT id) AS ids, 1 AS parts FROM logs GROUP BY 1")
+def compacted_log_table(spark, sf_dir):
+    """Logs stored in many loads, every day but the last compacted; how many partitions a day then has at most."""
+    logs = tables.log_entries(spark, sf_dir)
+    table = LogTable(spark, f"compacted_{uuid.uuid4().hex}", scratch_path(spark)).create_if_absent()
+    for load in range(4):
+        table.append(logs.where(F.pmod(F.xxhash64("id"), F.lit(4)) == load), load)
+    # One day at a time, as days end; the test events span a month.
+    days = table.days()
+    for day in days[:2]:
+        table.compact(day)
+    parts = max(sum(d == day for d, _, _ in table.partitions("")) for day in days[:2])
+    return table.read().groupBy("event_type").agg(
+        F.count("*").alias("logs"), F.count_distinct("id").alias("ids"), F.lit(parts).alias("parts")
+    )
+
+
 # What the detector sees of a message: two features, 1 for the others.
 _MESSAGE_FEATURES = ", ".join(
     {"Flow Duration": "k::DOUBLE", "Total Fwd Packets": "3.0::DOUBLE"}.get(c, "1.0::DOUBLE") + f' AS "{c}"'

@@ -65,6 +65,7 @@ TOP_FEATURE_TYPE = T.ArrayType(
     )
 )
 
+# Columns of a stored log.
 LOG_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType()),
@@ -84,7 +85,7 @@ LOG_SCHEMA = T.StructType(
     ]
 )
 
-# What a reader of the log table gets, besides the derived severity.
+# What a reader of the log table gets, besides the derived severity.
 RESPONSE_COLUMNS = [
     "id",
     "event_time",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,21 @@ from logvane.session import broadcast_if_small, materialize
 PLACE_BITS = 38
 PARTITIONS = ["ingest_date", "writer", "load"]
 BULK_WRITER = "bulk"
+# Logs in a file of a compacted day.
+COMPACTED_ROWS = 5_000_000
+
+
+def _compacted(last: int) -> int:
+    """The number under which loads up to ``last`` stand when compacted; below 0, as no load's is."""
+    return -1 - last
+
+
+def _last_of(compacted: int) -> int:
+    return -1 - compacted
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def assign_ids(logs: DataFrame, load: int) -> DataFrame:
@@ -53,7 +70,8 @@ class LogTable:
     Writing a writer's load again replaces its own partitions, so a retried
     micro-batch never duplicates logs; other writers' logs are never touched,
     whatever numbers their loads have. Rows are sorted by score inside each file, which
-    lets row-group statistics serve tier filters.
+    lets row-group statistics serve tier filters. A day that is over can be
+    compacted: one partition for each writer then, whatever number of loads it had.
     """
 
     def __init__(self, spark: SparkSession, name: str, location: str):
@@ -82,6 +100,10 @@ class LogTable:
         on another day. Gives back the stored rows as they were prepared, with
         the times and ids that the table has.
         """
+        if load < 0:
+            raise ValueError("loads are numbered from 0")
+        if any(n < 0 and _last_of(n) >= load for _, _, n in self.partitions(f"writer = {_quoted(writer)}")):
+            raise ValueError(f"load {load} of {writer!r} has been compacted and can't be written again")
         if "created_at" not in logs.columns:
             logs = logs.withColumn("created_at", F.current_timestamp())
         if "id" not in logs.columns:
@@ -105,22 +127,55 @@ class LogTable:
         self._drop_other_days(stored, load, writer)
         return stored
 
+    def partitions(self, spec: str) -> list[tuple[str, str, int]]:
+        """(day, writer, load) of the partitions under a specification; names only, no log is read."""
+        listed = self.spark.sql(f"SHOW PARTITIONS {self.name}" + (f" PARTITION ({spec})" if spec else ""))
+        part = lambda key: F.regexp_extract("partition", rf"{key}=([^/]+)", 1).alias(key)
+        rows = listed.select(*[part(key) for key in PARTITIONS]).collect()
+        return sorted((r[0], unquote(r[1]), int(r[2])) for r in rows)
+
+    def _drop(self, day: str, writer: str, load: int) -> None:
+        spec = f"ingest_date = '{day}', writer = {_quoted(writer)}, load = {load}"
+        self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION ({spec})")
+
+    def compact(self, day: str, rows_per_file: int = COMPACTED_ROWS) -> None:
+        """Make one partition of each writer's loads of a day that gets no more logs.
+
+        The compacted partition is complete before the loads it holds are
+        dropped, and names the last of them: a run that was cut short is
+        finished by the next one, and a load that it holds can't be written again.
+        """
+        writers: dict[str, list[int]] = {}
+        for _, writer, load in self.partitions(f"ingest_date = '{day}'"):
+            writers.setdefault(writer, []).append(load)
+        for writer, loads in writers.items():
+            done = max((_last_of(n) for n in loads if n < 0), default=-1)
+            waiting = [n for n in loads if n > done]
+            if waiting:
+                own = self.read().where(
+                    (F.col("ingest_date") == F.lit(day).cast("date"))
+                    & (F.col("writer") == writer)
+                    & ((F.col("load") > done) | (F.col("load") == _compacted(done)))
+                )
+                copy = materialize(own.withColumn("load", F.lit(_compacted(max(waiting))).cast("bigint")))
+                files = -(-copy.count() // rows_per_file)
+                spread = copy.repartitionByRange(files, "anomaly_score", "id") if files > 1 else copy.coalesce(1)
+                spread.sortWithinPartitions("anomaly_score").write.mode("overwrite").insertInto(self.name)
+                done = max(waiting)
+            for load in loads:
+                if load != _compacted(done):
+                    self._drop(day, writer, load)
+
     def _drop_other_days(self, stored: DataFrame, load: int, writer: str) -> None:
         """Take out what an earlier run of the load stored on days that it no longer has.
 
         The table forgets those partitions; their files are left to the folder's clean-up.
         """
-        name = writer.replace("'", "\\'")
-        spec = f"writer = '{name}', load = {load}"
-        listed = self.spark.sql(f"SHOW PARTITIONS {self.name} PARTITION ({spec})")
-        day = F.regexp_extract("partition", r"ingest_date=([^/]+)", 1)
-        # One row for each day that the load has, few.
-        before = {r["day"] for r in listed.select(day.alias("day")).collect()}
+        # A load has few days.
         now = {str(r["ingest_date"]) for r in stored.select("ingest_date").distinct().collect()}
-        for other in sorted(before - now):
-            self.spark.sql(
-                f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (ingest_date = '{other}', {spec})"
-            )
+        for day, _, _ in self.partitions(f"writer = {_quoted(writer)}, load = {load}"):
+            if day not in now:
+                self._drop(day, writer, load)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)

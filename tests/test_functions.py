@@ -62,7 +62,7 @@ def test_tier_ranges_are_contiguous_and_agree_with_severity(spark):
 
 def test_unknown_tier_is_refused():
     with pytest.raises(ValueError):
-        sev.score_range("banana")
+        sev.score_range("unheard-of")
 
 
 @pytest.mark.parametrize("index, label", [(0, "LOW"), (25, "ELEVATED"), (50, "HIGH"), (75, "CRITICAL")])

@@ -79,7 +79,7 @@ def test_filters_compose(spark):
     )
     assert ids(window) == [2, 3, 4]
     with pytest.raises(ValueError):
-        triage.filter_logs(df, severity="banana")
+        triage.filter_logs(df, severity="unheard-of")
 
 
 def test_search_and_live_switches(spark):

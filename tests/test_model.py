@@ -14,7 +14,7 @@ from logvane.operators.scoring import (
     Detector,
     score_feature_maps,
     score_logs,
-    top_deviations,
+    with_top_deviations,
 )
 from logvane.operators.threshold import allowed_false_positives, roc_curve, tune_threshold
 from logvane.schema import FEATURE_COLUMNS
@@ -252,14 +252,39 @@ def test_scoring_feature_maps(spark, detector):
     assert all(r["anomaly_score"] is not None for r in rows.values())
 
 
-def test_both_ways_of_ranking_deviations_agree(spark, detector):
+def test_deviations_are_ranked_alike_with_and_without_a_forest(spark, detector):
     rng = np.random.default_rng(4)
     maps = [{c: float(v) for c, v in zip(FEATURE_COLUMNS, rng.normal(size=18).round(1))} for _ in range(200)]
     df = spark.createDataFrame([(m,) for m in maps], "features map<string,double>")
     raw = {c: F.col("features")[c] for c in FEATURE_COLUMNS}
-    expected = top_deviations(FEATURE_COLUMNS, detector.scaler.scaled(raw))
-    both = score_feature_maps(df, detector).select("top_features", expected.alias("expected"))
-    assert both.where("top_features != expected").count() == 0
+    alone = with_top_deviations(df, FEATURE_COLUMNS, detector.scaler.scaled(raw)).withColumnRenamed(
+        "top_features", "alone"
+    )
+    both = score_feature_maps(alone, detector).collect()
+    assert len(both) == 200
+    for row in both:
+        z = {p.feature: (row["features"][p.feature] - p.mean) / p.scale for p in detector.scaler.feature_params}
+        want = sorted(FEATURE_COLUMNS, key=lambda c: -abs(z[c]))[:5]
+        assert [f["feature"] for f in row["top_features"]] == want
+        assert row["alone"] == row["top_features"]
+
+
+def test_rows_without_features_take_no_walk(spark, detector):
+    """A filter on scorable rows leaves the others' scores unset, in whatever order they come."""
+    rows = scored(spark, detector, [{}, full(40), None, full(0), {}], gate=True)
+    alone = scored(spark, detector, [full(40), full(0)], gate=True)
+    assert [rows[1]["anomaly_score"], rows[3]["anomaly_score"]] == [alone[0]["anomaly_score"], alone[1]["anomaly_score"]]
+    assert rows[0]["anomaly_score"] is None and rows[0]["top_features"] == []
+
+
+def test_short_trees_are_drawn_again(spark):
+    """Eight of a thousand rows: some trees draw too few at first; the forest is the same under any partitioning."""
+    frame = spark.createDataFrame(normal_frame(1000))
+    scaled = frame.select("row", F.array(*[F.col(f"`{c}`") for c in FEATURE_COLUMNS]).alias("scaled"))
+    fits = [IsolationForest(["row"], subsample=8).fit(scaled.repartition(n)) for n in (2, 5)]
+    assert fits[0].nodes.equals(fits[1].nodes)
+    roots = fits[0].nodes[fits[0].nodes["node"] == 0]
+    assert len(roots) == 100 and (roots["rows"] == 8).all()
 
 
 def test_logs_without_features_or_model_stay_unscored(spark, detector):
