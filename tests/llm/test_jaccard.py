@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from logvane.llm import jaccard, queries
@@ -96,3 +97,14 @@ def test_components(spark):
         frame = spark.createDataFrame(edges, "a long, b long")
         got = {r["node"]: r["component"] for r in connected(frame).collect()}
         assert got == {x: find(x) for x in root}
+
+
+def test_bitmaps_never_rule_out_a_link():
+    """The classes that differ are at most the elements that differ, whatever the sets."""
+    draw = np.random.default_rng(6)
+    for _ in range(300):
+        common = draw.integers(0, 2**63, draw.integers(0, 900)).astype(np.uint64)
+        own = [np.unique(np.append(common, draw.integers(0, 2**63, draw.integers(0, 120)).astype(np.uint64))) for _ in "ab"]
+        differ = len(np.setxor1d(*own))
+        maps = [jaccard.bitmap(x) for x in own]
+        assert sum(int(x).bit_count() for x in maps[0] ^ maps[1]) <= differ
