@@ -15,9 +15,11 @@ instead of its whole set.
 Rows of equal sets are one row of the matrix. Each column first meets only its
 least row (a star, not all pairs); columns whose rows are connected by what was
 found need nothing more. What is left, rows of a column in different
-components, is then paired in full under the same bounds. So a group of any
-number of copies costs in proportion to its size, and no link between different
-sets that would join two components is lost.
+components, meets in full under the same bounds and a further one: bitmaps of
+the two sets, whose differing classes are elements that only one of them has.
+They are compared inside the join, so pairs of unlike rows don't leave it. So a
+group of any number of copies costs in proportion to its size, and no link
+between different sets that would join two components is lost.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ MOST_FREQUENT = 65_536
 BROADCAST_KEYS = 1_000_000
 # Slices of the hash range whose element counts bound an overlap from above.
 SLICES = 512
+# Classes of elements in a set's bitmap, a power of two.
+BITS = 2048
 # N-grams of a document's list that show where two lists first meet.
 HEAD = 6
 # Pairs of one left row that travel with one copy of its set.
@@ -116,13 +120,14 @@ def _signed(rows: DataFrame, size: int, percent: int, last: np.ndarray) -> DataF
                     pa.array(sizes),
                     _lists([first(s) for s in sets]),
                     pa.array([slice_counts(s) for s in sets], pa.binary()),
+                    _lists([bitmap(s) for s in sets]),
                 ],
-                ["key", "doc_id", "node", "n", "first", "counts"],
+                ["key", "doc_id", "node", "n", "first", "counts", "bits"],
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        run, f"key long, doc_id {kind}, node long, n int, first array<long>, counts binary"
+        run, f"key long, doc_id {kind}, node long, n int, first array<long>, counts binary, bits array<long>"
     )
 
 
@@ -132,6 +137,23 @@ def slice_counts(tokens: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Which of ``BITS`` classes a set's elements fall into, as 64-bit words."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(tokens & np.uint64(BITS - 1)).astype(np.intp)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
+def _may_be_alike(percent: int) -> Column:
+    """Whether two bitmaps allow the similarity: a class that only one set has is an element that only one has.
+
+    Of sizes n and m with d elements in one set only, the similarity is (n + m - d) / (n + m + d).
+    """
+    apart = F.zip_with("bits", "other_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(apart, F.lit(0), lambda total, x: total + x)
+    return (F.col("n") + F.col("other_n")) * (100 - percent) >= differ * (100 + percent)
+
+
 def _may_overlap(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose slice counts allow the overlap.
 
@@ -248,7 +270,7 @@ def _components(rows: DataFrame, size: int, percent: int) -> DataFrame:
     nodes = signed.where("n > 0").join(_small(named.select("key")), "key", "left_semi")
     if not members.groupBy("key").count().where("count > 1").limit(1).isEmpty():
         nodes = nodes.dropDuplicates(["node"])
-    nodes = nodes.select("node", "n", "first", "counts")
+    nodes = nodes.select("node", "n", "first", "counts", "bits")
     columns = nodes.select("node", "n", F.posexplode("first").alias("at", "token"))
     meeting = (
         columns.groupBy("token")
@@ -277,7 +299,7 @@ def _components(rows: DataFrame, size: int, percent: int) -> DataFrame:
     apart = part.join(mains, "token")
     split = apart.where("part <> main").select("token").distinct()
     apart = apart.join(split, "token", "left_semi").drop("low")
-    heads = nodes.select("node", F.slice("first", 1, HEAD).alias("head"))
+    heads = nodes.select("node", F.slice("first", 1, HEAD).alias("head"), "bits")
     apart = materialize(apart.join(heads, "node"))
     other = apart.where("part <> main").select(
         "token",
@@ -286,15 +308,18 @@ def _components(rows: DataFrame, size: int, percent: int) -> DataFrame:
         F.col("at").alias("other_at"),
         F.col("part").alias("other_part"),
         F.col("head").alias("other_head"),
+        F.col("bits").alias("other_bits"),
     )
     one_way = (F.col("part") == F.col("main")) | (F.col("node") < F.col("other"))
     # A pair is made in the first column that its rows share, not in every one, as far as the
     # heads of their lists show it; near copies nearly always share one of these.
     shared = F.get(F.array_intersect("head", "other_head"), 0)
     here = shared.isNull() | (shared == F.col("token"))
+    # Bitmaps are held against each other where the rows meet, so that few pairs leave the join.
+    fits = (F.col("part") != F.col("other_part")) & one_way & _room(percent) & here & _may_be_alike(percent)
     rest = materialize(
         apart.join(other, "token")
-        .where((F.col("part") != F.col("other_part")) & one_way & _room(percent) & here)
+        .where(fits)
         .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
