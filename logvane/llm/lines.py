@@ -10,11 +10,12 @@ less than six of them are left out (at similarity 0.8 a chance of about 0.004).
 The others are compared by their whole shingle sets. Equal lines are one line
 from the start.
 
-In a band each line first meets the least one only; bands whose lines are
-still in different components are then paired in full, if the sizes and the
-sketches allow it. So a line that stands in a third of all documents costs one
-row for each, and near copies of one line are compared with it, not with each
-other.
+In a band each line first meets the least one only. Lines of a band that are
+then still in different components are held against each other by exact bounds
+(sizes, and bitmaps whose differing classes are shingles that only one has)
+inside a join that few pairs leave. So a line that stands in a third of all
+documents costs one row for each, and near copies of one line are compared with
+it, not with each other.
 
 Everything is DataFrame functions. Each different line leaves one narrow row,
 written once; line texts are read again only for lines of a pair to compare.
@@ -35,6 +36,8 @@ BANDS = 14
 IN_BAND = 5
 SHARED = 6
 PERCENT = 80
+# Words of a line's bitmap of shingle classes, a power of two.
+WORDS = 8
 # Up to so many narrow rows (a few MB) may be broadcast; more are joined by shuffling.
 BROADCAST_ROWS = 500_000
 
@@ -158,15 +161,48 @@ def _links(lines: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     mains = part.where("key = low").select("band", F.col("part").alias("main"))
     apart = part.join(mains, "band")
     split = apart.where("part <> main").select("band").distinct()
-    apart = materialize(apart.join(split, "band", "left_semi"))
-    other = apart.where("part <> main").select(
-        "band", F.col("key").alias("other"), F.col("part").alias("other_part")
-    )
-    one_way = (F.col("part") == F.col("main")) | (F.col("key") < F.col("other"))
     # All pairs with the least line have been looked at.
-    pairs = apart.where("key <> low").join(other, "band").where((F.col("part") != F.col("other_part")) & one_way)
-    rest = _fitting(pairs.select("key", "other"), lines, percent)
-    return first.union(_similar(rest.join(stars, ["a", "b"], "left_anti"), rows, percent))
+    apart = materialize(apart.join(split, "band", "left_semi").where("key <> low"))
+    # Lines bring their bitmaps into their open bands. They are held against each other inside the
+    # join, so that pairs of unlike lines don't leave it, however many lines a band has.
+    maps = materialize(_bitmaps(lines, rows, apart))
+    mine = apart.join(maps, "key").select("band", "key", "part", "main", "n", "bits")
+    other = mine.where("part <> main").select(
+        "band", F.col("key").alias("other"), F.col("part").alias("other_part"),
+        F.col("n").alias("other_n"), F.col("bits").alias("other_bits"),
+    )
+    one_way = (F.col("part") == F.col("main")) | (F.col("key") < F.col("other"))
+    fits = (F.col("part") != F.col("other_part")) & one_way & _sizes_fit(percent) & _may_be_alike(percent)
+    pairs = mine.join(other, "band").where(fits)
+    rest = pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"))
+    return first.union(_similar(rest, rows, percent))
+
+
+def _bitmaps(lines: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, n and ``bits`` (which of 64 * WORDS classes its shingles fall into) of the lines of ``wanted``."""
+    keys = materialize(wanted.select("key").distinct())
+    own = _lines_of(rows).select("key", "line").join(_small(keys), "key").dropDuplicates(["key"])
+    hashed = own.select("key", shingles(F.col("line")).alias("set"))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(WORDS - 1))
+    bits = F.transform(
+        F.sequence(F.lit(0), F.lit(WORDS - 1)),
+        lambda w: F.aggregate(
+            F.filter("set", lambda h: word(h) == w), F.lit(0).cast("long"), lambda x, h: x.bitwiseOR(bit(h))
+        ),
+    )
+    return hashed.select("key", F.size("set").alias("n"), bits.alias("bits"))
+
+
+def _may_be_alike(percent: int) -> Column:
+    """Whether two bitmaps allow the similarity: a class that only one line has is a shingle that only one has.
+
+    Of sizes n and m with d shingles in one line only, the similarity is (n + m - d) / (n + m + d).
+    """
+    apart = F.zip_with("bits", "other_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(apart, F.lit(0), lambda total, x: total + x)
+    return (F.col("n") + F.col("other_n")) * (100 - percent) >= differ * (100 + percent)
 
 
 def _row(docs: DataFrame, id_col: str, text_col: str) -> Column:
