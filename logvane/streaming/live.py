@@ -106,7 +106,7 @@ def start_ingest(
         logs = score_logs(valid_messages(parsed), detector)
         if "id" not in logs.columns:
             logs = assign_ids(logs, batch)
-        stored = table.append(materialize(logs), batch, name)
+        stored = table.append(logs, batch, name)
         replace(quarantined_messages(parsed, kept), quarantine_path, batch, "json")
         if publish_path is not None:
             replace(live_frames(stored), publish_path, batch, "text")
