@@ -46,7 +46,7 @@ BROADCAST_KEYS = 1_000_000
 # Slices of the hash range whose element counts bound an overlap from above.
 SLICES = 512
 # Classes of elements in a set's bitmap, a power of two.
-BITS = 4096
+BITS = 2048
 # N-grams of a document's list that show where two lists first meet.
 HEAD = 6
 # Pairs of one left row that travel with one copy of its set.
