@@ -42,6 +42,21 @@ def finite_long(value: Column, *, text: bool = False) -> Column:
     return finite_double(value, text=text).try_cast("bigint")
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """``round`` of a double, without a decimal object for every row.
+
+    A whole number divided by the power of ten is the double nearest to the
+    decimal that ``round`` finds. Large numbers and those too near to the middle
+    of two decimals are left to ``round``.
+    """
+    power = F.lit(10.0**digits)
+    shifted = value * power
+    whole = F.rint(shifted)
+    plain = (F.abs(shifted) < F.lit(1e9)) & (F.abs(shifted - whole) < F.lit(0.499999))
+    # Adding zero turns a negative zero into zero.
+    return F.when(plain, whole / power + F.lit(0.0)).otherwise(F.round(value, digits))
+
+
 def micros_to_seconds(micros: Column) -> Column:
     return micros / F.lit(1_000_000.0)
 

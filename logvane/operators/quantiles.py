@@ -3,10 +3,15 @@
 Spark's exact ``percentile`` keeps every distinct value in one aggregation
 buffer. Here one wide pass of quantile sketches (``percentile_approx``, all
 columns side by side) gives two values around each wanted rank. A second wide
-pass counts the rows below and at these values, which proves the bracket, and
+pass counts all rows below and at these values, which proves the bracket, and
 collects the few rows strictly between them, whose number the sketches bound. A
 value carried by a third of all rows is an end of its bracket and is never
 collected. If a bracket would still hold too many rows, it is sketched again.
+
+Of a large table the sketches see a sample, which only decides how wide the
+brackets are: every row is counted against them, a rank that they miss is looked
+for again, and the values are exact. The rows inside the brackets are then
+written once, and whatever follows reads this small copy.
 """
 
 from __future__ import annotations
@@ -14,16 +19,22 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logvane.session import materialize
+
 # A sketch's rank error is at most one part in this many.
 ACCURACY = 10_000
 # How far, as a share of the rows, a bracket reaches beyond the wanted rank.
 REACH = 2 / ACCURACY
 # Rows that one column's bracket may hold when it is collected.
 RANKED_ROWS = 20_000
+# Values of a column that are sketched: of more rows a sample of about this size, with a wider reach.
+SKETCHED_ROWS = 2_000_000
+SAMPLE_SEED = 42
 # A first look at rows that a caller's own pass can include: ends around one probability for each column.
 Brackets = dict[str, tuple[float, float]]
 
@@ -39,6 +50,8 @@ class _Open:
     low: float | None = None
     high: float | None = None
     reach: float = REACH
+    # Whether a bracket has missed the ranks; a sample's ends need not be the table's.
+    missed: bool = False
 
     def inside(self) -> Column:
         """The value, or null outside the range."""
@@ -49,8 +62,17 @@ class _Open:
             value = F.when(F.col(f"`{self.column}`") < F.lit(self.high), value)
         return value
 
-    def ends(self) -> tuple[float, float]:
-        beyond = self.reach * self.rows + 1
+    def holds(self) -> Column:
+        """Whether the value lies inside a range with two ends."""
+        value = F.col(f"`{self.column}`")
+        return (value > F.lit(self.low)) & (value < F.lit(self.high))
+
+    def ends(self, share: float = 1.0) -> tuple[float, float]:
+        reach = self.reach
+        if share < 1.0:
+            # Four standard deviations of a rank in the sample.
+            reach += 2 / math.sqrt(share * self.rows)
+        beyond = reach * self.rows + 1
         return max(0.0, (self.first - beyond) / self.rows), min(1.0, (self.last + 1 + beyond) / self.rows)
 
     def most_between(self, known: bool) -> float:
@@ -88,8 +110,17 @@ def row_counts(df: DataFrame, columns: Iterable[str]) -> dict[str, int]:
     return dict(zip(columns, row))
 
 
-def _sketched(df: DataFrame, spans: Sequence[_Open]) -> list[tuple[float, float]]:
-    row = df.agg(*[_sketch(s.inside(), *s.ends()).alias(f"s{i}") for i, s in enumerate(spans)]).first()
+def _sample_share(spans: Sequence[_Open], sketched_rows: int) -> float:
+    """The share of the rows that leaves every range at least ``sketched_rows`` values, if it has them.
+
+    Once a bracket has missed its ranks, all rows are sketched.
+    """
+    return 1.0 if any(s.missed for s in spans) else min(1.0, sketched_rows / min(s.rows for s in spans))
+
+
+def _sketched(df: DataFrame, spans: Sequence[_Open], share: float) -> list[tuple[float, float]]:
+    seen = df.sample(share, SAMPLE_SEED) if share < 1.0 else df
+    row = seen.agg(*[_sketch(s.inside(), *s.ends(share)).alias(f"s{i}") for i, s in enumerate(spans)]).first()
     return [tuple(row[i]) for i in range(len(spans))]
 
 
@@ -118,17 +149,26 @@ def _proved(
     return [tuple(row[5 * i : 5 * i + 5]) for i in range(len(spans))]
 
 
+def _narrowed(df: DataFrame, spans: Sequence[_Open]) -> DataFrame:
+    """The rows that lie in any of the ranges, written once."""
+    columns = sorted({s.column for s in spans})
+    inside = reduce(Column.__or__, [s.holds() for s in spans])
+    return materialize(df.select(*[F.col(f"`{c}`") for c in columns]).where(inside))
+
+
 def order_statistics(
     df: DataFrame,
     ranks: dict[str, Sequence[int]],
     rows: dict[str, int] | None = None,
     ranked_rows: int = RANKED_ROWS,
     brackets: Brackets | None = None,
+    sketched_rows: int = SKETCHED_ROWS,
 ) -> dict[tuple[str, int], float]:
     """Value at each 0-based ascending rank of each column.
 
     Columns must be doubles without NaN or infinities; nulls are ignored. The
-    frame is read two or three times, only these columns: pass written data.
+    frame is read two or three times, only these columns: pass written data or
+    a narrow view of it that always gives the same rows.
     ``rows`` (values of each column) and ``brackets`` save passes if known.
     """
     rows = rows or row_counts(df, ranks)
@@ -151,11 +191,14 @@ def order_statistics(
             break
         spans = [s for s, _ in waiting]
         blind = [s for s in spans if s.column not in known]
-        found = iter(_sketched(df, blind) if blind else [])
+        share = _sample_share(blind, sketched_rows) if blind else 1.0
+        found = iter(_sketched(df, blind, share) if blind else [])
         ends = [known[s.column] if s.column in known else next(found) for s in spans]
-        collect = [s.most_between(s.column in known) <= ranked_rows for s in spans]
+        collect = [
+            (s.column in known or share == 1.0) and s.most_between(s.column in known) <= ranked_rows for s in spans
+        ]
         proofs = _proved(df, spans, ends, collect)
-        known, still = {}, []
+        known, still, lost = {}, [], False
         for (span, below), (low, high), proof in zip(waiting, ends, proofs):
             below_low, upto_low, below_high, upto_high, values = proof
             between, missed = [], []
@@ -174,7 +217,10 @@ def order_statistics(
                 inner = _Open(span.column, between[0], between[-1], below_high - upto_low, low, high)
                 still.append((inner, below + upto_low))
             # Where the bracket missed a rank, look again and further around it.
-            still += [(replace(span, first=r, last=r, reach=4 * span.reach), below) for r in missed]
+            still += [(replace(span, first=r, last=r, reach=4 * span.reach, missed=True), below) for r in missed]
+            lost = lost or bool(missed)
+        if still and not lost and max(s.rows for s in spans) > sketched_rows:
+            df = _narrowed(df, [s for s, _ in still])
         waiting = still
     return answer
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvane.functions.coerce import clean_label, column_number, iso8601
+from logvane.functions.coerce import clean_label, column_number, iso8601, rounded
 from logvane.functions.severity import (
     narrative,
     recommended_action,
@@ -515,11 +515,8 @@ def clean_benign_rows(spark, sf_dir):
 def scaled_features(spark, sf_dir):
     flows = tables.flows(spark, sf_dir, spread_out=True)
     model = BaselineScaler().fit(_benign(flows))
-    scaled = model.transform(flows)
-    return scaled.select(
-        "flow_id",
-        *[F.round(F.col("scaled")[i], 5).alias(f"z{i}") for i in range(len(FEATURE_COLUMNS))],
-    )
+    scaled = model.scaled({c: F.col(f"`{c}`") for c in model.columns})
+    return flows.select("flow_id", *[rounded(z, 5).alias(f"z{i}") for i, z in enumerate(scaled)])
 
 
 @query

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+# Java leaves methods of more bytecode than this uncompiled, which makes wide rows many times slower.
+# Spark then generates smaller methods, one operator at a time.
+METHOD_LIMIT_CONF = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
 # A side is broadcast only after counting that it has no more rows than this.
 BROADCAST_ROW_LIMIT = 100_000
 
@@ -26,6 +30,7 @@ def build_session(
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        **dict([METHOD_LIMIT_CONF]),
     }
     settings.update(conf or {})
     builder = SparkSession.builder.appName(app_name)

@@ -4,6 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from logvane.operators import quantiles
 from logvane.operators.ordering import running_sums, trailing_mean, with_positions
 from logvane.operators.quantiles import exact_quantiles, order_statistics
 
@@ -46,6 +47,26 @@ def test_skewed_tied_and_heavy_tailed_columns(spark, ranked_rows):
             assert got[name] == pytest.approx(np.quantile(values, probability), rel=1e-12), name
 
 
+@pytest.mark.parametrize("ranked_rows", [1, 20, 1000])
+def test_a_sample_decides_the_brackets_but_not_the_values(spark, monkeypatch, ranked_rows):
+    rng = np.random.default_rng(8)
+    values = np.round(rng.normal(size=20_000), 2)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(values, values**3)], "a double, b double")
+    sizes, narrowed = [], quantiles._narrowed
+
+    def spied(frame, spans):
+        sizes.append((copy := narrowed(frame, spans)).count())
+        return copy
+
+    monkeypatch.setattr(quantiles, "_narrowed", spied)
+    for rank in (0, 199, 10_000, 19_999):
+        got = order_statistics(df, {"a": [rank], "b": [rank]}, ranked_rows=ranked_rows, sketched_rows=2000)
+        assert got["a", rank] == np.sort(values)[rank]
+        assert got["b", rank] == np.sort(values**3)[rank]
+    # What is looked at again is the rows in the brackets, not the table.
+    assert sizes and max(sizes) < 6000
+
+
 def test_nulls_are_ignored_and_bad_ranks_refused(spark):
     df = spark.createDataFrame([(1.0,), (None,), (3.0,)], "v double")
     assert exact_quantiles(df, ["v"], 0.5) == {"v": 2.0}
