@@ -191,13 +191,24 @@ def mean_depths(forest: dict[str, np.ndarray], columns: np.ndarray) -> np.ndarra
     total = np.zeros(rows)
     bottom = forest["path"].shape[1]
     steps = bottom.bit_length() - 1
+    # Every step writes into the same few arrays; places are valid by construction.
+    node, at = np.empty(rows, np.int64), np.empty(rows, np.int64)
+    value, limit, right = np.empty(rows), np.empty(rows), np.empty(rows, bool)
     for feature, threshold, path in zip(forest["feature"], forest["threshold"], forest["path"]):
         start = feature * rows
-        node = (columns[feature[0]] > threshold[0]).astype(np.int64) + 1
+        np.greater(columns[feature[0]], threshold[0], out=right)
+        np.add(right, 1, out=node)
         for _ in range(steps - 1):
-            value = values.take(start.take(node) + offset)
-            node = 2 * node + 1 + (value > threshold.take(node))
-        total += path.take(node - (bottom - 1))
+            start.take(node, out=at, mode="clip")
+            at += offset
+            values.take(at, out=value, mode="clip")
+            threshold.take(node, out=limit, mode="clip")
+            np.greater(value, limit, out=right)
+            node *= 2
+            node += 1
+            node += right
+        node -= bottom - 1
+        total += path.take(node, out=value, mode="clip")
     return total / len(forest["path"])
 
 
@@ -209,6 +220,16 @@ def largest_places(columns: np.ndarray, count: int) -> np.ndarray:
     return np.argsort(-np.abs(columns.T), axis=1, kind="stable")[:, :count].astype(np.int32)
 
 
+def _not_finite(values: Column) -> Column:
+    """Whether an array holds an infinite, NaN or missing number, without a lambda for every element.
+
+    Spark orders NaN above infinity, and looking for a number among nulls gives null.
+    """
+    infinity = F.lit(float("inf"))
+    beyond = (F.array_max(values) >= infinity) | (F.array_min(values) <= -infinity)
+    return F.coalesce(beyond, F.lit(False)) | (values.isNotNull() & F.array_contains(values, infinity).isNull())
+
+
 class IsolationForest(Estimator):
     """Fits on scaled, benign rows carrying ``scaled`` and unique id columns.
 
@@ -234,14 +255,16 @@ class IsolationForest(Estimator):
 
     def _fit(self, dataset: DataFrame) -> IsolationForestModel:
         train = dataset.select(*[F.col(f"`{c}`") for c in self.ids], "scaled")
-        not_finite = F.exists(
-            "scaled", lambda v: v.isNull() | ~(F.abs(v) < F.lit(float("inf")))
-        )
+        bare, rows = self.grow(train)
+        return self.calibrate(bare, materialize(train.select(bare.normality("scaled").alias("normality"))), rows)
+
+    def grow(self, train: DataFrame) -> tuple[IsolationForestModel, int]:
+        """The forest without its calibration, and the number of training rows."""
         row_id = F.xxhash64(*[F.col(f"`{c}`") for c in self.ids])
         rows, different, bad, narrowest, widest = train.agg(
             F.count("*"),
             F.approx_count_distinct(row_id),
-            F.count_if(not_finite),
+            F.count_if(_not_finite(F.col("scaled"))),
             F.min(F.size("scaled")),
             F.max(F.size("scaled")),
         ).first()
@@ -268,7 +291,10 @@ class IsolationForest(Estimator):
             seed=self.seed,
             feature_names=self.feature_names,
         )
-        scores = materialize(train.select(bare.normality("scaled").alias("normality")))
+        return bare, rows
+
+    def calibrate(self, bare: IsolationForestModel, scores: DataFrame, rows: int) -> IsolationForestModel:
+        """The forest with the boundary and spread of its ``normality`` on the training rows; pass a stored frame."""
         deviation, around = scores.agg(
             F.stddev_pop("normality"), bracket("normality", self.contamination)
         ).first()
@@ -407,7 +433,11 @@ class IsolationForestModel(Model):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         """Add ``decision``, ``anomaly_score``, ``is_outlier`` and ``is_alert``."""
-        scored = dataset.withColumn("decision", self.decision(self.normality("scaled")))
+        return self.judged(dataset.withColumn("normality", self.normality("scaled"))).drop("normality")
+
+    def judged(self, walked: DataFrame) -> DataFrame:
+        """The same columns for rows whose ``normality`` is known."""
+        scored = walked.withColumn("decision", self.decision(F.col("normality")))
         scored = scored.withColumn("anomaly_score", self.anomaly_score(F.col("decision")))
         return scored.withColumn("is_outlier", (F.col("decision") < 0).cast("int")).withColumn(
             "is_alert", classify(F.col("anomaly_score"), self.threshold)

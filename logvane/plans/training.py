@@ -12,7 +12,6 @@ from logvane.functions.coerce import clean_label, read_number
 from logvane.operators.evaluation import (
     METRIC_COLUMNS,
     evaluate,
-    evaluation_set,
     recall_by_type,
 )
 from logvane.operators.forest import IsolationForest, classify
@@ -33,6 +32,8 @@ class TrainingResult:
     flag_rate: float
     benign_rows: int
     attack_rows: int
+    # Every flow: its ids, event_type, part and normality.
+    scored: DataFrame
 
 
 def _stored_parts(flows: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
@@ -67,17 +68,18 @@ def train(
     scaler = BaselineScaler(columns).fit(
         stored.where(F.col("part") != "attack") if fit_on == "all_benign" else benign_train
     )
-    forest = IsolationForest(list(ids), feature_names=columns, **forest_options).fit(
-        scaler.transform(benign_train)
-    )
+    estimator = IsolationForest(list(ids), feature_names=columns, **forest_options)
+    grown, rows = estimator.grow(scaler.transform(benign_train).select(*ids, "scaled"))
+    # Every row walks the forest once; calibration, threshold and evaluation read this copy.
+    normality = grown.normality(scaler.scaled({c: F.col(f"`{c}`") for c in columns}))
+    walked = materialize(stored.select(*ids, "event_type", "part", normality.alias("normality")))
+    forest = estimator.calibrate(grown, walked.where(F.col("part") == "train").select("normality"), rows)
     flag_rate = forest.self_flag_rate
-    held_out = evaluation_set(
-        stored.where(F.col("part") == "test"), stored.where(F.col("part") == "attack")
-    )
-    scored = materialize(
-        forest.transform(scaler.transform(held_out)).select(
-            *ids, "event_type", "is_attack", "anomaly_score"
-        )
+    scored = walked.where(F.col("part") != "train").select(
+        *ids,
+        "event_type",
+        F.when(F.col("part") == "attack", F.lit(1)).otherwise(F.lit(0)).alias("is_attack"),
+        forest.anomaly_score(forest.decision(F.col("normality"))).alias("anomaly_score"),
     )
     forest = forest.with_threshold(tune_threshold(scored, budget=budget))
     evaluated = scored.withColumn(
@@ -91,6 +93,7 @@ def train(
         flag_rate,
         metrics["tn"] + metrics["fp"],
         metrics["tp"] + metrics["fn"],
+        walked,
     )
 
 
