@@ -10,12 +10,15 @@ less than six of them are left out (at similarity 0.8 a chance of about 0.004).
 The others are compared by their whole shingle sets. Equal lines are one line
 from the start.
 
-In a band each line first meets the least one only. Lines of a band that are
-then still in different components are held against each other by exact bounds
-(sizes, and bitmaps whose differing classes are shingles that only one has)
-inside a join that few pairs leave. So a line that stands in a third of all
-documents costs one row for each, and near copies of one line are compared with
-it, not with each other.
+In a band each line first meets the least one only. Other lines of a band that
+are then still in different components are held against each other by exact
+bounds (sizes, bitmaps and lists of shingle classes, whose differing classes are
+shingles that only one has) inside a join that hardly any unlike pair leaves. So
+a line that stands in a third of all documents costs one row for each, and near
+copies of one line are compared with it, not with each other.
+
+Bands are dealt out once, as pairs of numbers; what a comparison needs is brought
+only into bands that still have lines to compare.
 
 Everything is DataFrame functions. Each different line leaves one narrow row,
 written once; line texts are read again only for lines of a pair to compare.
@@ -23,7 +26,7 @@ written once; line texts are read again only for lines of a pair to compare.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logvane.llm.common import id_and_text
@@ -36,8 +39,9 @@ BANDS = 14
 IN_BAND = 5
 SHARED = 6
 PERCENT = 80
-# Words of a line's bitmap of shingle classes, a power of two.
-WORDS = 8
+# Words of a line's bitmap of shingle classes and groups that they are built in, powers of two.
+WORDS = 32
+GROUPS = 8
 # Up to so many narrow rows (a few MB) may be broadcast; more are joined by shuffling.
 BROADCAST_ROWS = 500_000
 
@@ -95,22 +99,24 @@ def _lines_of(rows: DataFrame) -> DataFrame:
 
 def _similar(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of line hashes whose shingle sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = _lines_of(rows).select("key", "line").join(_small(materialize(ends)), "key")
-    sets = (
-        wanted.dropDuplicates(["key"])
-        .select("key", shingles(F.col("line")).alias("set"))
-        .repartition("key")
-    )
+    ends = materialize(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+    # A line is shorter than its set, so lines are shuffled and sets built where they meet.
+    found = _texts(rows, ends).repartition("key")
     both = (
-        pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("left")), "a")
-        .join(sets.select(F.col("key").alias("b"), F.col("set").alias("right")), "b")
+        pairs.join(found.select(F.col("key").alias("a"), F.col("line").alias("left")), "a")
+        .join(found.select(F.col("key").alias("b"), F.col("line").alias("right")), "b")
+        .select("a", "b", shingles(F.col("left")).alias("left"), shingles(F.col("right")).alias("right"))
         .withColumn("both", F.size(F.array_intersect("left", "right")))
     )
     either = F.size("left") + F.size("right") - F.col("both")
     return both.where(100 * F.col("both") >= percent * either).select("a", "b")
 
 
+def _texts(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """key and line, once for each of the written keys."""
+    return _lines_of(rows).select("key", "line").join(_small(keys), "key").dropDuplicates(["key"])
+
+
 def _sizes_fit(percent: int) -> Column:
     small, large = F.least("n", "other_n"), F.greatest("n", "other_n")
     return 100 * small >= percent * large
@@ -142,69 +148,102 @@ def _fitting(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 
 def _links(lines: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Verified links between the hashes of different lines."""
-    bands = lines.select("key", F.explode("bands").alias("band"))
-    meeting = (
-        bands.groupBy("band")
-        .agg(F.min("key").alias("low"), F.max("key").alias("high"))
-        .where("low <> high")
-        .select("band", "low")
-    )
-    met = materialize(bands.join(_small(materialize(meeting)), "band").distinct())
+    met = materialize(_meeting(lines))
     stars = _fitting(
         met.where("key <> low").select("key", F.col("low").alias("other")), lines, percent
     )
     first = materialize(_similar(stars, rows, percent))
     parts = connected(first)
-    part = met.join(parts.withColumnRenamed("node", "key"), "key", "left").select(
-        "band", "key", "low", F.coalesce("component", "key").alias("part")
-    )
-    mains = part.where("key = low").select("band", F.col("part").alias("main"))
-    apart = part.join(mains, "band")
-    split = apart.where("part <> main").select("band").distinct()
-    # All pairs with the least line have been looked at.
-    apart = materialize(apart.join(split, "band", "left_semi").where("key <> low"))
-    # Lines bring their bitmaps into their open bands. They are held against each other inside the
-    # join, so that pairs of unlike lines don't leave it, however many lines a band has.
-    maps = materialize(_bitmaps(lines, rows, apart))
-    mine = apart.join(maps, "key").select("band", "key", "part", "main", "n", "bits")
-    other = mine.where("part <> main").select(
-        "band", F.col("key").alias("other"), F.col("part").alias("other_part"),
-        F.col("n").alias("other_n"), F.col("bits").alias("other_bits"),
-    )
-    one_way = (F.col("part") == F.col("main")) | (F.col("key") < F.col("other"))
-    fits = (F.col("part") != F.col("other_part")) & one_way & _sizes_fit(percent) & _may_be_alike(percent)
-    pairs = mine.join(other, "band").where(fits)
-    rest = pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+    # All pairs with the least line have been looked at; the others of a band need a look
+    # only if they are of different components.
+    part = met.where("key <> low").join(parts.withColumnRenamed("node", "key"), "key", "left")
+    part = part.select("band", "key", F.coalesce("component", "key").alias("part"))
+    several = part.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
+    apart = materialize(part.join(several.select("band"), "band", "left_semi"))
+    # Lines are held against each other inside the join, so that pairs of unlike lines don't
+    # leave it, however many lines a band has. Long lists come only to lines that bitmaps,
+    # which are short, leave a partner.
+    fits = (F.col("part") != F.col("other_part")) & _sizes_fit(percent)
+    left, right = _two_sides(apart, _bitmaps(rows, apart))
+    in_reach = left.join(right, (F.col("band") == F.col("other_band")) & fits & _bits_allow(percent), "left_semi")
+    apart = materialize(in_reach.select("band", "key", "part"))
+    left, right = _two_sides(apart, _class_lists(rows, apart))
+    one_way = F.col("part") < F.col("other_part")
+    pairs = left.join(right, (F.col("band") == F.col("other_band")) & one_way & fits & _lists_allow(percent))
+    rest = pairs.select(
+        F.least("key", "other_key").alias("a"), F.greatest("key", "other_key").alias("b")
+    ).distinct()
     rest = materialize(rest.join(stars, ["a", "b"], "left_anti"))
     return first.union(_similar(rest, rows, percent))
 
 
-def _bitmaps(lines: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, n and ``bits`` (which of 64 * WORDS classes its shingles fall into) of the lines of ``wanted``."""
-    keys = materialize(wanted.select("key").distinct())
-    own = _lines_of(rows).select("key", "line").join(_small(keys), "key").dropDuplicates(["key"])
-    hashed = own.select("key", shingles(F.col("line")).alias("set"))
+def _meeting(lines: DataFrame) -> DataFrame:
+    """band, key and low (the band's least key) of the lines that share a band with another line."""
+    bands = lines.select("key", F.posexplode("bands").alias("i", "band"))
+    # The point's number and the hash in one long: only bands of one point can meet.
+    named = bands.select("key", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("band")).alias("band"))
+    same = Window.partitionBy("band")
+    ends = named.withColumn("low", F.min("key").over(same)).withColumn("high", F.max("key").over(same))
+    return ends.where("low <> high").select("band", "key", "low")
+
+
+def _two_sides(apart: DataFrame, maps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``apart`` with what ``maps`` holds of their keys, twice, the other's columns named so.
+
+    Both are alike but for the names, so that they are shuffled once.
+    """
+    mine = apart.join(materialize(maps), "key")
+    return mine, mine.select(*[F.col(c).alias(f"other_{c}") for c in mine.columns])
+
+
+def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, the number of its shingles and their hashes, of the lines of ``wanted``."""
+    own = _texts(rows, materialize(wanted.select("key").distinct()))
+    return own.select("key", shingles(F.col("line")).alias("set")).select("key", F.size("set").alias("n"), "set")
+
+
+def _bitmaps(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, n and ``bits``: which of 64 * WORDS classes its shingles fall into."""
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    word = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(WORDS - 1))
-    bits = F.transform(
-        F.sequence(F.lit(0), F.lit(WORDS - 1)),
-        lambda w: F.aggregate(
-            F.filter("set", lambda h: word(h) == w), F.lit(0).cast("long"), lambda x, h: x.bitwiseOR(bit(h))
-        ),
+    each = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    of = lambda hashes, shift, n, i: F.filter(
+        hashes, lambda h: F.shiftright(h, shift).bitwiseAND(F.lit(n - 1)) == i
     )
-    return hashed.select("key", F.size("set").alias("n"), bits.alias("bits"))
+    # In two steps, groups of words and words, so that a shingle is looked at a few times only.
+    groups = F.transform(each(GROUPS), lambda g: of("set", 6, GROUPS, g))
+    word = lambda hashes: F.aggregate(hashes, F.lit(0).cast("long"), lambda x, h: x.bitwiseOR(bit(h)))
+    bits = F.flatten(
+        F.transform(groups, lambda part: F.transform(each(WORDS // GROUPS), lambda w: word(of(part, 9, WORDS // GROUPS, w))))
+    )
+    return _sets_of(rows, wanted).select("key", "n", bits.alias("bits"))
+
+
+def _class_lists(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, n and ``classes``: a list of those of 65,536 classes that its shingles fall into."""
+    number = lambda h: F.shiftright(h, 32).bitwiseAND(F.lit(0xFFFF)) - 0x8000
+    classes = F.array_distinct(F.transform("set", lambda h: number(h).cast("short")))
+    return _sets_of(rows, wanted).select("key", "n", classes.alias("classes"))
 
 
-def _may_be_alike(percent: int) -> Column:
-    """Whether two bitmaps allow the similarity: a class that only one line has is a shingle that only one has.
+def _room(differ: Column, percent: int) -> Column:
+    """Whether the similarity is allowed where two lines differ in so many classes.
 
-    Of sizes n and m with d shingles in one line only, the similarity is (n + m - d) / (n + m + d).
+    A class that only one line has is a shingle that only one has. Of sizes n and m with d
+    shingles in one line only, the similarity is (n + m - d) / (n + m + d).
     """
-    apart = F.zip_with("bits", "other_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    differ = F.aggregate(apart, F.lit(0), lambda total, x: total + x)
     return (F.col("n") + F.col("other_n")) * (100 - percent) >= differ * (100 + percent)
 
 
+def _bits_allow(percent: int) -> Column:
+    apart = F.zip_with("bits", "other_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return _room(F.aggregate(apart, F.lit(0), lambda total, x: total + x), percent)
+
+
+def _lists_allow(percent: int) -> Column:
+    both = F.size(F.array_intersect("classes", "other_classes"))
+    return _room(F.size("classes") + F.size("other_classes") - 2 * both, percent)
+
+
 def _row(docs: DataFrame, id_col: str, text_col: str) -> Column:
     """Names a document and orders it: null ids last, equal rows alike."""
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
