@@ -59,31 +59,32 @@ _STEP = 2**64 // BANDS
 _POINTS = [-(2**63) + _STEP // 2 + _STEP * i for i in range(BANDS)]
 
 
-def _points() -> Column:
-    return F.array(*[F.lit(p) for p in _POINTS])
+def _high(value: Column) -> Column:
+    return F.shiftright(value, 32).cast("int")
 
 
 def _circle(ordered: Column) -> Column:
-    """Hashes and fixed points in order; behind the last one comes the first."""
-    return F.sort_array(F.concat(ordered, _points()))
+    """Hashes and fixed points in order."""
+    return F.sort_array(F.concat(ordered, F.array(*[F.lit(p) for p in _POINTS])))
 
 
-def _high(value: Column) -> Column:
-    return F.shiftright(value, 32).cast("int")
+def _ranks(circle: Column) -> Column:
+    """How many hashes stand before each fixed point on the circle."""
+    return F.array(*[F.array_position(circle, F.lit(p)).cast("int") - 1 - i for i, p in enumerate(_POINTS)])
 
 
-def _bands(circle: Column) -> Column:
-    """For each fixed point a hash of the ``IN_BAND`` values behind it."""
-    places = F.array(*[F.array_position(circle, F.lit(p)).cast("int") for p in _POINTS])
-    room = BANDS + IN_BAND
+def _bands(ordered: Column, ranks: Column) -> Column:
+    """For each fixed point a hash of the ``IN_BAND`` values behind it; behind the last value comes the first."""
+    room = F.least(F.lit(IN_BAND), F.size(ordered))
 
     # A lambda keeps the generated code small enough to be compiled.
-    def band(at: Column, i: Column) -> Column:
-        behind = F.concat(F.slice(circle, at + 1, F.lit(room)), F.slice(circle, 1, room))
-        run = F.slice(F.array_except(behind, _points()), 1, IN_BAND)
-        return _high(F.xxhash64(i, F.sort_array(run)))
+    def band(rank: Column, i: Column) -> Column:
+        over = rank + room - F.size(ordered)
+        run = F.slice(ordered, rank + 1, room)
+        around = F.sort_array(F.concat(run, F.slice(ordered, F.lit(1), over)))
+        return _high(F.xxhash64(i, F.when(over <= 0, run).otherwise(around)))
 
-    return F.transform(places, band)
+    return F.transform(ranks, band)
 
 
 def _small(side: DataFrame) -> DataFrame:
@@ -256,16 +257,18 @@ def _removed(rows: DataFrame, percent: int) -> DataFrame:
         raise ValueError("percent must be in 1..100")
     occurrences = _lines_of(rows)
     at = F.struct("row", "place")
-    ordered = occurrences.select(
-        "row", "place", "key", F.sort_array(shingles(F.col("line"))).alias("all")
-    ).withColumn("circle", _circle(F.col("all")))
+    ordered = (
+        occurrences.select("row", "place", "key", F.sort_array(shingles(F.col("line"))).alias("all"))
+        .withColumn("circle", _circle(F.col("all")))
+        .withColumn("ranks", _ranks(F.col("circle")))
+    )
     sketched = ordered.select(
         "row",
         "place",
         "key",
         F.size("all").alias("n"),
         F.transform(F.slice("all", 1, SKETCH), _high).alias("least"),
-        _bands(F.col("circle")).alias("bands"),
+        _bands(F.col("all"), F.col("ranks")).alias("bands"),
     )
     firsts = materialize(
         sketched.groupBy("key").agg(
