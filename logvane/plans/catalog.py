@@ -37,7 +37,7 @@ from logvane.operators.validation import (
 )
 from logvane.plans.training import recall_table, train
 from logvane.schema import FEATURE_COLUMNS, LABEL_COLUMN, RESPONSE_COLUMNS, TOP_FEATURE_TYPE
-from logvane.session import scratch_path
+from logvane.session import materialize, scratch_path
 from logvane.sources import driver_tables as tables
 from logvane.sources.flow_files import read_flow_csv
 from logvane.sources.log_table import LogTable, assign_ids
@@ -729,7 +729,8 @@ def unscored_logs(spark, sf_dir):
 @query
 def manifest_check(spark, sf_dir):
     """Table files against a record with one hash changed, one name missing and one too many."""
-    actual = file_manifest(spark, sf_dir, "*.parquet").select("name", "sha256")
+    # Both sides of the comparison come from it; the files are read once.
+    actual = materialize(file_manifest(spark, sf_dir, "*.parquet").select("name", "sha256"))
     changed = F.when(F.col("name") == "region.parquet", "0").otherwise(F.col("sha256"))
     recorded = actual.where("name <> 'part.parquet'").select("name", changed.alias("sha256"))
     gone = spark.range(1).select(F.lit("gone.parquet").alias("name"), F.lit("1").alias("sha256"))
