@@ -28,11 +28,11 @@ planned size; results are written between the steps.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +46,12 @@ ANCHOR = 20
 # Anchors of a hash range, open contexts of a suffix array, and contexts from which an anchor
 # is dealt to several.
 RANGE_ANCHORS = 1_200_000
+# Bytes of texts whose anchors are looked for together.
+TOGETHER = 1 << 15
 BUCKET = 4096
 SPLIT = 4096
+# So often contexts that equal a smaller document's are taken out before the rest is sorted.
+ROUNDS = 20
 # Up to so many spans (16 bytes each) may be broadcast; more are joined by shuffling.
 BROADCAST_SPANS = 1_000_000
 
@@ -64,23 +68,32 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
 
 
-def anchors(data: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, hashes and context hashes of a text's anchors; none if it is too short."""
-    n, w = len(data), length - k + 1
+def anchors(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
+    """Text number, place, hash and context hash of the texts' anchors; short texts have none."""
+    w = length - k + 1
+    sizes = np.array([len(x) for x in texts], np.int64)
+    ends = np.cumsum(sizes)
+    n = int(sizes.sum())
     if n < length:
         none = np.zeros(0, np.uint64)
-        return np.zeros(0, np.int64), none, none
-    sums = prefix_hash(np.frombuffer(data, np.uint8))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), none, none
+    sums = prefix_hash(np.frombuffer(b"".join(texts), np.uint8))
+    # Strings and windows that run from one text into the next do not count.
+    left = np.repeat(ends, sizes) - np.arange(n)
     at = np.arange(n - k + 1)
     grams = span_hash(sums, at, at + k)
+    grams[left[: n - k + 1] < k] = ~np.uint64(0)
     low = _window_min(grams, w)
+    low[left[: n - length + 1] < length] = 0
     # A string is an anchor if it is the least of some window that holds it; ties are all taken.
     wide = np.concatenate([np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)])
     places = np.flatnonzero(~_window_min(~wide, w) == grams)
-    start, stop = np.maximum(places - (w - 1), 0), np.minimum(places + length, n)
+    text = np.searchsorted(ends, places, "right")
+    begin = ends[text] - sizes[text]
+    start, stop = np.maximum(places - (w - 1), begin), np.minimum(places + length, ends[text])
     sides = ((places - start) * 128 + (stop - places)).astype(np.uint64)
     # Least hashes are small numbers; mixed again they fill the whole range evenly.
-    return places, mix(grams[places]), mix(span_hash(sums, start, stop) + sides)
+    return text, places - begin, mix(grams[places]), mix(span_hash(sums, start, stop) + sides)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -97,6 +110,12 @@ def _spans_of(doc, version, q, length: int, k: int) -> dict[str, np.ndarray]:
     return {"doc": doc, "version": version, "lo": np.maximum(q - (length - k), 0), "hi": q + length}
 
 
+def _numbered(rows: list[int], texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
+    """The texts' anchors with the rows of the texts."""
+    text, *found = anchors(texts, length, k)
+    return np.array(rows, np.int64)[text], *found
+
+
 def _collect_anchors(rows: DataFrame, length: int, k: int, ranges: int) -> DataFrame:
     """range, base, data: packed anchors; spans that the task could settle have ranges below 0."""
 
@@ -107,20 +126,21 @@ def _collect_anchors(rows: DataFrame, length: int, k: int, ranges: int) -> DataF
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             version = batch.column(1).to_numpy(zero_copy_only=False)
             texts = batch.column(2)
-            parts: list[tuple] = []
             # Ascending ids, so that a stable sort keeps the smallest of equal contexts first.
-            seen = set()
+            seen, at, group, held, parts = set(), [], [], 0, []
             for i in np.argsort(doc, kind="stable"):
-                text = texts[int(i)].as_py()
                 key = (doc[i], version[i])
                 if key in seen:
                     continue
                 seen.add(key)
-                q, h, c = anchors(text.encode("utf-8", "surrogatepass"), length, k)
-                parts.append((h, c, np.full(len(q), i), q))
-            if not parts:
-                continue
-            h, c, row, q = (np.concatenate(x) for x in zip(*parts))
+                at.append(i)
+                group.append(texts[int(i)].as_py().encode("utf-8", "surrogatepass"))
+                held += len(group[-1])
+                if held >= TOGETHER:
+                    parts.append(_numbered(at, group, length, k))
+                    at, group, held = [], [], 0
+            parts.append(_numbered(at, group, length, k))
+            row, q, h, c = (np.concatenate(x) for x in zip(*parts))
             if not len(h):
                 continue
             c &= np.uint64((1 << 48) - 1)
@@ -277,6 +297,48 @@ def _shared(side: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _settle_cut(h, split, doc, left, left_n, right, right_n, slack: int) -> tuple:
+    """Settle rows that equal a smaller document's as far as they can be shared at all.
+
+    Returns the rows that are left to be sorted, how many bytes to each side
+    they may share, and the rows that are settled with their least and largest turn.
+    A settled row leaves nothing that another row could lack: what it may share, the
+    row that settles it has too. With it gone, others may share less, and become equal.
+    """
+    rows = np.argsort(doc, kind="stable")
+    reach_l, reach_r = left_n.copy(), right_n.copy()
+    beside = np.arange(slack)
+    gone: list[tuple] = []
+    while True:
+        whole = rows[~split[rows]]
+        for reach, side in ((reach_l, left), (reach_r, right)):
+            reach[whole] = _shared(side[whole], reach[whole], h[whole])
+        rows = rows[reach_l[rows] + reach_r[rows] >= slack]
+        key = np.concatenate(
+            [
+                h[rows].astype(">i8").view(np.uint8).reshape(-1, 8),
+                reach_l[rows, None].astype(np.uint8),
+                reach_r[rows, None].astype(np.uint8),
+                np.where(beside < reach_l[rows, None], left[rows], 0),
+                np.where(beside < reach_r[rows, None], right[rows], 0),
+                np.ones((len(rows), 1)),
+            ],
+            axis=1,
+        ).astype(np.uint8)
+        key = key.view(f"S{key.shape[1]}").ravel()
+        order = np.argsort(key, kind="stable")
+        new = np.append(True, key[order][1:] != key[order][:-1])[: len(rows)]
+        # Rows come by their documents, so the first of equal ones is of the smallest.
+        first = order[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
+        later = np.zeros(len(rows), bool)
+        later[order] = doc[rows[order]] > doc[rows[first]]
+        row = rows[later]
+        gone.append((row, slack - reach_r[row], reach_l[row]))
+        rows = rows[~later]
+        if not len(row) or len(gone) == ROUNDS:
+            return rows, reach_l, reach_r, tuple(np.concatenate(x) for x in zip(*gone))
+
+
 _FOUND = "doc long, version long, lo int, hi int, h long, text_hash long, places array<int>, turn int"
 
 
@@ -289,15 +351,11 @@ def _by_suffix_array(table: pa.Table, length: int, k: int) -> pa.Table:
     lefts, rights = table.column("left").to_pylist(), table.column("right").to_pylist()
     left, left_n = _side(lefts, slack, True)
     right, right_n = _side(rights, slack, False)
-    reach_l = np.where(split, left_n, _shared(left, left_n, h))
-    reach_r = np.where(split, right_n, _shared(right, right_n, h))
-    live = np.flatnonzero(reach_l + reach_r >= slack)
+    live, reach_l, reach_r, settled = _settle_cut(h, split, doc, left, left_n, right, right_n, slack)
     order = live[np.argsort(h[live], kind="stable")]
-    empty = pa.Table.from_arrays(
-        [pa.array([], t) for t in _found_kinds()], [x.split()[0] for x in _FOUND.split(", ")]
-    )
+    pieces = [_span_rows(table, *settled, doc, version, length)]
     if not len(order):
-        return empty
+        return pa.concat_tables(pieces)
     # The farthest reach to each side in an anchor's group; what lies nearer than every string's
     # least share of a side is in all its strings and becomes one sign of the joined text.
     new = np.append(True, h[order][1:] != h[order][:-1])
@@ -333,7 +391,6 @@ def _by_suffix_array(table: pa.Table, length: int, k: int) -> pa.Table:
     run = np.cumsum(~same) - 1
     least = np.minimum.reduceat(doc[rows], begin)[run]
     hit = doc[rows] > least
-    pieces = [empty]
     if hit.any():
         row, turn = rows[hit], turns[hit]
         o = np.lexsort((turn, row))
@@ -345,19 +402,10 @@ def _by_suffix_array(table: pa.Table, length: int, k: int) -> pa.Table:
     still = ~hit & split[rows]
     if still.any():
         row, turn = rows[still], turns[still]
-        pieces.append(_open_rows(table, row, turn, doc, version, h, slack, lefts, rights))
+        pieces.append(_open_rows(table, row, turn, doc, version, h, left, right))
     return pa.concat_tables(pieces)
 
 
-def _found_kinds() -> list[pa.DataType]:
-    return [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32()]
-
-
-def _found_table(columns: list) -> pa.Table:
-    names = [x.split()[0] for x in _FOUND.split(", ")]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _found_kinds())], names)
-
-
 def _equal_neighbours(text: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
     """Whether each string equals the one before it in suffix order, sign by sign."""
     same = np.append(False, widths[1:] == widths[:-1])
@@ -370,24 +418,41 @@ def _equal_neighbours(text: np.ndarray, starts: np.ndarray, widths: np.ndarray)
     return same
 
 
+def _lists(column: pa.ChunkedArray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of some rows, one after the other, and their lengths."""
+    lists = column.combine_chunks()
+    starts, values = np.asarray(lists.offsets), np.asarray(lists.values)
+    sizes = np.diff(starts)[row]
+    ahead = np.cumsum(sizes) - sizes
+    return values[np.arange(int(sizes.sum())) + np.repeat(starts[row] - ahead, sizes)], sizes
+
+
+def _found_table(doc, version, lo, hi, h, text_hash, places, sizes, turn) -> pa.Table:
+    starts = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+    listed = pa.ListArray.from_arrays(starts, pa.array(places, pa.int32()))
+    columns = [doc, version, lo, hi, h, text_hash, None, turn]
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), None, pa.int32()]
+    arrays = [listed if t is None else pa.array(x).cast(t) for x, t in zip(columns, kinds)]
+    return pa.Table.from_arrays(arrays, names)
+
+
 def _span_rows(table, row, low, high, doc, version, length) -> pa.Table:
-    places = table.column("places")
-    out = []
-    for r, a, b in zip(row.tolist(), low.tolist(), high.tolist()):
-        for q in places[r].as_py():
-            out.append((doc[r], version[r], q - b, q - a + length, 0, 0, [], -1))
-    return _found_table(list(zip(*out)))
+    q, sizes = _lists(table.column("places"), row)
+    row, low, high = (np.repeat(x, sizes) for x in (row, low, high))
+    none = np.zeros(len(row), np.int64)
+    return _found_table(doc[row], version[row], q - high, q - low + length, none, none, none[:0], none, none - 1)
 
 
-def _open_rows(table, row, turn, doc, version, h, slack, lefts, rights) -> pa.Table:
-    places = table.column("places")
-    out = []
-    for r, t in zip(row.tolist(), turn.tolist()):
-        left, right = lefts[r], rights[r]
-        whole = left[len(left) - t :] + b"\0" + right[: slack - t]
-        digest = int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "little", signed=True)
-        out.append((doc[r], version[r], 0, 0, h[r], digest, places[r].as_py(), t))
-    return _found_table(list(zip(*out)))
+def _open_rows(table, row, turn, doc, version, h, left, right) -> pa.Table:
+    """Strings that are still open, each with the hash of its bytes beside the anchor and of its turn."""
+    slack = left.shape[1]
+    sums = prefix_hash(np.concatenate([left[:, ::-1], right], axis=1).ravel())
+    start = row * (2 * slack) + slack - turn
+    digest = mix(span_hash(sums, start, start + slack) + turn.astype(np.uint64)).view(np.int64)
+    places, sizes = _lists(table.column("places"), row)
+    none = np.zeros(len(row), np.int64)
+    return _found_table(doc[row], version[row], none, none, h[row], digest, places, sizes, turn)
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -395,14 +460,13 @@ def _merged(spans: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            los, his = [], []
-            for spans in batch.column(2).to_pylist():
-                lo, hi = (np.array([x[n] for x in spans], np.int64) for n in ("lo", "hi"))
-                zero = np.zeros(len(lo), np.int64)
-                _, _, lo, hi = _merge(zero, zero, lo, hi)
-                los.append(lo.tolist())
-                his.append(hi.tolist())
-            arrays = [pa.array(x, pa.list_(pa.int32())) for x in (los, his)]
+            listed = batch.column(2)
+            sizes = pc.list_value_length(listed).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            lo, hi = (listed.flatten().field(i).to_numpy().astype(np.int64) for i in range(2))
+            row, _, lo, hi = _merge(row, np.zeros(len(row), np.int64), lo, hi)
+            starts = pa.array(np.searchsorted(row, np.arange(len(sizes) + 1)), pa.int32())
+            arrays = [pa.ListArray.from_arrays(starts, pa.array(x, pa.int32())) for x in (lo, hi)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], *arrays], ["doc", "version", "los", "his"]
             )
