@@ -19,8 +19,8 @@ different context is left open.
 fetched, cut down to what they share with another context of the anchor at
 most, joined, and sorted with the linear grouping of ``suffix_array``. Equal
 strings stand side by side in it, and the smallest id of a run keeps the string.
-An anchor with very many contexts is dealt to several suffix arrays; strings
-that are then still open are settled by a grouping.
+An anchor with very many contexts is dealt to several suffix arrays by what
+ranges of its strings have in common; strings that are then still open are settled by a grouping.
 
 Memory is bounded by a batch, a hash range or a bucket, each of which has a
 planned size; results are written between the steps.
@@ -50,6 +50,8 @@ RANGE_ANCHORS = 1_200_000
 TOGETHER = 1 << 15
 BUCKET = 4096
 SPLIT = 4096
+# Ranges of turns in which the contexts of such an anchor are held against each other.
+TURN_RANGES = 4
 # So often contexts that equal a smaller document's are taken out before the rest is sorted.
 ROUNDS = 20
 # Up to so many spans (16 bytes each) may be broadcast; more are joined by shuffling.
@@ -242,32 +244,61 @@ def _settle_range(table: pa.Table, length: int, k: int, split: int) -> pa.Table:
 
 
 def _contexts(rows: DataFrame, open_rows: DataFrame, length: int, k: int, buckets: int) -> DataFrame:
-    """bucket, h, parts, doc, version, places and the bytes on either side of the anchor."""
+    """bucket, h, parts, doc, version, places and the bytes on either side of the anchor.
+
+    A context of an anchor that has too many (``parts`` above 1) becomes one row for
+    each range of turns, cut down to that range's strings, with a hash of what is in all
+    of them in place of the anchor's. Equal strings still meet, and most others do not.
+    """
     wanted = open_rows.groupBy("doc", "version").agg(
         F.collect_list(F.struct("lo", "h", "c", "parts")).alias("wanted")
     )
     slack = length - k
+    turns = np.array_split(np.arange(slack + 1), min(TURN_RANGES, slack + 1))
+    names = ["bucket", "h", "parts", "doc", "version", "places", "left", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "h", "parts", "doc", "version", "places", "left", "right"]
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary()]
         for batch in slices(batches):
-            out = []
-            for doc, version, text, want in zip(*(c.to_pylist() for c in batch.columns)):
-                data = text.encode("utf-8", "surrogatepass")
-                same: dict[tuple, list[int]] = {}
-                for w in want:
-                    same.setdefault((w["h"], w["c"], w["parts"]), []).append(w["lo"])
-                for (h, c, parts), places in same.items():
-                    q = places[0]
-                    part = c % parts
-                    bucket = int(mix(np.array([h], np.int64).view(np.uint64) + np.uint64(part))[0]) % buckets
-                    left, right = data[max(q - slack, 0) : q], data[q + k : q + length]
-                    out.append((bucket, h, parts, doc, version, sorted(places), left, right))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*out), kinds)], names
-                )
+            data = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+            wanted = batch.column(3)
+            row = np.repeat(np.arange(len(data)), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
+            lo, h, c, parts = (wanted.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            order = np.lexsort((lo, c, h, row))
+            row, lo, h, c, parts = (x[order] for x in (row, lo, h, c, parts))
+            same = (row[1:] == row[:-1]) & (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+            first = np.flatnonzero(np.append(True, ~same)[: len(row)])
+            ends = np.append(first[1:], len(row))
+            row, h, parts, q = row[first], h[first], parts[first], lo[first].tolist()
+            left = [data[r][max(at - slack, 0) : at] for r, at in zip(row.tolist(), q)]
+            right = [data[r][at + k : at + length] for r, at in zip(row.tolist(), q)]
+            out = [(np.flatnonzero(parts == 1), h, left, right)]
+            many = np.flatnonzero(parts > 1)
+            if len(many):
+                sums, left_n, right_n = _beside([left[i] for i in many], [right[i] for i in many], slack)
+                for low, high in ((x[0], x[-1]) for x in turns):
+                    fits = np.flatnonzero((left_n >= low) & (right_n >= slack - high))
+                    start = fits * (2 * slack) + slack - low
+                    core = span_hash(sums, start, start + slack + low - high)
+                    core += mix(h[many[fits]].view(np.uint64) + np.uint64(low + 1))
+                    cut_l = [left[i][max(len(left[i]) - high, 0) :] for i in many[fits]]
+                    cut_r = [right[i][: slack - low] for i in many[fits]]
+                    out.append((many[fits], mix(core).view(np.int64), cut_l, cut_r))
+            for n, (at, key, lefts, rights) in enumerate(out):
+                if not len(at):
+                    continue
+                if not n:
+                    key, lefts, rights = key[at], [lefts[i] for i in at], [rights[i] for i in at]
+                sizes = ends[at] - first[at]
+                places = lo[np.repeat(first[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+                starts = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+                bucket = mix(key.view(np.uint64)) % np.uint64(buckets)
+                columns = [
+                    pa.array(bucket.astype(np.int32)), pa.array(key), pa.array(parts[at], pa.int32()),
+                    batch.column(0).take(pa.array(row[at])), batch.column(1).take(pa.array(row[at])),
+                    pa.ListArray.from_arrays(starts, pa.array(places, pa.int32())),
+                    pa.array(lefts, pa.binary()), pa.array(rights, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     joined = rows.join(wanted, ["doc", "version"]).select("doc", "version", "text", "wanted")
     return joined.mapInArrow(
@@ -277,6 +308,25 @@ def _contexts(rows: DataFrame, open_rows: DataFrame, length: int, k: int, bucket
     )
 
 
+def _dealt(contexts: DataFrame, buckets: int, split: int) -> DataFrame:
+    """Contexts of one document alone in a range of turns go; a range with too many is dealt out."""
+    contexts = materialize(contexts)
+    ranged = contexts.where("parts > 1").drop("parts")
+    found = ranged.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b"))
+    parts = F.ceil(F.col("n") / split).cast("int")
+    ranged = ranged.join(found.where("a <> b").select("h", parts.alias("parts")), "h")
+    part = F.pmod(F.xxhash64("doc", "version", "places"), F.col("parts"))
+    bucket = F.pmod(F.xxhash64("h", part), F.lit(buckets)).cast("int")
+    return contexts.where("parts = 1").unionByName(ranged.withColumn("bucket", bucket))
+
+
+def _beside(lefts: list[bytes], rights: list[bytes], slack: int) -> tuple[np.ndarray, ...]:
+    """Prefix sums over the bytes beside anchors, 2 * slack a row, and how many there are to each side."""
+    left, left_n = _side(lefts, slack, True)
+    right, right_n = _side(rights, slack, False)
+    return prefix_hash(np.concatenate([left[:, ::-1], right], axis=1).ravel()), left_n, right_n
+
+
 def _side(values: list[bytes], width: int, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
     """Bytes beside the anchors as rows, nearest first, and their numbers."""
     sizes = np.array([len(v) for v in values])
@@ -504,9 +554,12 @@ def repeated_spans(
         .applyInArrow(lambda table: _settle_range(table, length, anchor, split), _SETTLED)
     )
     open_rows = settled.where("parts > 0")
-    buckets = open_rows.count() // BUCKET + 1
+    many = F.count_if(F.col("parts") > 1)
+    n, n_many = open_rows.agg(F.count("*"), many).first()
+    buckets = (n + (TURN_RANGES - 1) * n_many) // BUCKET + 1
+    contexts = _contexts(keyed, open_rows, length, anchor, buckets)
     found = materialize(
-        _contexts(keyed, open_rows, length, anchor, buckets)
+        (_dealt(contexts, buckets, split) if n_many else contexts)
         .groupBy("bucket")
         .applyInArrow(lambda table: _by_suffix_array(table, length, anchor), _FOUND)
     )

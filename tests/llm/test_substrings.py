@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from logvane.llm import queries, substrings
@@ -91,3 +92,42 @@ def test_nothing_to_do(spark):
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         substrings.remove_repeats(docs, 20, 30)
+
+
+def test_contexts_equal_as_far_as_shared_are_not_sorted(monkeypatch):
+    """200 documents share the 10 bytes before an anchor and all after it: one stays to be sorted, with nothing."""
+    draw = random.Random(8)
+    shared = draw.randbytes(40)
+    n = 200
+    columns = {
+        "h": pa.array([7] * n, pa.int64()),
+        "parts": pa.array([1] * n, pa.int32()),
+        "doc": pa.array(range(n, 0, -1), pa.int64()),
+        "version": pa.array([0] * n, pa.int64()),
+        "places": pa.array([[30, 400 + i] for i in range(n)], pa.list_(pa.int32())),
+        "left": pa.array([draw.randbytes(19) + bytes([i]) + shared[:10] for i in range(n)], pa.binary()),
+        "right": pa.array([shared[10:]] * n, pa.binary()),
+    }
+    lengths = []
+    sort = suffix_array
+    monkeypatch.setattr(substrings, "suffix_array", lambda text: lengths.append(len(text)) or sort(text))
+    found = substrings._by_suffix_array(pa.table(columns), 50, 20).to_pylist()
+    assert sum(lengths) < 100
+    want = {(n - i, q - 10, q + 50) for i in range(n - 1) for q in (30, 400 + i)}
+    assert {(r["doc"], r["lo"], r["hi"]) for r in found} == want and len(found) == len(want)
+
+
+def test_strings_of_a_common_phrase_are_not_left_open(spark, monkeypatch):
+    """A phrase shorter than what is removed, in so many documents that its anchor is dealt out."""
+    draw = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    some = lambda n: "".join(draw.choice(letters) for _ in range(n))
+    phrase, passage = some(40), some(90)
+    rows = [(i, some(60) + phrase + some(60)) for i in range(300)]
+    rows += [(300 + i, some(60) + passage + some(60)) for i in range(40)]
+    written, write = [], substrings.materialize
+    monkeypatch.setattr(substrings, "materialize", lambda df: written.append(write(df)) or written[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got_from(substrings.remove_repeats(docs, split=16)) == by_hand(rows, 50)
+    (still,) = [f.where("turn >= 0").count() for f in written if "turn" in f.columns]
+    assert still < 2000
